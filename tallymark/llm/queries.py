@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, tokenfiles, topk
+from . import bpe, mixing, quality, secrets, tokenfiles, topk
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
+    "op7_secrets": secrets.op7_secrets,
     "op8_exact_topk": topk.op8_exact_topk,
 }
 
 ORACLE_SQL = {
+    "op2_quality_rules": quality.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
 }
