@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, secrets, tokenfiles, topk
+from . import bpe, html, language, mixing, quality, secrets, tokenfiles, topk
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_topk": topk.op8_exact_topk,
+    "op9_language_id": language.op9_language_id,
+    "op10_html_text": html.op10_html_text,
 }
 
 ORACLE_SQL = {
