@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of characters other than ASCII white space.
@@ -46,3 +49,42 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches sorted by `keys`, dealt anew so that no group is split: (rows, bounds of the groups)."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
+        bounds = _bounds(rows, keys)
+        if len(bounds) > 2:
+            yield rows.iloc[: bounds[-2]], bounds[:-1]
+        held = rows.iloc[bounds[-2] :].reset_index(drop=True) if len(bounds) > 1 else None
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    if not len(rows):
+        return np.zeros(1, dtype=int)
+    new = np.zeros(len(rows), dtype=bool)
+    for key in keys:
+        column = rows[key].to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    new[0] = True
+    return np.append(np.nonzero(new)[0], len(rows))
+
+
+def spanning_edges(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows that connect what a symmetric boolean matrix connects, one fewer than rows in each component."""
+    found, left = [], np.ones(len(linked), dtype=bool)
+    for seed in range(len(linked)):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        front = np.array([seed])
+        while len(front):
+            front = np.nonzero(linked[front].any(axis=0) & left)[0]
+            left[front] = False
+            found += [(seed, int(other)) for other in front]
+    return found
