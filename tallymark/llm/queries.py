@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, html, language, mixing, quality, secrets, tokenfiles, topk
+from . import bpe, html, language, mixing, ngram_join, quality, secrets, suffix_dedup, tokenfiles, topk
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_secrets": secrets.op7_secrets,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_language_id": language.op9_language_id,
