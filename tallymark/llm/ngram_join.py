@@ -273,14 +273,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT,
 
 def one_of_each(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first, by id, of each group of linked ones. Documents without words stay."""
-    rows = jaccard_components(docs, words, limit, id_col, text_col)
-    grouped = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    rows = cut(jaccard_components(docs, words, limit, id_col, text_col).where(F.col("component").isNotNull()), "grouped")
+    grouped = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
     first = cut(grouped.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "first")
-    keyed = docs.withColumn("_own", F.xxhash64(text_col)).withColumn("_empty", ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    kept = keyed.where(~F.col("_empty")).join(first, (F.col("_own") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    # rows repeated with id and text: one of them stays
-    single = kept.dropDuplicates([id_col, "_own"])
-    return single.unionByName(keyed.where(F.col("_empty"))).drop("_own", "_empty")
+    empty = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key, same_id = F.xxhash64(text_col) == F.col("_key"), F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    kept = docs.where(~empty).join(first, key & same_id, "left_semi")
+    # rows that repeat id and text: one of each stays
+    again = cut(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > 1), "repeated")
+    if not again.isEmpty():
+        single = kept.join(again, key & same_id, "left_semi").withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"]).drop("_own")
+        kept = kept.join(again, key & same_id, "left_anti").unionByName(single)
+    return kept.unionByName(docs.where(empty))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
