@@ -35,11 +35,13 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, limit: float = 3.
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sizes.withColumn("w", F.element_at(cycle, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(limit)).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    leveled = ranked.withColumn("level", level).withColumn("free", F.col("ratio") >= F.col("level"))
-    shared = F.min(F.when(F.col("free"), F.col("level"))).over(everything)  # the level when the first source is free
+    leveled = ranked.withColumn("level", level).withColumn("at", F.row_number().over(by_ratio))
+    # the level that the first source below its limit meets holds for all after it
+    shared = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("at", "level"))).over(everything)["level"]
     return leveled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("w") * shared, F.col("cap"))).alias("target"))
 
 
@@ -81,10 +83,11 @@ sized AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, source_size * 3.0::DOUBLE AS cap, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sums),
 leveled AS (
-  SELECT *, ((SELECT sum(source_size) FROM sums)::DOUBLE - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM ranked) - coalesce(sum(w) OVER b, 0)) AS level
+  SELECT *, ((SELECT sum(source_size) FROM sums)::DOUBLE - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM ranked) - coalesce(sum(w) OVER b, 0)) AS level,
+         row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place
   FROM ranked WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-shared AS (SELECT min(level) FILTER (WHERE cap / w >= level) AS level FROM leveled),
+shared AS (SELECT arg_min(level, place) FILTER (WHERE cap / w >= level) AS level FROM leveled),
 targets AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT level FROM shared), cap)) AS target FROM leveled),
 rated AS (
   SELECT sized.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate,
