@@ -38,7 +38,7 @@ def split_rows(df: DataFrame, fills: str = "fills", kind: str = "type") -> DataF
 def baseline_rows(df: DataFrame, fills: str = "fills") -> DataFrame:
     """Adds `all_filled`, `baseline` and `adjusted` to split rows. Sums run in the options' order."""
     low = F.filter(fills, lambda f: f <= F.col("split"))
-    mean = F.aggregate(low, F.lit(0.0), lambda a, f: a + f) / F.size(low)
+    mean = F.try_divide(F.aggregate(low, F.lit(0.0), lambda a, f: a + f), F.size(low))
     df = df.withColumn("_mean", mean).withColumn("all_filled", F.coalesce(F.col("_mean") > ALL_FILLED, F.lit(False)))
     df = df.withColumn("baseline", F.when(F.col("all_filled"), 0.0).otherwise(F.col("_mean"))).drop("_mean")
     return df.withColumn("adjusted", F.transform(fills, lambda f: f - F.col("baseline")))
