@@ -13,9 +13,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import MATRIX
+from ..schemas import MATRIX, with_fields
 from ..sources.matrices import from_row, to_row
 from .alignment import INKED, OFF_BUBBLE
 
@@ -133,8 +133,7 @@ def measure_questions(rows: DataFrame, page: str = "binary", question: str = "qu
                 out[name] = [f[k] for f in found]
             yield out
 
-    kept = rows.drop(page)
-    schema = kept.select("*", F.array(F.lit(0.0)).alias("fills"), F.array(F.lit(0)).alias("dxs"), F.array(F.lit(0)).alias("dys"), F.lit("").alias("error")).schema
+    schema = with_fields(rows.schema, (page,), fills=T.ArrayType(T.DoubleType()), dxs=T.ArrayType(T.IntegerType()), dys=T.ArrayType(T.IntegerType()), error=T.StringType())
     return rows.mapInPandas(work, schema)
 
 
@@ -342,7 +341,7 @@ def preprocess_pages(rows: DataFrame, page: str = "gray", template: str = "templ
                 out[name] = [f[k] for f in found]
             yield out
 
-    schema = rows.drop(page).select("*", F.lit(None).cast(MATRIX).alias("picture"), F.lit(None).cast(MATRIX).alias("binary"), F.lit(False).alias("turned"), F.lit("").alias("error")).schema
+    schema = with_fields(rows.schema, (page,), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType())
     return rows.mapInPandas(work, schema)
 
 
@@ -365,4 +364,4 @@ def crop(rows: DataFrame, page: str = "picture", bounds: str = "bounds") -> Data
             out["snippet"] = [cut(from_row(p), b) for p, b in zip(batch[page], batch[bounds], strict=True)]
             yield out
 
-    return rows.mapInPandas(work, rows.drop(page).withColumn("snippet", F.lit(None).cast(MATRIX)).schema)
+    return rows.mapInPandas(work, with_fields(rows.schema, (page,), snippet=MATRIX))

@@ -34,3 +34,9 @@ TABLES = {
 }
 
 MARK = _s(("questionId", STR), ("flagged", BOOL), ("selected", T.ArrayType(STR)), ("confidence", DBL))
+
+
+def with_fields(schema: T.StructType, drop: tuple[str, ...] = (), **fields: T.DataType) -> T.StructType:
+    """A schema without some columns and with others behind, all of which may be null."""
+    kept = [T.StructField(f.name, f.dataType) for f in schema.fields if f.name not in drop]
+    return T.StructType([*kept, *[T.StructField(name, kind) for name, kind in fields.items()]])

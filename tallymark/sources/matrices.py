@@ -13,9 +13,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..schemas import MATRIX
+from ..schemas import MATRIX, with_fields
 
 GRAY = 0
 _HEAD = struct.Struct("<iii")
@@ -85,4 +84,4 @@ def gray_of_images(images: DataFrame, image: str = "image") -> DataFrame:
             batch["matrix"] = [gray(r) for r in batch[image]]
             yield batch
 
-    return images.mapInPandas(work, images.withColumn("matrix", F.lit(None).cast(MATRIX)).schema)
+    return images.mapInPandas(work, with_fields(images.schema, matrix=MATRIX))

@@ -49,7 +49,7 @@ def settings(template: str = "template", strict_wire: bool = False) -> Column:
     default = {k: 0 if strict_wire and k != "labelInset" else v for k, v in ENGINE_DEFAULTS.items()}
     fields = {k: F.coalesce(c[k], F.lit(v)) for k, v in default.items()}
     fields["selectionThreshold"] = F.coalesce(c["selectionThreshold"], fields["fillThreshold"])
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
 
 
 def questions(templates: DataFrame, id_col: str = "id", template: str = "template", strict_wire: bool = False) -> DataFrame:
