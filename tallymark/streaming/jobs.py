@@ -63,8 +63,11 @@ def peaks_by_window(samples: DataFrame, ts: str, value: str, width: str, key: st
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *([key] if key else []), "peak", "n")
 
 
-def stream_job_states(events: DataFrame, ttl_ms: int = 600_000, job: str = "job", ts: str = "ts", kind: str = "kind", value: str = "value") -> DataFrame:
-    """The same state machine over a stream: a row per job and batch that touched it; states go `ttl_ms` after their start."""
+def stream_job_states(events: DataFrame, ttl_ms: int = 600_000, late: str = "1 minute", job: str = "job", ts: str = "ts", kind: str = "kind", value: str = "value") -> DataFrame:
+    """The same state machine over a stream: a row per job and batch that touched it.
+
+    A state goes once the watermark, `late` behind the newest event, has passed its start by `ttl_ms`.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -72,6 +75,7 @@ def stream_job_states(events: DataFrame, ttl_ms: int = 600_000, job: str = "job"
             return
         started, finished, success, progress, n = state.get if state.exists else (None, None, None, 0.0, 0)
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        at = rows[ts].iloc[0].value // 1000
         for row in rows.itertuples():
             if finished is not None:
                 break
@@ -84,12 +88,12 @@ def stream_job_states(events: DataFrame, ttl_ms: int = 600_000, job: str = "job"
             elif what == "finish":
                 finished, success, progress = at, bool(v > 0), 1.0
         state.update((started, finished, success, progress, n))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max((started if started is not None else at) // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         stamp = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
         yield pd.DataFrame({job: [key[0]], "started": [stamp(started)], "finished": [stamp(finished)], "success": [success], "progress": [progress], "n_events": [n]})
 
     kind_of = events.schema[job].dataType.simpleString()
-    return events.groupBy(job).applyInPandasWithState(step, f"{job} {kind_of}, started timestamp, finished timestamp, success boolean, progress double, n_events long", "started long, finished long, success boolean, progress double, n long", "update", "ProcessingTimeTimeout")
+    return events.withWatermark(ts, late).groupBy(job).applyInPandasWithState(step, f"{job} {kind_of}, started timestamp, finished timestamp, success boolean, progress double, n_events long", "started long, finished long, success boolean, progress double, n long", "update", "EventTimeTimeout")
 
 
 def stream_last_items(rows: DataFrame, n: int, key: str, ts: str, value: str) -> DataFrame:
