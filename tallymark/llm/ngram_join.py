@@ -35,8 +35,8 @@ WORDS = 5
 #: Similarity of links in hundredths.
 LIMIT = 75
 BAND, SKETCH, MATCHES = 20, 48, 16
-#: Rows of a block: a sixteenth of its bucket or group, within these bounds.
-BLOCK = (128, 1024)
+#: Rows of a block: a sixteenth of its bucket or group, within these bounds; sketches are shorter than sets.
+SKETCH_BLOCK, SET_BLOCK = (512, 2048), (256, 1024)
 #: Bytes of text hashed at once.
 CHUNK = 4 << 20
 
@@ -123,9 +123,9 @@ def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> D
     return cut(rows.mapInPandas(work, "doc_id long, text_key long, n_shingles long, node long, band array<long>, sketch binary"), "sets")
 
 
-def in_tiles(rows: DataFrame, size: str, key: str) -> DataFrame:
+def in_tiles(rows: DataFrame, size: str, key: str, bounds: tuple[int, int]) -> DataFrame:
     """Rows of buckets with `size` rows, dealt to tiles (i, j) of two blocks each; small buckets are one tile."""
-    least, most = BLOCK
+    least, most = bounds
     block = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col(size) / 16)))
     blocks = F.when(F.col(size) <= 2 * least, F.lit(1)).otherwise(F.ceil(F.col(size) / block)).cast("int")
     own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.col("blocks")).cast("int")
@@ -153,7 +153,7 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
     # the slim rows first: only classes that meet another carry their sketch
     slim = cut(met, "met")
     full = slim.join(classes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-    tiles = in_tiles(full, "size", "node").select("token", "i", "j", "node", "n", "sketch")
+    tiles = in_tiles(full, "size", "node", SKETCH_BLOCK).select("token", "i", "j", "node", "n", "sketch")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in whole_groups(batches, ["token", "i", "j"]):
@@ -226,7 +226,8 @@ def t_occurrence(sets: list[np.ndarray], limit: int = LIMIT) -> np.ndarray:
 def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Connecting edges (a, b) between linked classes. chosen: (doc_id, text_key, node, component, size), a text for each class."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("text"))
-    found = texts.join(chosen, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "size", "node", "text")
+    # the chosen grow with the documents: both sides are dealt by their key at every size
+    found = texts.join(chosen.hint("merge"), (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "size", "node", "text")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -237,7 +238,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
             yield out
 
     sets = found.mapInPandas(hashed, "component long, size long, node long, shingles binary")
-    tiles = in_tiles(sets, "size", "node").select("component", "i", "j", "node", "shingles")
+    tiles = in_tiles(sets, "size", "node", SET_BLOCK).select("component", "i", "j", "node", "shingles")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in whole_groups(batches, ["component", "i", "j"]):
