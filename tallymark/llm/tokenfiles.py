@@ -152,7 +152,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for at in range(0, len(ids), 2000):
                     ends = index[at : at + 2001]
                     yield pd.DataFrame({
-                        "doc_id": pd.array(ids[at : at + 2000], dtype="Int64").astype(object).where(null[at : at + 2000] == 0, None) if null[at : at + 2000].any() else ids[at : at + 2000],
+                        "doc_id": pd.Series(ids[at : at + 2000], dtype="Int64").mask(null[at : at + 2000] == 1),
                         "start": row.base + ends[:-1], "n_tokens": np.diff(ends),
                         "token_bytes": [tokens[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
                     })
