@@ -13,6 +13,7 @@ time in proportion to their length; ids, repeated rows and extra columns don't m
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,11 @@ from .common import table
 from .words import SPACE, pieces
 
 #: Pieces whose encodings a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Characters encoded at once.
+BATCH_CHARS = 4_000_000
+#: Tokens decoded at once.
+JOINED = 1 << 18
 
 
 class Vocabulary:
@@ -34,12 +39,17 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(self.size.values(), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[tuple[int, int], bool] = {}
+        #: Each string that some token ends with: its rank, or -1 where it is no token itself.
+        self.tails: dict[bytes, int] = {}
         for rank in sorted(self.tokens):
             token = self.tokens[rank]
+            for cut in range(len(token)):
+                self.tails.setdefault(token[cut:], ranks.get(token[cut:], -1))
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut], rank), ranks.get(token[cut:], rank)
                 if left < rank and right < rank and self._stay_apart(left, right):
@@ -54,32 +64,29 @@ class Vocabulary:
     def _stay_apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens ends in these two.
 
-        Undo the merges on both sides of the seam, latest first. If a pair that touches at the seam could have
-        been merged before the merge just undone, it would have been, and the seam would be gone.
+        Undo merges on both sides of the seam, latest first. Where the two tokens at the seam could have been merged
+        before the merge undone last, they would have been, and the seam would be gone. Of equal tokens the left one is
+        merged first, so the right one is undone first.
         """
-        halves, merged = self.halves, self.merged
         before = float("inf")
         while True:
-            if merged.get((left, right), before) < before:
+            if self.merged.get((left, right), before) < before:
                 return False
-            # the side whose merge came later is taken apart first; of equals the right one came later
-            take_left = left in halves and (left > right or right not in halves)
-            if not take_left and right not in halves:
+            sides = [(token, side) for token, side in ((left, 0), (right, 1)) if token in self.halves]
+            if not sides:
                 return True
-            if left > right and left not in halves or right >= left and right not in halves:
-                # the larger rank is a single byte: the other side has been made after all merges that count
-                take_left = left in halves
-            if take_left:
-                before, left = left, halves[left][1]
+            token, side = max(sides)
+            if side:
+                before, right = token + 0.5, self.halves[token][0]
             else:
-                before, right = right + 0.5, halves[right][0]
+                before, left = token, self.halves[token][1]
 
     def stay_apart(self, left: int, right: int) -> bool:
-        known = self._apart.get((left, right))
+        known = self.apart.get((left, right))
         if known is None:
-            if len(self._apart) > REMEMBERED:
-                self._apart.clear()
-            known = self._apart[left, right] = self._stay_apart(left, right)
+            if len(self.apart) > REMEMBERED:
+                self.apart.clear()
+            known = self.apart[left, right] = self._stay_apart(left, right)
         return known
 
 
@@ -90,18 +97,42 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
+    def become(self, data: bytes) -> PrefixTable:
+        """Turn into the table of `data`, keeping the entries of the prefix that both have in common."""
+        common = 0
+        for old, new in zip(self.data, data, strict=False):
+            if old != new:
+                break
+            common += 1
+        del self.last[common + 1 :]
+        self.data = data
+        self._fill(len(data))
+        return self
+
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last_token(end))
+        self._fill(len(self.data))
+
+    def _fill(self, stop: int) -> None:
+        """Add the entries of the prefixes up to `stop` bytes: of the tokens that end there, the one that stays apart from the token before it.
 
-    def _last_token(self, end: int) -> int:
-        known, apart, last = self.vocabulary.ranks.get, self.vocabulary.stay_apart, self.last
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            token = known(self.data[start:end])
-            if token is not None and (start == 0 or apart(last[start], token)):
-                return token
-        raise ValueError(f"no token for byte {self.data[end - 1]}")
+        Only one does, so the search may go from short to long, and end where no token ends with these bytes.
+        """
+        data, last = self.data, self.last
+        tail, apart, learn = self.vocabulary.tails.get, self.vocabulary.apart.get, self.vocabulary.stay_apart
+        for end in range(len(last), stop + 1):
+            for start in range(end - 1, -1, -1):
+                token = tail(data[start:end])
+                if token is None:
+                    raise ValueError(f"no token for the bytes before {end}")
+                if token >= 0:
+                    if not start:
+                        break
+                    before = last[start]
+                    fits = apart((before, token))
+                    if learn(before, token) if fits is None else fits:
+                        break
+            last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put `new` in place of bytes start..stop; gives how many entries were worked out anew.
@@ -115,7 +146,7 @@ class PrefixTable:
         agreed, done, shift = 0, 0, start + len(new)
         while len(self.last) <= len(self.data):
             end = len(self.last)
-            self.last.append(self._last_token(end))
+            self._fill(end)
             done += 1
             if end > shift:
                 agreed = agreed + 1 if tail[end - shift - 1] == self.last[end] else 0
@@ -129,60 +160,65 @@ class PrefixTable:
         found, at = [], len(self.data) if end is None else end
         while at:
             found.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
-        return found[::-1]
+            at -= self.vocabulary.size[self.last[at]]
+        found.reverse()
+        return found
 
 
 class Encoder:
-    """Texts to ids: pre-tokens by a pattern, each encoded by its prefix table."""
+    """Texts to ids: pre-tokens by a pattern, each encoded by a prefix table."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         # \s and \S by their Unicode meaning, which libraries differ in
         inside = regex.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\s", SPACE), pattern)
         self.find = regex.compile(inside.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        self.known: dict[str, bytes] = {}
-        self.after_space = _Remember(lambda piece: self.whole(" " + piece))
-
-    def pre_token(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            data = text.encode("utf-8")
-            rank = self.vocabulary.ranks.get(data)
-            ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).tokens()
-            found = np.array(ids, dtype=np.int32).tobytes()
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if len(text) < 64:
-                self.known[text] = found
-        return found
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.pre_token, self.find(text)))
+        self.known: dict[str, bytes] = {}  # ids of pre-tokens
+        self.after_space: dict[str, bytes] = {}  # ids of pieces that follow a space
+
+    def _learn(self, pre_tokens: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens. In their order neighbours begin alike, and one table goes from each to the next."""
+        table_, ranks, out = PrefixTable(self.vocabulary), self.vocabulary.ranks, {}
+        for data, text in sorted((t.encode("utf-8"), t) for t in pre_tokens):
+            rank = ranks.get(data)
+            out[text] = array("i", (rank,) if rank is not None else table_.become(data).tokens()).tobytes()
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as 32-bit integers."""
+        for memory in (self.known, self.after_space):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        cut = [pieces(t) if t else [""] for t in texts]
+        known, after = self.known, self.after_space
+        new = {p: self.find(" " + p) for parts in cut for p in parts[1:] if p not in after}
+        first = [self.find(parts[0]) for parts in cut]
+        once = self._learn({t for found in (*new.values(), *first) for t in found if t not in known})
+        known.update((t, ids) for t, ids in once.items() if len(t) < 64)
+        of = lambda t: known.get(t) or once[t]
+        made = {p: b"".join(map(of, found)) for p, found in new.items()}
+        after.update(made)
+        out = [b"".join((*map(of, found), *map(after.__getitem__, parts[1:]))) for found, parts in zip(first, cut, strict=True)]
+        for p in made:
+            if len(p) >= 64:
+                del after[p]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = pieces(text)
-        self.after_space.trim()
-        return self.whole(first) + b"".join(map(self.after_space.__getitem__, rest))
-
-
-class _Remember(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+        return self.encode_many([text])[0]
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) < 64:
-            self[key] = value
-        return value
 
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
+def in_batches(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """The texts in order, some million characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(text or "")
+        size += len(text or "")
+    if held:
+        yield held
 
 
 _LOADED: dict[tuple, Encoder] = {}
@@ -199,9 +235,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """The columns `keep` and the texts' token ids (array<int>)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern).encode
+        enc = encoder(ranks_path, pattern).encode_many
         for batch in batches:
-            ids = [enc(text) if text else b"" for text in batch.column(len(keep)).to_pylist()]
+            ids = [x for at in range(0, len(batch), 1000) for some in in_batches(batch.column(len(keep)).slice(at, 1000).to_pylist()) for x in enc(some)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, ids_col])
@@ -242,9 +278,13 @@ class _Blob:
 
     def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes, and where each token's bytes end (with a leading 0)."""
-        size = self.size[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.blob[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends[:-1], size)], ends
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        out = np.empty(ends[-1], dtype=np.uint8)
+        for lo in range(0, len(ids), JOINED):
+            some = ids[lo : lo + JOINED]
+            begin, stop = ends[lo : lo + len(some)], ends[lo + len(some)]
+            out[begin[0] : stop] = self.blob[np.arange(begin[0], stop) + np.repeat(self.start[some] - begin, self.size[some])]
+        return out, ends
 
 
 _BLOBS: dict[str, _Blob] = {}
