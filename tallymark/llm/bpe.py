@@ -28,7 +28,7 @@ from .words import SPACE, pieces
 #: Pieces whose encodings a Python worker remembers.
 REMEMBERED = 300_000
 #: Characters encoded at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Tokens decoded at once.
 JOINED = 1 << 18
 
@@ -208,6 +208,13 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded number."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def in_batches(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[str]]:
     """The texts in order, some million characters at a time."""
     held, size = [], 0
@@ -236,8 +243,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern).encode_many
-        for batch in batches:
-            ids = [x for at in range(0, len(batch), 1000) for some in in_batches(batch.column(len(keep)).slice(at, 1000).to_pylist()) for x in enc(some)]
+        for batch in slices(batches):
+            ids = [x for some in in_batches(batch.column(len(keep)).to_pylist()) for x in enc(some)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, ids_col])
@@ -253,7 +260,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", byte
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary_bytes(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(at)
             ids = lists.flatten().to_numpy()
             offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
