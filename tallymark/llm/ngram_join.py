@@ -117,7 +117,7 @@ def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> D
             out["n_shingles"] = [len(s) for s in sets]
             out["node"] = pd.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets], dtype="Int64")
             out["band"] = [s[:BAND].astype(np.int64) for s in sets]
-            out["sketch"] = [s[:SKETCH].astype(np.uint32).tobytes() for s in sets]
+            out["sketch"] = [s[:SKETCH].tobytes() for s in sets]
             yield out
 
     return cut(rows.mapInPandas(work, "doc_id long, text_key long, n_shingles long, node long, band array<long>, sketch binary"), "sets")
@@ -133,16 +133,25 @@ def in_tiles(rows: DataFrame, size: str, key: str, bounds: tuple[int, int]) -> D
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
-def coarse_links(n: np.ndarray, sketches: list[bytes], limit: int) -> np.ndarray:
-    """Which rows of a tile may reach the limit, by their sizes and sketches."""
-    lengths = np.array([len(s) // 4 for s in sketches])
-    tokens, at, count = np.unique(np.frombuffer(b"".join(sketches), dtype=np.uint32), return_inverse=True, return_counts=True)
+def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int) -> np.ndarray:
+    """Which rows of a tile may reach the limit, by their sizes and sketches. Rows that have met in the bucket of a smaller token are left to it."""
+    lengths = np.array([len(s) // 8 for s in sketches])
+    tokens, at, count = np.unique(np.frombuffer(b"".join(sketches), dtype=np.uint64), return_inverse=True, return_counts=True)
     rows, often = np.repeat(np.arange(len(n)), lengths), count[at] > 1
     column = np.cumsum(count > 1) - 1
     has = np.zeros((len(n), int((count > 1).sum())), dtype=np.float32)
     has[rows[often], column[at[often]]] = 1
+    # a row's hashes are in ascending order: those before the tile's token are smaller
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    own = tokens[at] == np.uint64(token % 2**64)
+    stop = np.full(len(n), 0)
+    stop[rows[own]] = place[own]
+    early = often & (place < stop[rows])
+    met = np.zeros_like(has)
+    met[rows[early], column[at[early]]] = 1
+    met = met[:, met.any(axis=0)]
     small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    return (has @ has.T >= np.minimum(MATCHES, _needed(small, large, limit))) & (100 * small >= limit * large)
+    return (met @ met.T == 0) & (has @ has.T >= np.minimum(MATCHES, _needed(small, large, limit))) & (100 * small >= limit * large)
 
 
 def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
@@ -157,7 +166,7 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in whole_groups(batches, ["token", "i", "j"]):
-            node, n, sketch = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].tolist()
+            node, n, sketch, token = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].tolist(), rows["token"].tolist()
             a, b = [], []
             sizes = np.diff(bounds)
             pairs = bounds[:-1][sizes == 2]
@@ -165,10 +174,10 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
                 p = pairs[at : at + 4096]
                 # both sketches side by side, filled up with values that match nothing; equal neighbours are common
                 side = np.full((len(p), 2 * SKETCH), -1, dtype=np.int64)
-                side += -np.arange(2 * SKETCH)
+                side -= np.arange(2 * SKETCH)
                 for k, i in enumerate(p):
                     for half in (0, 1):
-                        own = np.frombuffer(sketch[i + half], dtype=np.uint32)
+                        own = np.frombuffer(sketch[i + half], dtype=np.int64)
                         side[k, half * SKETCH : half * SKETCH + len(own)] = own
                 side.sort(axis=1)
                 common = (side[:, 1:] == side[:, :-1]).sum(axis=1)
@@ -177,7 +186,7 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
                 a += node[p[ok]].tolist()
                 b += node[p[ok] + 1].tolist()
             for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-                for x, y in spanning_edges(coarse_links(n[lo:hi], sketch[lo:hi], limit)):
+                for x, y in spanning_edges(coarse_links(n[lo:hi], sketch[lo:hi], token[lo], limit)):
                     a.append(node[lo + x])
                     b.append(node[lo + y])
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
