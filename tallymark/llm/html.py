@@ -4,6 +4,7 @@ A page is read as text nodes in order, each with its root-to-leaf tag path. Text
 each path and divided by its number of nodes; both ratios are smoothed over the nodes in page order and fused into
 one score. Paths above a threshold hold the main text, and the deepest element that holds nearly all of their score
 is the article: its blocks are taken in order, without the elements that by tag, class, id or role are something else.
+A form, name or role doesn't count where its element holds the article, as page-wide forms and wrappers do.
 
 Defined results: null or empty html, or none with main text, gives an empty text; open elements end with the page;
 repeated rows give the same; other columns don't matter.
@@ -35,6 +36,14 @@ ASIDE_NAMES = re.compile(
     r"comments?|commentlist|comment\w*|reader-comments|replies|reply|respond|disqus|login|search|copyright|disclaimer|legal|outbrain|taboola)(?:$|[-_\s])",
     re.IGNORECASE,
 )
+#: Classes and ids that name such a thing as a whole, whatever its size.
+FIRM_NAMES = re.compile(
+    r"(?:^|\s)(?:ad|ads|advert\w*|adsense|cookies?|consent|gdpr|newsletter|outbrain|taboola|related|recommended|comments?|commentlist|reader-comments|replies|respond|disqus)"
+    r"(?:[-_](?:list|area|section|box|notice|banner|bar|thread|slot|unit|items?|posts?|articles?))*(?:$|\s)",
+    re.IGNORECASE,
+)
+FIRM_TAGS = frozenset("nav footer aside".split())
+FIRM_ROLES = frozenset("navigation contentinfo complementary".split())
 HEADER_NAMES = re.compile(r"(?:^|[-_\s])(?:header|site-header|page-header|head)(?:$|[-_\s])", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends when one of the second begins.
@@ -44,17 +53,23 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 REACH = 2
 #: Share of the best path's score from which a path holds main text, and of all score that the article holds.
 THRESHOLD, WHOLE = 0.1, 0.9
+#: Share of all score from which an element holds the article, whatever it is called.
+MOST = 0.5
+#: How an element says that it is beside the article: not at all, by a name or form that a wrapper of the page may have too, or plainly.
+NO, SOFT, FIRM = 0, 1, 2
 
 
 class Nodes(HTMLParser):
-    """The text nodes of a page: text, path, block number, elements around it, whether it is linked or beside the article."""
+    """The text nodes of a page: text, path, block number, elements around it, whether it is linked or hidden."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str, bool]] = []  # tag, element number, step of the path, beside the article
+        self.open: list[tuple[str, int, str, bool]] = []  # tag, element number, step of the path, hidden
         self.found: list[tuple[str, str, int, tuple[int, ...], bool, bool]] = []
         self.elements, self.block = 0, 0
         self.tags: list[str] = []
+        self.paths: list[str] = []
+        self.flags: list[int] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -68,11 +83,19 @@ class Nodes(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
         inside = any(t in ("article", "main") for t, *_ in self.open)
+        role = given.get("role", "").lower()
         out = (self.open[-1][3] if self.open else False) or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None
+        flag = NO
         if tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
-            out = out or tag in ASIDE or tag == "header" and not inside or given.get("role", "").lower() in ASIDE_ROLES or bool(names) and ASIDE_NAMES.search(names) is not None or bool(names) and not inside and HEADER_NAMES.search(names) is not None
-        self.open.append((tag, self.elements, f"{tag}.{given['class']}" if given.get("class") else tag, out))
+            if tag in FIRM_TAGS or role in FIRM_ROLES or bool(names) and FIRM_NAMES.search(names) is not None:
+                flag = FIRM
+            elif tag in ASIDE or tag == "header" and not inside or role in ASIDE_ROLES or bool(names) and ASIDE_NAMES.search(names) is not None or bool(names) and not inside and HEADER_NAMES.search(names) is not None:
+                flag = SOFT
+        step = f"{tag}.{given['class']}" if given.get("class") else tag
+        self.open.append((tag, self.elements, step, out))
         self.tags.append(tag)
+        self.paths.append("/".join(s for _, _, s, _ in self.open))
+        self.flags.append(flag)
         self.elements += 1
 
     def _end_open(self, tag: str) -> None:
@@ -119,21 +142,58 @@ def path_scores(nodes: list[tuple]) -> np.ndarray:
     return np.sqrt(smooth[0] * (1 + smooth[1]))
 
 
+def weights(solid: list[tuple]) -> np.ndarray:
+    """The length of each node whose path holds main text, of all nodes where none does."""
+    score = path_scores(solid)
+    weight = np.where(score >= THRESHOLD * score.max(), [len(n[0].strip()) * (0.0 if n[4] else 1.0) for n in solid], 0.0)
+    return weight if weight.any() else np.array([float(len(n[0].strip())) for n in solid])
+
+
+def without_asides(reader: Nodes) -> list[tuple]:
+    """The page's nodes without what is hidden, and without elements beside the article. No element that holds <main> is
+    beside it, nor one of a soft flag that holds, with its likes of the same path, most of the score."""
+    tags, flags = reader.tags, reader.flags
+    nodes = [n for n in reader.found if not n[5]]
+    solid = [n for n in nodes if n[0].strip()]
+    above = lambda kinds: {e for n in solid for k, x in enumerate(n[3]) if tags[x] in kinds for e in n[3][:k]}
+    plain = {e for n in solid for e in n[3] if flags[e] == FIRM} - above(("main",))
+    # where nothing else is left, advertisements and comments by name, and all that holds an article, are looked at like wrappers
+    for firm in (plain, {e for e in plain - above(("article",)) if tags[e] in FIRM_TAGS}):
+        rest = [n for n in solid if not firm.intersection(n[3])]
+        flagged = {e for n in rest for e in n[3] if flags[e] and e not in firm}
+        if rest and flagged:
+            weight = weights(rest)
+            joint: dict[str, float] = {}
+            for n, w in zip(rest, weight, strict=True):
+                for path in {reader.paths[e] for e in flagged.intersection(n[3])}:
+                    joint[path] = joint.get(path, 0.0) + w
+            inside, free = set(), False  # flagged elements inside articles; whether an article stands in no flagged element
+            for n in rest:
+                at = next((k for k, e in enumerate(n[3]) if tags[e] in ("article", "main")), None)
+                if at is not None:
+                    inside.update(n[3][at:])
+                    free = free or not flagged.intersection(n[3][:at])
+            around = above(("article", "main"))
+            need = lambda e: WHOLE if e in inside else MOST if e in around or not free else 2.0
+            main = above(("main",))
+            flagged = {e for e in flagged if e not in main and joint[reader.paths[e]] < need(e) * weight.sum()}
+        out = firm | flagged
+        if any(not out.intersection(n[3]) for n in solid):
+            return [n for n in nodes if not out.intersection(n[3])]
+    return []
+
+
 def main_text(html: str) -> str:
     if not html:
         return ""
     reader = Nodes()
     reader.feed(html)
     reader.close()
-    nodes = [n for n in reader.found if not n[5]]
-    if not any(n[0].strip() for n in nodes):
-        return ""
+    nodes = without_asides(reader)
     solid = [n for n in nodes if n[0].strip()]
-    score = path_scores(solid)
-    chosen = score >= THRESHOLD * score.max()
-    weight = np.where(chosen, [len(n[0].strip()) * (0.0 if n[4] else 1.0) for n in solid], 0.0)
-    if not weight.any():
-        weight = np.array([float(len(n[0].strip())) for n in solid])
+    if not solid:
+        return ""
+    weight = weights(solid)
     held: dict[int, float] = {}
     for n, w in zip(solid, weight, strict=True):
         for element in n[3]:

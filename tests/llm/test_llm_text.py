@@ -316,6 +316,20 @@ def test_html():
     assert html.main_text("<article><p><b>open<br><p>second, too") == "open second, too"
 
 
+WRAPPERS = ["<form id=aspnetForm>%s</form>", "<div class='container with-sidebar'>%s</div>", "<div class='has-menu'><section id=legal>%s</section></div>", "<section class='no-sidebar'>%s</section>", "<div role=form><dialog open>%s</dialog></div>", "<div class='post comments-open share'>%s</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_keep_the_article(wrapper):
+    inner = "<div class=sidebar>Side, side.</div><div class='ad'>Buy, buy, buy, it is the longest, of all. Buy, buy, and buy more.</div><nav><a href=x>Home</a></nav>%s<div class=share>Share, now.</div>"
+    for tag in ("article", "main", "div"):
+        page = wrapper % (inner % f"<{tag}><h1>Head</h1><p>One two, three four five.</p><p>Six, seven eight nine ten.</p></{tag}>")
+        assert html.main_text(PAGE % page) == "Head One two, three four five. Six, seven eight nine ten."
+    posts = "".join(f"<div class='post has-share'><p>Post {i}, some words.</p></div>" for i in range(4))
+    assert html.main_text(PAGE % posts) == " ".join(f"Post {i}, some words." for i in range(4))
+    assert html.main_text(PAGE % "<article><p>Short, it is.</p></article><div class='promo'>Long, long, long, a very long one. And more.</div>") == "Short, it is."
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.extract(df).collect()) == ["", "", "a"]
