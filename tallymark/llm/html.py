@@ -2,8 +2,8 @@
 
 A page is read as text nodes in order, each with its root-to-leaf tag path. Text length and punctuation are summed for
 each path and divided by its number of nodes; both ratios are smoothed over the nodes in page order and fused into
-one score. Paths above a threshold hold the main text, and the deepest element that holds nearly all of their score
-is the article: its blocks are taken in order, without the elements that by tag, class, id or role are something else.
+one score. Nodes whose path passes a threshold are main text, and the lowest element around all of them (around those in
+<main>, where that holds most of them) is the root: all its blocks and the headings before it are taken in order, without the elements that by tag, class, id or role are something else.
 A form, name or role doesn't count where its element holds the article, as page-wide forms and wrappers do.
 
 Defined results: null or empty html, or none with main text, gives an empty text; open elements end with the page;
@@ -42,17 +42,23 @@ FIRM_NAMES = re.compile(
     r"(?:[-_](?:list|area|section|box|notice|banner|bar|thread|slot|unit|items?|posts?|articles?))*(?:$|\s)",
     re.IGNORECASE,
 )
-FIRM_TAGS = frozenset("nav footer aside".split())
+FIRM_TAGS = frozenset("nav footer aside header".split())
 FIRM_ROLES = frozenset("navigation contentinfo complementary".split())
 HEADER_NAMES = re.compile(r"(?:^|[-_\s])(?:header|site-header|page-header|head)(?:$|[-_\s])", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What holds several blocks; a root is one of these.
+HOLDERS = frozenset("html body article main div section center details fieldset form dialog td table".split())
 #: An open element of the first kind ends when one of the second begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 #: Neighbours on each side that a node's ratios are smoothed with.
 REACH = 2
-#: Share of the best path's score from which a path holds main text, and of all score that the article holds.
-THRESHOLD, WHOLE = 0.1, 0.9
+#: Share of the middle score of unlinked text from which a path holds main text; one huge node doesn't raise it.
+THRESHOLD = 0.1
+#: Share of all score from which a flagged element inside an article is the article's own wrapper.
+WHOLE = 0.9
+#: Share of all text, links too, below which it doesn't: a search box on a page of links.
+SOME = 0.1
 #: Share of all score from which an element holds the article, whatever it is called.
 MOST = 0.5
 #: How an element says that it is beside the article: not at all, by a name or form that a wrapper of the page may have too, or plainly.
@@ -87,9 +93,9 @@ class Nodes(HTMLParser):
         out = (self.open[-1][3] if self.open else False) or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None
         flag = NO
         if tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
-            if tag in FIRM_TAGS or role in FIRM_ROLES or bool(names) and FIRM_NAMES.search(names) is not None:
+            if tag in FIRM_TAGS and not (tag == "header" and inside) or role in FIRM_ROLES or bool(names) and FIRM_NAMES.search(names) is not None:
                 flag = FIRM
-            elif tag in ASIDE or tag == "header" and not inside or role in ASIDE_ROLES or bool(names) and ASIDE_NAMES.search(names) is not None or bool(names) and not inside and HEADER_NAMES.search(names) is not None:
+            elif tag in ASIDE or role in ASIDE_ROLES or bool(names) and ASIDE_NAMES.search(names) is not None or bool(names) and not inside and HEADER_NAMES.search(names) is not None:
                 flag = SOFT
         step = f"{tag}.{given['class']}" if given.get("class") else tag
         self.open.append((tag, self.elements, step, out))
@@ -145,7 +151,8 @@ def path_scores(nodes: list[tuple]) -> np.ndarray:
 def weights(solid: list[tuple]) -> np.ndarray:
     """The length of each node whose path holds main text, of all nodes where none does."""
     score = path_scores(solid)
-    weight = np.where(score >= THRESHOLD * score.max(), [len(n[0].strip()) * (0.0 if n[4] else 1.0) for n in solid], 0.0)
+    free = [s for s, n in zip(score, solid, strict=True) if not n[4]]
+    weight = np.where(score >= THRESHOLD * np.median(free or score), [len(n[0].strip()) * (0.0 if n[4] else 1.0) for n in solid], 0.0)
     return weight if weight.any() else np.array([float(len(n[0].strip())) for n in solid])
 
 
@@ -163,10 +170,11 @@ def without_asides(reader: Nodes) -> list[tuple]:
         flagged = {e for n in rest for e in n[3] if flags[e] and e not in firm}
         if rest and flagged:
             weight = weights(rest)
-            joint: dict[str, float] = {}
-            for n, w in zip(rest, weight, strict=True):
+            size = np.array([float(len(n[0].strip())) for n in rest])
+            joint: dict[str, np.ndarray] = {}
+            for n, both in zip(rest, np.column_stack([weight / weight.sum(), size / size.sum()]), strict=True):
                 for path in {reader.paths[e] for e in flagged.intersection(n[3])}:
-                    joint[path] = joint.get(path, 0.0) + w
+                    joint[path] = joint.get(path, 0.0) + both
             inside, free = set(), False  # flagged elements inside articles; whether an article stands in no flagged element
             for n in rest:
                 at = next((k for k, e in enumerate(n[3]) if tags[e] in ("article", "main")), None)
@@ -176,7 +184,7 @@ def without_asides(reader: Nodes) -> list[tuple]:
             around = above(("article", "main"))
             need = lambda e: WHOLE if e in inside else MOST if e in around or not free else 2.0
             main = above(("main",))
-            flagged = {e for e in flagged if e not in main and joint[reader.paths[e]] < need(e) * weight.sum()}
+            flagged = {e for e in flagged if e not in main and (joint[reader.paths[e]] < (need(e), SOME)).any()}
         out = firm | flagged
         if any(not out.intersection(n[3]) for n in solid):
             return [n for n in nodes if not out.intersection(n[3])]
@@ -193,29 +201,37 @@ def main_text(html: str) -> str:
     solid = [n for n in nodes if n[0].strip()]
     if not solid:
         return ""
-    weight = weights(solid)
-    held: dict[int, float] = {}
-    for n, w in zip(solid, weight, strict=True):
-        for element in n[3]:
-            held[element] = held.get(element, 0.0) + w
-    # an article element that holds most of the main text is the article; else the deepest element that holds nearly all of it
-    marked = [e for e, w in held.items() if reader.tags[e] in ("article", "main") and w >= 0.5 * weight.sum()]
-    enough = [e for e, w in held.items() if w >= WHOLE * weight.sum() and reader.tags[e] in BLOCKS]
-    root = max(marked or enough or [min(held)])
-    if not marked and reader.tags[root] == "p":  # a page of one paragraph: what stands around it counts too
-        around = next(n[3] for n in solid if root in n[3])
-        root = around[max(0, around.index(root) - 1)]
-    inside = [n for n in nodes if root in n[3]]
-    if not marked:
+    tags, weight = reader.tags, weights(solid)
+    chosen = [n for n, w in zip(solid, weight, strict=True) if w]
+    mains = {e for n in solid for e in n[3] if tags[e] == "main"}
+    if mains and sum(w for n, w in zip(solid, weight, strict=True) if mains.intersection(n[3])) >= MOST * weight.sum():
+        chosen = [n for n in chosen if mains.intersection(n[3])]
+    around = [es[0] for es in zip(*[n[3] for n in chosen], strict=False) if len(set(es)) == 1]
+    # an article is taken whole; what stands around a single block counts too
+    whole = next((k for k, e in enumerate(around) if tags[e] in ("article", "main")), None)
+    if whole is not None:
+        around = around[: whole + 1]
+    while len(around) > 1 and tags[around[-1]] not in HOLDERS:
+        around.pop()
+    root = around[-1] if around else None  # None: text stands beside the outermost element
+    within = [root is None or root in n[3] for n in nodes]
+    first = within.index(True)
+    if not any(tags[e] in HEADINGS for n, ok in zip(nodes, within, strict=True) if ok for e in n[3]):
+        last = next((k for k in range(first - 1, -1, -1) if nodes[k][0].strip()), -1)
+        while last >= 0 and (not nodes[last][0].strip() or any(tags[e] in HEADINGS for e in nodes[last][3])):
+            within[last] = True
+            last -= 1
+    inside = [n for n, ok in zip(nodes, within, strict=True) if ok]
+    if whole is None:
         linked: dict[int, list[int]] = {}
         for n in inside:
             for element in n[3]:
-                if reader.tags[element] in ("ul", "ol", "table", "div", "section"):
+                if tags[element] in ("ul", "ol", "table", "div", "section"):
                     size = linked.setdefault(element, [0, 0])
                     size[0] += len(n[0].strip()) * n[4]
                     size[1] += len(n[0].strip())
-        lists = {e for e, (a, b) in linked.items() if e != root and b and a > 0.8 * b}
-        inside = [n for n in inside if not lists.intersection(n[3])]
+        lists = {e for e, (a, b) in linked.items() if e not in around and b and a > 0.8 * b}
+        inside = [n for n in inside if any(tags[e] in ("article", "main") for e in n[3]) or not lists.intersection(n[3])]
     blocks: dict[int, list[str]] = {}
     for n in inside:
         blocks.setdefault(n[2], []).append(n[0])

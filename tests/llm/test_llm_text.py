@@ -330,6 +330,33 @@ def test_html_wrappers_keep_the_article(wrapper):
     assert html.main_text(PAGE % "<article><p>Short, it is.</p></article><div class='promo'>Long, long, long, a very long one. And more.</div>") == "Short, it is."
 
 
+LONG = "Long words, and more of them. "
+PARTS = "".join(f"<p>Part {i}, some words more.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div id=content><h1>Head</h1><p>The lead, it is.</p><div class=body>{LONG * 350}</div></div>",
+        f"<div id=content><h1>Head</h1><p>The lead, it is.</p><div class=body><p>{LONG * 200}</p><p>{LONG * 150}</p></div></div>",
+        f"<div class=page><h1>Head</h1><p class=lead>The lead, it is.</p><article><p>{LONG * 60}</p></article></div>",
+        f"<main><h1>Head</h1><p>The lead, it is.</p><article><p>{LONG * 6}</p></article><p>{LONG * 4}</p></main>",
+        f"<article><h1>Head</h1><p>{LONG * 6}</p></article><article><p>{LONG * 4}</p></article>",
+        *[f"<div id=content><h1>Head</h1>{PARTS}<{k}>{LONG * 400}</{k}>{PARTS}</div>" for k in ("pre", "section", "blockquote")],
+        f"<h1>Head</h1>{PARTS}<table><tr><td>{LONG * 400}</td></tr></table>{PARTS}",
+        f"<h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p></div>",
+    ],
+)
+def test_html_keeps_all_main_text(body):
+    assert html.main_text(PAGE % body) == " ".join(re.sub("<[^>]*>", " ", body).split())
+
+
+def test_html_root_leaves_the_rest_out():
+    assert html.main_text(PAGE % f"<div><p>We are a site, hello.</p></div><main><p>{LONG}</p><article><p>One, two.</p></article></main>") == f"{LONG}One, two."
+    links = "".join(f"<a href=x>page {i} of the site</a> " for i in range(20))
+    assert html.main_text(PAGE % f"<form>Search here, now.</form><div>{links}</div>").startswith("page 0 of the site")
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.extract(df).collect()) == ["", "", "a"]
