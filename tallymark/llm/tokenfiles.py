@@ -15,6 +15,7 @@ all their copies, ordered by their text's hash; an empty table gives no rows; ex
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -34,7 +35,8 @@ BATCH_CHARS = 4_000_000
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Where its pre-tokenizer is the plain byte-level one, texts are cut at
-    spaces, and each different piece is sent to the library once."""
+    spaces, and each different piece is sent to the library once. Special tokens in a text, such as <|endoftext|>, get
+    their own ids, as the library does by default."""
 
     def __init__(self, path: str):
         import json
@@ -43,16 +45,37 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made.get("normalizer")
+        # an added token that holds or takes white space goes across cuts
+        across = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made.get("added_tokens") or [])
+        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made.get("normalizer") and not across
+        special = [re.escape(t["content"]) for t in made.get("added_tokens") or [] if t["special"]]
+        self.special = re.compile("|".join(special)) if special else None
         self.known: dict[str, bytes] = {}
 
     def many(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        marked = [i for i, t in enumerate(texts) if self.special and self.special.search(t)]
+        if not marked:
+            return self._plain(texts)
+        # texts that hold a special token go to the library whole
+        held = set(marked)
+        others = iter(self._plain([t for i, t in enumerate(texts) if i not in held]))
+        whole = iter(self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False))
+        return [np.array(next(whole).ids, dtype=np.uint32).tobytes() if i in held else next(others) for i in range(len(texts))]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens, which needn't be looked for in each piece."""
+        self.tokenizer.encode_special_tokens = True
+        try:
+            return self._pieces(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = False
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
         split = [pieces(t) for t in texts]
         known = self.known
         if len(known) > REMEMBERED:

@@ -162,6 +162,32 @@ def test_token_files(spark, tmp_path):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(odd(spark, empty=True), f"file://{tmp_path}/e", path, 2)).count() == 0
 
 
+def test_token_files_with_special_tokens(spark, tmp_path):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    lib = pytest.importorskip("tokenizers")
+    path = tokenizers.path("byte_bpe_50k.json")
+    t = lib.Tokenizer.from_file(path)
+    texts = ["end of text <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n c <|endoftext|><|endoftext|> ", "plain one", "<|endoftext|> it's"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert want[0] == [437, 286, 2420, 220, 50256, 1306, 2]
+    got = {r.doc_id: r for r in tokenfiles.read_token_files(tokenfiles.write_token_files(df, f"file://{tmp_path}/s", path, 2, files=2)).collect()}
+    assert [np.frombuffer(got[i].token_bytes, dtype="<u4").tolist() for i in range(len(texts))] == want
+    assert [got[i].start for i in range(len(texts))] == [sum(map(len, want[:i])) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("marker", [{"content": "<|a b|>"}, {"content": "<|ab|>", "lstrip": True}])
+def test_special_tokens_with_white_space(tmp_path, marker):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    lib = pytest.importorskip("tokenizers")
+    t = lib.Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    t.add_special_tokens([lib.AddedToken(marker["content"], lstrip=marker.get("lstrip", False))])
+    t.save(f"{tmp_path}/own.json")
+    text = f"one two {marker['content']} three"
+    (got,) = tokenfiles.LibraryEncoder(f"{tmp_path}/own.json").many([text])
+    assert np.frombuffer(got, dtype=np.uint32).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_mixing_targets(spark):
     rng = random.Random(5)
     for k in range(3):
