@@ -410,6 +410,11 @@ def jobs_list(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= 5)
 
 
+@query("SELECT event_id, event_type, ts FROM events ORDER BY ts, event_id")
+def jobs_in_order(spark, sf_dir):
+    return jobs.in_order(t(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "ts", "event_id")
+
+
 # --- scalars
 
 

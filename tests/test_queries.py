@@ -47,3 +47,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 500
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_jobs_are_listed_in_order(spark):
+    rows = [(r.ts, r.event_id) for r in library.QUERIES["jobs_in_order"](spark, SF).collect()]
+    assert rows == sorted(rows) and len(rows) == spark.read.parquet(f"{SF}/events.parquet").count()
