@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,11 +35,51 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES = threading.local()
+
+
+class scratch:
+    """A scope whose cut tables are deleted at its end, but for the kept ones, which count for the scope around it.
+
+    It may end once everything that is returned reads kept tables or the inputs only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def __enter__(self) -> scratch:
+        self.outer = getattr(_SCOPES, "open", None)
+        _SCOPES.open = self
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.cut_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.open = self.outer
+        for path in self.made:
+            if path in self.kept:
+                if self.outer:
+                    self.outer.made.append(path)
+            else:
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, and a lost executor costs nothing before it."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if scope := getattr(_SCOPES, "open", None):
+        scope.made.append(path)
+    return out
 
 
 def width(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spanning_edges, table, whole_groups, width
+from .common import cut, fresh, scratch, spanning_edges, table, whole_groups, width
 from .components import components
 
 WORDS = 5
@@ -266,34 +266,37 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, component, component_id) for each row; component names the group even where ids are null."""
-    sets = documents_sets(docs, words, id_col, text_col)
-    one = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "band", "sketch")
-    classes = cut(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("one")).select("node", "one.doc_id", "one.text_key", "one.n_shingles", "one.band", "one.sketch"), "classes")
-    groups = cut(coarse_groups(classes, limit), "coarse")
-    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    members = cut(groups.join(sizes, "component"), "members")
-    chosen = cut(classes.select("node", "doc_id", "text_key").join(members, "node"), "chosen")
-    links = components(exact_links(docs, chosen, words, limit, id_col, text_col))
-    named = cut(classes.select("node", "doc_id").join(links, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
-    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
-    final = cut(named.join(least, "component").select("node", "component", "least"), "final")
+    with scratch(docs.sparkSession) as inner:
+        sets = inner.keep(documents_sets(docs, words, id_col, text_col))
+        one = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "band", "sketch")
+        classes = cut(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("one")).select("node", "one.doc_id", "one.text_key", "one.n_shingles", "one.band", "one.sketch"), "classes")
+        groups = cut(coarse_groups(classes, limit), "coarse")
+        sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        members = cut(groups.join(sizes, "component"), "members")
+        chosen = cut(classes.select("node", "doc_id", "text_key").join(members, "node"), "chosen")
+        links = components(exact_links(docs, chosen, words, limit, id_col, text_col))
+        named = cut(classes.select("node", "doc_id").join(links, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+        least = cut(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+        final = inner.keep(cut(named.join(least, "component").select("node", "component", "least"), "final"))
     rows = sets.select("doc_id", "text_key", "n_shingles", "node").join(final, "node", "left")
     return rows.select("doc_id", "text_key", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first, by id, of each group of linked ones. Documents without words stay."""
-    rows = cut(jaccard_components(docs, words, limit, id_col, text_col).where(F.col("component").isNotNull()), "grouped")
-    grouped = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    first = cut(grouped.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "first")
+    key, id_, own = (fresh(docs, c) for c in ("_key", "_id", "_own"))
+    with scratch(docs.sparkSession) as inner:
+        rows = cut(jaccard_components(docs, words, limit, id_col, text_col).where(F.col("component").isNotNull()), "grouped")
+        grouped = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+        first = inner.keep(cut(grouped.select(F.col("first.doc_id").alias(id_), F.col("first.text_key").alias(key)), "first"))
+        # rows that repeat id and text: one of each stays
+        again = inner.keep(cut(rows.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "repeated"))
     empty = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    key, same_id = F.xxhash64(text_col) == F.col("_key"), F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.where(~empty).join(first, key & same_id, "left_semi")
-    # rows that repeat id and text: one of each stays
-    again = cut(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > 1), "repeated")
+    same = (F.xxhash64(text_col) == F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(id_))
+    kept = docs.where(~empty).join(first, same, "left_semi")
     if not again.isEmpty():
-        single = kept.join(again, key & same_id, "left_semi").withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"]).drop("_own")
-        kept = kept.join(again, key & same_id, "left_anti").unionByName(single)
+        single = kept.join(again, same, "left_semi").withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, own]).drop(own)
+        kept = kept.join(again, same, "left_anti").unionByName(single)
     return kept.unionByName(docs.where(empty))
 
 

@@ -91,9 +91,10 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max
     scored = cut(scored.select(*shown, failed(name).alias(failing)), "scored")
     found = host_verdicts(scored, F.col(host_col), F.col(failing), max_rate)
     # the verdicts' files tell their size: Spark broadcasts them while they are small, and shuffles beyond
-    verdicts = found.select(F.col("host").alias("_host"), F.round("rate", 6).alias(rate), "host_kept")
-    joined = scored.join(verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn(kept, ~F.col(failing) & F.col("host_kept")).drop("_host", "host_kept")
+    host, host_kept = fresh(scored, "_host"), fresh(scored, "_host_kept")
+    verdicts = found.select(F.col("host").alias(host), F.round("rate", 6).alias(rate), F.col("host_kept").alias(host_kept))
+    joined = scored.join(verdicts, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    return joined.withColumn(kept, ~F.col(failing) & F.col(host_kept)).drop(host, host_kept)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -206,6 +206,14 @@ def test_mixing_targets(spark):
         assert got == pytest.approx(want)
 
 
+def test_few_documents_meet_their_targets(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([20, 40, 60, 100, 900]), f"s{i % 9}") for i in range(270)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    per = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.max("target").alias("t"), F.max("source_size").alias("s")).collect()
+    assert all(abs(r.n - r.t) < 0.04 * r.t for r in per)
+
+
 def test_mixing_copies(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -261,7 +269,7 @@ def test_secrets_by_brute_force(spark):
         return ",".join(x[2] for x in sorted(found))
 
     found, name = secrets.scan(df)
-    got = {r[0]: (r[1], r[2]) for r in found.select("doc_id", F.sha2(secrets.listed(F.col(name["spans"]), True).cast("binary"), 256), secrets.listed(F.col(name["spans"]), False)).collect()}
+    got = {r[0]: (r[1], r[2]) for r in found.select("doc_id", F.sha2(secrets.listed(F.col(name), True).cast("binary"), 256), secrets.listed(F.col(name), False)).collect()}
     for i, t in enumerate(texts):
         assert got[i][0] == hashlib.sha256(base(t).encode()).hexdigest(), t
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -270,11 +278,47 @@ def test_secrets_by_brute_force(spark):
     assert secrets.redact(odd(spark, empty=True)).count() == 0
 
 
+def test_secrets_in_long_texts_and_beside_candidates():
+    rng = random.Random(8)
+    letters = "ABCxyz0189+/_=- ."
+    for _ in range(300):
+        text = "".join(rng.choice(letters) * rng.randrange(1, 3) if rng.random() < 0.9 else "token=abcdefghij12" for _ in range(200))
+        found = secrets.find(text)
+        base = [(a, b) for a, k, b, _ in found if k < 3]
+        want = {(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text) if all(p.search(m[0]) for p in secrets.MIXED) and all(b <= m.start() or a >= m.end() for a, b in base) and secrets.entropy(m[0]) >= secrets.MIN_ENTROPY}
+        assert {(a, b) for a, k, b, _ in found if k == 3} == want
+    assert len(secrets.find("token=abcdefghijkl " * 20000)) == 20000
+
+
+def test_redact_with_owned_and_copied_values(spark):
+    own, copied = "Zx9Qp2Lm8Rt4Vw6Yb1NcKd", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    rows = [(i, f"see {copied} here", f"s{i}", 1, 2, 3) for i in range(5)] + [(9, f"see {own} and {copied}", "s9", 1, 2, 3), (9, f"see {own} and {copied}", "s9", 1, 2, 3), (10, None, None, None, 2, 3)]
+    # names that helper columns have or had
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, _owner int, value int").withColumns({c: F.lit(1) for c in ("live", "_live", "_text_key", "owner", "_row", "spans")})
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in got.where("text is not null").collect()) == [(i, f"see {copied} here") for i in range(5)] + [(9, f"see [owned] and {copied}")] * 2
+    assert secrets.scan(df)[0].count() == len(rows)
+    assert {r.text for r in secrets.redact(df, max_repositories=1).where("doc_id = 9").collect()} == {f"see {own} and {copied}"}
+
+
+CLASHING = ("row", "_owner", "_of", "_own", "_u", "_key", "_id", "_host", "_host_kept", "host_kept", "kept", "copies", "n", "step", "node", "component")
+
+
+def test_clashing_names(spark):
+    df = odd(spark).withColumns({c: F.lit(7) for c in CLASHING})
+    for out in (secrets.redact(df), mixing.emit(df), ngram_join.one_of_each(df)):
+        assert out.columns == df.columns and out.count() > 0
+    assert mixing.mix(df).columns[: len(df.columns)] == df.columns
+    judged = quality.judge(df)
+    assert judged.count() == len(ODD) and set(df.columns) <= set(judged.columns) and judged.where("row <> 7 or host_kept <> 7").count() == 0
+
+
 def test_only_owners_own_values_are_added(spark):
     own, copied = "Zx9Qp2Lm8Rt4Vw6Yb1NcKd", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
     rows = [(i, f"see {copied} here", f"s{i}") for i in range(5)] + [(9, f"see {own} and {copied}", "s9")]
     found, name = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    spans = {r.doc_id: r[1] for r in found.select("doc_id", secrets.listed(F.col(name["spans"]), False).alias("s")).collect()}
+    spans = {r.doc_id: r[1] for r in found.select("doc_id", secrets.listed(F.col(name), False).alias("s")).collect()}
     assert spans == {**{i: "" for i in range(5)}, 9: f"owned:4:{4 + len(own)}"}
 
 
