@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, mixing, ngram_join, quality, secrets
-from tallymark.llm.common import cut, table
+from tallymark.llm.common import cut, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way is deleted once the next one's input stands."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as whole:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as inner:
+                docs = inner.keep(cut(stage(spark, docs, sf_dir), name))
+        return STAGES[-1][1](spark, whole.keep(docs), sf_dir)
