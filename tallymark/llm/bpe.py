@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .words import SPACE, pieces
 
 #: Pieces whose encodings a Python worker remembers.
@@ -238,25 +238,22 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return _LOADED[ranks_path, pattern]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids") -> DataFrame:
-    """The columns `keep` and the texts' token ids (array<int>)."""
+def _encoding(ranks_path: str, pattern: str, at: int, ids_col: str):
+    """Batches with their texts, in column `at`, as token ids instead."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern).encode_many
         for batch in slices(batches):
-            ids = [x for some in in_batches(batch.column(len(keep)).to_pylist()) for x in enc(some)]
+            ids = [x for some in in_batches(batch.column(at).to_pylist()) for x in enc(some)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, ids_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(pa.array(ends), values)], [*batch.schema.names[:at], ids_col])
 
-    rows = docs.select(*keep, text_col)
-    schema = docs.select(*keep, F.array(F.lit(0)).alias(ids_col)).schema
-    return rows.mapInArrow(work, schema)
+    return work
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """`encoded` with the bytes of its ids."""
-    at = encoded.columns.index(ids_col)
+def _decoding(ranks_path: str, at: int, bytes_col: str):
+    """Batches with the bytes of the ids in column `at` beside their own columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary_bytes(ranks_path)
@@ -269,7 +266,26 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", byte
             binary = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(doc_ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, binary.cast(pa.binary())], [*batch.schema.names, bytes_col])
 
-    return encoded.mapInArrow(work, encoded.select("*", F.lit(b"").alias(bytes_col)).schema)
+    return work
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids") -> DataFrame:
+    """The columns `keep` and the texts' token ids (array<int>)."""
+    schema = docs.select(*keep, F.array(F.lit(0)).alias(ids_col)).schema
+    return docs.select(*keep, text_col).mapInArrow(lean(_encoding(ranks_path, pattern, len(keep), ids_col)), schema)
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
+    """`encoded` with the bytes of its ids."""
+    work = _decoding(ranks_path, encoded.columns.index(ids_col), bytes_col)
+    return encoded.mapInArrow(lean(work), encoded.select("*", F.lit(b"").alias(bytes_col)).schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
+    """The columns `keep`, the texts' ids, and the bytes that the ids decode to, by one Python worker for each task."""
+    there, back = _encoding(ranks_path, pattern, len(keep), ids_col), _decoding(ranks_path, len(keep), bytes_col)
+    schema = docs.select(*keep, F.array(F.lit(0)).alias(ids_col), F.lit(b"").alias(bytes_col)).schema
+    return docs.select(*keep, text_col).mapInArrow(lean(lambda batches: back(there(batches))), schema)
 
 
 class _Blob:
@@ -306,7 +322,7 @@ def vocabulary_bytes(ranks_path: str) -> _Blob:
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encoded and decoded documents as counts and SHA-256 digests."""
-    done = decode(encode(docs, ranks_path, pattern, keep=keep), ranks_path)
+    done = round_trip(docs, ranks_path, pattern, keep=keep)
     return done.select(
         *keep,
         F.size("token_ids").cast("long").alias("n_tokens"),

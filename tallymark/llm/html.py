@@ -1,13 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as text nodes in order, each with its root-to-leaf tag path. Text length and punctuation are summed for
-each path and divided by its number of nodes; both ratios are smoothed over the nodes in page order and fused into
-one score. Nodes whose path passes a threshold are main text, and the lowest element around all of them (around those in
-<main>, where that holds most of them) is the root: all its blocks and the headings before it are taken in order, without the elements that by tag, class, id or role are something else.
-A form, name or role doesn't count where its element holds the article, as page-wide forms and wrappers do.
+each path and divided by its number of nodes; both ratios are smoothed over the nodes in page order, fused into one
+score, and averaged over each path's nodes. Tags, classes, ids and roles that name something beside the article lower
+the scores of the paths in them by PENALTY, unless they hold the article, as page-wide forms and wrappers do.
 
-Defined results: null or empty html, or none with main text, gives an empty text; open elements end with the page;
-repeated rows give the same; other columns don't matter.
+Paths of at least HIGH of the reference score (the mean by length of text, up to LONG a node) are content; the lowest element around
+their nodes (or <article>, or <main> where that holds most of them) is the root. In it nodes of lesser paths stay where they are
+supported: by a score of LOW, or by an article or a container whose text is mostly content, as headings, short items and
+cells are. Headings right before the root are taken too. Nodes whose score was lowered only count if they pass HIGH.
+
+Elements are numbered as they open, so what they hold is summed in one pass from last to first, and a page costs
+time in proportion to its length however deep its elements are.
+
+Defined results: null or empty html, or none with main text, gives an empty text; open elements end with the page, tags,
+comments and declarations that don't end are dropped; repeated rows give the same; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,10 +59,16 @@ HOLDERS = frozenset("html body article main div section center details fieldset
 #: An open element of the first kind ends when one of the second begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
+#: What an article's parts stand in; a part's own container supports it.
+REGIONS = frozenset("#page html body article main section div center form dialog fieldset".split())
 #: Neighbours on each side that a node's ratios are smoothed with.
 REACH = 2
-#: Share of the middle score of unlinked text from which a path holds main text; one huge node doesn't raise it.
-THRESHOLD = 0.1
+#: Length and punctuation of a node beyond which more of it says no more.
+LONG, MARKED = 200, 5
+#: Shares of the reference score from which a path is content, and from which it may be part of it.
+HIGH, LOW = 0.3, 0.1
+#: What is left of the score of a path beside the article.
+PENALTY = 0.03
 #: Share of all score from which a flagged element inside an article is the article's own wrapper.
 WHOLE = 0.9
 #: Share of all text, links too, below which it doesn't: a search box on a page of links.
@@ -63,19 +77,52 @@ SOME = 0.1
 MOST = 0.5
 #: How an element says that it is beside the article: not at all, by a name or form that a wrapper of the page may have too, or plainly.
 NO, SOFT, FIRM = 0, 1, 2
+_COMMENT_END = re.compile(r"--!?>")
+
 
+class Node(NamedTuple):
+    """A text node: its path's number, innermost element, block, length, whether it is linked, and what its score is lowered to."""
 
-class Nodes(HTMLParser):
-    """The text nodes of a page: text, path, block number, elements around it, whether it is linked or hidden."""
+    text: str
+    path: int
+    element: int
+    block: int
+    size: int
+    linked: bool
+    penalty: float = 1.0
+
+
+class Page(HTMLParser):
+    """A page's visible text nodes, and its elements with their parents, tags, paths and flags; element 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str, bool]] = []  # tag, element number, step of the path, hidden
-        self.found: list[tuple[str, str, int, tuple[int, ...], bool, bool]] = []
-        self.elements, self.block = 0, 0
-        self.tags: list[str] = []
-        self.paths: list[str] = []
-        self.flags: list[int] = []
+        self.parent, self.tags, self.path, self.flags, self.hidden, self.linked, self.in_article = [-1], ["#page"], [0], [NO], [False], [False], [False]
+        self.nodes: list[Node] = []
+        self.block = 0
+        self._open = [0]  # elements
+        self._frames: list[tuple[int, dict[str, int]]] = [(0, {})]  # place of each open block, and how many of each other tag stand in it
+        self._blocks: dict[str, int] = {}  # open blocks of each tag
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def read(self, html: str) -> Page:
+        self.feed(html)
+        # what is left is text, or a tag that doesn't end
+        if self.cdata_elem is None and not re.match(r"<[a-zA-Z/!?]", self.rawdata):
+            self.close()
+        return self
+
+    # nothing of a comment or declaration, known or not, is text; those that don't end take the rest
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -83,36 +130,58 @@ class Nodes(HTMLParser):
             return
         if tag in BLOCKS:
             self.block += 1
-            self._end_open(tag)
+            # an open paragraph, or item of the same kind, cannot go on around a new block
+            at, _ = self._frames[-1]
+            name = self.tags[self._open[at]]
+            if name == "p" or tag in CLOSES.get(name, ()):
+                self._close(at)
         if tag in VOID:
             return
         given = {k: v or "" for k, v in attrs}
-        names = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        inside = any(t in ("article", "main") for t, *_ in self.open)
-        role = given.get("role", "").lower()
-        out = (self.open[-1][3] if self.open else False) or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None
-        flag = NO
-        if tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
-            if tag in FIRM_TAGS and not (tag == "header" and inside) or role in FIRM_ROLES or bool(names) and FIRM_NAMES.search(names) is not None:
-                flag = FIRM
-            elif tag in ASIDE or role in ASIDE_ROLES or bool(names) and ASIDE_NAMES.search(names) is not None or bool(names) and not inside and HEADER_NAMES.search(names) is not None:
-                flag = SOFT
+        up = self._open[-1]
         step = f"{tag}.{given['class']}" if given.get("class") else tag
-        self.open.append((tag, self.elements, step, out))
+        self.parent.append(up)
         self.tags.append(tag)
-        self.paths.append("/".join(s for _, _, s, _ in self.open))
-        self.flags.append(flag)
-        self.elements += 1
-
-    def _end_open(self, tag: str) -> None:
-        """End the elements that cannot go on around a new block."""
-        for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
-            if name == "p" or tag in CLOSES.get(name, ()):
-                del self.open[at:]
-                return
-            if name in BLOCKS:
-                return
+        self.path.append(self._paths.setdefault((self.path[up], step), len(self._paths) + 1))
+        self.flags.append(self._flag(tag, given, self.in_article[up]))
+        self.hidden.append(self.hidden[up] or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None)
+        self.linked.append(self.linked[up] or tag == "a")
+        self.in_article.append(self.in_article[up] or tag in ("article", "main"))
+        if tag in BLOCKS:
+            self._frames.append((len(self._open), {}))
+            self._blocks[tag] = self._blocks.get(tag, 0) + 1
+        else:
+            inside = self._frames[-1][1]
+            inside[tag] = inside.get(tag, 0) + 1
+        self._open.append(len(self.tags) - 1)
+
+    @staticmethod
+    def _flag(tag: str, given: dict[str, str], inside: bool) -> int:
+        if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+            return NO
+        names = f"{given.get('class', '')} {given.get('id', '')}".strip()
+        role = given.get("role", "").lower()
+        if tag in FIRM_TAGS and not (tag == "header" and inside) or role in FIRM_ROLES or names and FIRM_NAMES.search(names):
+            return FIRM
+        if tag in ASIDE or role in ASIDE_ROLES or names and ASIDE_NAMES.search(names) or names and not inside and HEADER_NAMES.search(names):
+            return SOFT
+        return NO
+
+    def _close(self, at: int) -> None:
+        """End the open elements from this place on."""
+        for element in self._open[at:]:
+            tag = self.tags[element]
+            if tag in BLOCKS:
+                self._blocks[tag] -= 1
+        while self._frames[-1][0] >= at and len(self._frames) > 1:
+            self._frames.pop()
+        inside = self._frames[-1][1]
+        for element in self._open[at:]:
+            tag = self.tags[element]
+            if tag in BLOCKS:
+                break
+            inside[tag] -= 1
+        del self._open[at:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -120,121 +189,183 @@ class Nodes(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
-            if tag not in BLOCKS and self.open[at][0] in BLOCKS:
-                return
+        # a tag that isn't open, or not within the block, ends nothing
+        if not (self._blocks if tag in BLOCKS else self._frames[-1][1]).get(tag):
+            return
+        at = len(self._open) - 1
+        while self.tags[self._open[at]] != tag:
+            at -= 1
+        self._close(at)
 
     def handle_data(self, data: str) -> None:
-        if not self.open:
+        if len(self._open) == 1:
             if not data.strip():
                 return
             self.handle_starttag("body", [])
-        self.found.append((data, "/".join(step for _, _, step, _ in self.open), self.block, tuple(n for _, n, _, _ in self.open), any(t == "a" for t, *_ in self.open), self.open[-1][3]))
+        element = self._open[-1]
+        if not self.hidden[element]:
+            self.nodes.append(Node(data, self.path[element], element, self.block, len(data.strip()), self.linked[element]))
+
+    # what elements hold, and what holds for all in them
+
+    def sums(self, nodes: list[Node], values) -> np.ndarray:
+        """For each element the sum of its nodes' values, those of the elements in it included."""
+        total = np.zeros(len(self.tags))
+        np.add.at(total, [n.element for n in nodes], values)
+        total = total.tolist()
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return np.array(total)
+
+    def within(self, elements: set[int]) -> list[bool]:
+        """Which elements are one of these or lie in one."""
+        out = [0 in elements]
+        for e in range(1, len(self.tags)):
+            out.append(out[self.parent[e]] or e in elements)
+        return out
 
+    def above(self, kinds: tuple[str, ...], full: np.ndarray) -> set[int]:
+        """The elements around those of some kinds that hold text."""
+        out: set[int] = set()
+        for e in range(len(self.tags) - 1, 0, -1):
+            if full[e] and (self.tags[e] in kinds or e in out):
+                out.add(self.parent[e])
+        return out
 
-def path_scores(nodes: list[tuple]) -> np.ndarray:
-    """The fused, smoothed ratio of each node's path."""
-    paths, at = np.unique([n[1] for n in nodes], return_inverse=True)
-    length = np.array([0.0 if n[4] else len(n[0].strip()) for n in nodes])
-    marks = np.array([0.0 if n[4] else len(PUNCTUATION.findall(n[0])) for n in nodes])
-    count = np.bincount(at, minlength=len(paths))
-    ratios = [np.bincount(at, weights=w, minlength=len(paths))[at] / count[at] for w in (length, marks)]
+
+def path_scores(nodes: list[Node]) -> np.ndarray:
+    """For each node the score of its path: its fused, smoothed ratios, lowered where it lies beside the article."""
+    _, at = np.unique([n.path for n in nodes], return_inverse=True)
+    count = np.bincount(at)
+    length = np.array([0.0 if n.linked else n.size for n in nodes])
+    marks = np.array([0.0 if n.linked else len(PUNCTUATION.findall(n.text)) for n in nodes])
     weight = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / max(1, REACH / 2)) ** 2)
-    full = np.convolve(np.ones(len(nodes)), weight)[REACH : REACH + len(nodes)]
-    smooth = [np.convolve(r, weight)[REACH : REACH + len(nodes)] / full for r in ratios]
-    return np.sqrt(smooth[0] * (1 + smooth[1]))
-
-
-def weights(solid: list[tuple]) -> np.ndarray:
-    """The length of each node whose path holds main text, of all nodes where none does."""
-    score = path_scores(solid)
-    free = [s for s, n in zip(score, solid, strict=True) if not n[4]]
-    weight = np.where(score >= THRESHOLD * np.median(free or score), [len(n[0].strip()) * (0.0 if n[4] else 1.0) for n in solid], 0.0)
-    return weight if weight.any() else np.array([float(len(n[0].strip())) for n in solid])
-
-
-def without_asides(reader: Nodes) -> list[tuple]:
-    """The page's nodes without what is hidden, and without elements beside the article. No element that holds <main> is
-    beside it, nor one of a soft flag that holds, with its likes of the same path, most of the score."""
-    tags, flags = reader.tags, reader.flags
-    nodes = [n for n in reader.found if not n[5]]
-    solid = [n for n in nodes if n[0].strip()]
-    above = lambda kinds: {e for n in solid for k, x in enumerate(n[3]) if tags[x] in kinds for e in n[3][:k]}
-    plain = {e for n in solid for e in n[3] if flags[e] == FIRM} - above(("main",))
+    smooth = lambda x: np.convolve(x, weight)[REACH : REACH + len(nodes)]
+    full = smooth(np.ones(len(nodes)))
+    ratios = [smooth(np.minimum(np.bincount(at, x) / count, most)[at]) / full for x, most in ((length, LONG), (marks, MARKED))]
+    fused = np.sqrt(ratios[0] * (1 + ratios[1])) * [n.penalty for n in nodes]
+    return (np.bincount(at, fused) / count)[at]
+
+
+def content(nodes: list[Node], share: float) -> np.ndarray:
+    """Which nodes' paths reach a share of the reference score, the mean over unlinked text, as far as it isn't beside the article."""
+    score = path_scores(nodes)
+    weight = np.array([min(n.size, LONG) * n.penalty * (not n.linked) for n in nodes])
+    if not weight.any():
+        weight = np.array([n.size * n.penalty for n in nodes])
+    return score >= share * (score @ weight) / weight.sum()
+
+
+def weights(nodes: list[Node]) -> np.ndarray:
+    """The length of each node whose path may be content, of all nodes where none does."""
+    length = np.array([float(n.size) for n in nodes])
+    own = length * content(nodes, LOW) * [not n.linked for n in nodes]
+    return own if own.any() else length
+
+
+def beside(page: Page, solid: list[Node]) -> list[bool] | None:
+    """Which elements lie beside the article. None that holds <main> does, nor one of a soft flag that holds, with its
+    likes of the same path, most of the score. None if all text lies beside it."""
+    tags, flags = page.tags, page.flags
+    size = np.array([float(n.size) for n in solid])
+    full = page.sums(solid, size)
+    around_main, around_article = page.above(("main",), full), page.above(("article",), full)
+    plain = {e for e in range(len(tags)) if flags[e] == FIRM and full[e]} - around_main
     # where nothing else is left, advertisements and comments by name, and all that holds an article, are looked at like wrappers
-    for firm in (plain, {e for e in plain - above(("article",)) if tags[e] in FIRM_TAGS}):
-        rest = [n for n in solid if not firm.intersection(n[3])]
-        flagged = {e for n in rest for e in n[3] if flags[e] and e not in firm}
-        if rest and flagged:
+    for firm in (plain, {e for e in plain - around_article if tags[e] in FIRM_TAGS}):
+        gone = page.within(firm)
+        rest = [n for n in solid if not gone[n.element]]
+        out = set(firm)
+        if rest:
+            length = np.array([float(n.size) for n in rest])
             weight = weights(rest)
-            size = np.array([float(len(n[0].strip())) for n in rest])
-            joint: dict[str, np.ndarray] = {}
-            for n, both in zip(rest, np.column_stack([weight / weight.sum(), size / size.sum()]), strict=True):
-                for path in {reader.paths[e] for e in flagged.intersection(n[3])}:
-                    joint[path] = joint.get(path, 0.0) + both
-            inside, free = set(), False  # flagged elements inside articles; whether an article stands in no flagged element
-            for n in rest:
-                at = next((k for k, e in enumerate(n[3]) if tags[e] in ("article", "main")), None)
-                if at is not None:
-                    inside.update(n[3][at:])
-                    free = free or not flagged.intersection(n[3][:at])
-            around = above(("article", "main"))
-            need = lambda e: WHOLE if e in inside else MOST if e in around or not free else 2.0
-            main = above(("main",))
-            flagged = {e for e in flagged if e not in main and (joint[reader.paths[e]] < (need(e), SOME)).any()}
-        out = firm | flagged
-        if any(not out.intersection(n[3]) for n in solid):
-            return [n for n in nodes if not out.intersection(n[3])]
-    return []
+            left, held = page.sums(rest, length), page.sums(rest, weight)
+            flagged = [e for e in range(len(tags)) if flags[e] and left[e] and not gone[e]]
+            joint: dict[int, np.ndarray] = {}
+            for e in flagged:
+                joint[page.path[e]] = joint.get(page.path[e], 0.0) + np.array([held[e] / weight.sum(), left[e] / length.sum()])
+            in_flagged = page.within(set(flagged))
+            # whether an article stands in no flagged element
+            free = any(left[e] and tags[e] in ("article", "main") and not page.in_article[page.parent[e]] and not in_flagged[page.parent[e]] for e in range(1, len(tags)))
+            around = page.above(("article", "main"), left)
+            need = lambda e: WHOLE if page.in_article[e] else MOST if e in around or not free else 2.0
+            out |= {e for e in flagged if e not in around_main and (joint[page.path[e]] < (need(e), SOME)).any()}
+        inside = page.within(out)
+        if not all(inside[n.element] for n in solid):
+            return inside
+    return None
+
+
+def root_of(page: Page, chosen: list[Node]) -> tuple[int, bool]:
+    """The lowest element around all chosen nodes that holds several blocks, or the article around it, and whether it is that."""
+    held = page.sums(chosen, np.ones(len(chosen)))
+    chain = [e for e in range(len(page.tags)) if held[e] == len(chosen)]
+    whole = next((e for e in chain if page.tags[e] in ("article", "main")), None)
+    if whole is not None:
+        return whole, True
+    return next((e for e in reversed(chain) if page.tags[e] in HOLDERS), 0), False
+
+
+def main_nodes(page: Page) -> list[Node]:
+    """The nodes of the main text, in page order."""
+    tags = page.tags
+    solid = [n for n in page.nodes if n.size]
+    aside = beside(page, solid) if solid else None
+    if aside is None:
+        return []
+    nodes = [n._replace(penalty=PENALTY) if aside[n.element] else n for n in page.nodes]
+    solid = [n for n in nodes if n.size]
+    strong = content(solid, HIGH) & [not n.linked for n in solid]
+    free = np.array([n.penalty == 1 for n in solid])
+    if not (strong & free).any():
+        strong = free
+    mains = page.within({e for e in range(len(tags)) if tags[e] == "main"})
+    sizes = np.array([n.size for n in solid]) * strong
+    in_main = np.array([mains[n.element] for n in solid])
+    if sizes @ in_main >= MOST * sizes.sum():
+        strong &= in_main
+    chosen = [n for n, ok in zip(solid, strong, strict=True) if ok]
+    root, whole = root_of(page, chosen)
+    in_root = page.within({root})
+
+    # what supports a lesser path: its own score, its article, or a container that is mostly content
+    own = [n.size * (n.penalty == 1 and not n.linked) for n in solid]
+    share = page.sums(chosen, [n.size for n in chosen]) >= MOST * page.sums(solid, own)
+    owner, article = [0], [-1]
+    for e in range(1, len(tags)):
+        owner.append(e if tags[e] in REGIONS else owner[page.parent[e]])
+        article.append(e if tags[e] in ("article", "main") and share[e] else article[page.parent[e]])
+    fair = dict(zip((id(n) for n in solid), content(solid, LOW), strict=True))
+    picked = {id(n) for n in chosen}
+    stays = [in_root[n.element] and (id(n) in picked or n.penalty == 1 and bool(fair.get(id(n)) or share[owner[n.element]] or article[n.element] >= 0)) for n in nodes]
+    first = next(k for k, n in enumerate(nodes) if id(n) in picked)
+    heads = page.within({e for e in range(len(tags)) if tags[e] in HEADINGS})
+    if not any(ok and heads[n.element] for n, ok in zip(nodes, stays, strict=True)):
+        before = next((k for k in range(first - 1, -1, -1) if nodes[k].size and not in_root[nodes[k].element] and nodes[k].penalty == 1), -1)
+        while before >= 0 and (not nodes[before].size or heads[nodes[before].element]):
+            stays[before] = nodes[before].penalty == 1
+            before -= 1
+    if not whole:
+        # lists of links around the article
+        kept = [n for n, ok in zip(nodes, stays, strict=True) if ok]
+        both = page.sums(kept, [n.size for n in kept])
+        links = page.sums(kept, [n.size * n.linked for n in kept])
+        chain = set()
+        up = root
+        while up >= 0:
+            chain.add(up)
+            up = page.parent[up]
+        lists = page.within({e for e in range(len(tags)) if tags[e] in ("ul", "ol", "table", "div", "section") and e not in chain and both[e] and links[e] > 0.8 * both[e]})
+        stays = [ok and (page.in_article[n.element] or not lists[n.element]) for n, ok in zip(nodes, stays, strict=True)]
+    return [n for n, ok in zip(nodes, stays, strict=True) if ok]
 
 
 def main_text(html: str) -> str:
     if not html:
         return ""
-    reader = Nodes()
-    reader.feed(html)
-    reader.close()
-    nodes = without_asides(reader)
-    solid = [n for n in nodes if n[0].strip()]
-    if not solid:
-        return ""
-    tags, weight = reader.tags, weights(solid)
-    chosen = [n for n, w in zip(solid, weight, strict=True) if w]
-    mains = {e for n in solid for e in n[3] if tags[e] == "main"}
-    if mains and sum(w for n, w in zip(solid, weight, strict=True) if mains.intersection(n[3])) >= MOST * weight.sum():
-        chosen = [n for n in chosen if mains.intersection(n[3])]
-    around = [es[0] for es in zip(*[n[3] for n in chosen], strict=False) if len(set(es)) == 1]
-    # an article is taken whole; what stands around a single block counts too
-    whole = next((k for k, e in enumerate(around) if tags[e] in ("article", "main")), None)
-    if whole is not None:
-        around = around[: whole + 1]
-    while len(around) > 1 and tags[around[-1]] not in HOLDERS:
-        around.pop()
-    root = around[-1] if around else None  # None: text stands beside the outermost element
-    within = [root is None or root in n[3] for n in nodes]
-    first = within.index(True)
-    if not any(tags[e] in HEADINGS for n, ok in zip(nodes, within, strict=True) if ok for e in n[3]):
-        last = next((k for k in range(first - 1, -1, -1) if nodes[k][0].strip()), -1)
-        while last >= 0 and (not nodes[last][0].strip() or any(tags[e] in HEADINGS for e in nodes[last][3])):
-            within[last] = True
-            last -= 1
-    inside = [n for n, ok in zip(nodes, within, strict=True) if ok]
-    if whole is None:
-        linked: dict[int, list[int]] = {}
-        for n in inside:
-            for element in n[3]:
-                if tags[element] in ("ul", "ol", "table", "div", "section"):
-                    size = linked.setdefault(element, [0, 0])
-                    size[0] += len(n[0].strip()) * n[4]
-                    size[1] += len(n[0].strip())
-        lists = {e for e, (a, b) in linked.items() if e not in around and b and a > 0.8 * b}
-        inside = [n for n in inside if any(tags[e] in ("article", "main") for e in n[3]) or not lists.intersection(n[3])]
     blocks: dict[int, list[str]] = {}
-    for n in inside:
-        blocks.setdefault(n[2], []).append(n[0])
+    for n in main_nodes(Page().read(html)):
+        blocks.setdefault(n.block, []).append(n.text)
     return " ".join(t for t in (" ".join("".join(parts).split()) for parts in blocks.values()) if t)
 
 

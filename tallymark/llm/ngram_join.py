@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, scratch, spanning_edges, table, whole_groups, width
+from .common import cut, fresh, lean, scratch, spanning_edges, table, whole_groups, width
 from .components import components
 
 WORDS = 5
@@ -120,7 +120,7 @@ def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> D
             out["sketch"] = [s[:SKETCH].tobytes() for s in sets]
             yield out
 
-    return cut(rows.mapInPandas(work, "doc_id long, text_key long, n_shingles long, node long, band array<long>, sketch binary"), "sets")
+    return cut(rows.mapInPandas(lean(work), "doc_id long, text_key long, n_shingles long, node long, band array<long>, sketch binary"), "sets")
 
 
 def in_tiles(rows: DataFrame, size: str, key: str, bounds: tuple[int, int]) -> DataFrame:
@@ -192,7 +192,7 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     dealt = tiles.repartition(width(classes.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return components(dealt.mapInPandas(work, "a long, b long"))
+    return components(dealt.mapInPandas(lean(work), "a long, b long"))
 
 
 def t_occurrence(sets: list[np.ndarray], limit: int = LIMIT) -> np.ndarray:
@@ -246,7 +246,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
             out["shingles"] = [s.tobytes() for s in sets]
             yield out
 
-    sets = found.mapInPandas(hashed, "component long, size long, node long, shingles binary")
+    sets = found.mapInPandas(lean(hashed), "component long, size long, node long, shingles binary")
     tiles = in_tiles(sets, "size", "node", SET_BLOCK).select("component", "i", "j", "node", "shingles")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +261,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     dealt = tiles.repartition(width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInPandas(join, "a long, b long")
+    return dealt.mapInPandas(lean(join), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, lean, table
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -82,7 +82,7 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", kee
             yield batch
 
     schema = rows.drop(text).withColumn(found, F.array().cast(SPANS)).schema
-    scanned = cut(rows.mapInPandas(work, schema), "scanned")
+    scanned = cut(rows.mapInPandas(lean(work), schema), "scanned")
     spans = scanned.where(F.size(found) > 0).select(F.col(row).alias("row"), F.col(owner).alias("owner"), F.explode(found).alias("s")).select("row", "owner", "s.*")
     judged = spans.join(_verdicts(spans, max_owners, max_repositories), "value").where((F.col("kind") < 3) | F.col("live"))
     final = judged.groupBy(F.col("row").alias(of)).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias(out))
@@ -107,7 +107,7 @@ def live_values(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
             out["value"] = values
             yield out[out["value"].map(len) > 0]
 
-    found = cut(rows.mapInPandas(work, "text_key long, owner string, row long, value array<long>"), "candidates")
+    found = cut(rows.mapInPandas(lean(work), "text_key long, owner string, row long, value array<long>"), "candidates")
     values = found.withColumn("value", F.explode("value"))
     live = _verdicts(values, max_owners, max_repositories).where("live").select("value")
     return cut(values.join(live, "value").groupBy("text_key").agg(F.collect_set("value").alias("live")), "live")
@@ -137,7 +137,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", m
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    return rows.mapInPandas(work, docs.schema)
+    return rows.mapInPandas(lean(work), docs.schema)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -427,6 +429,78 @@ def test_html_root_leaves_the_rest_out():
     assert html.main_text(PAGE % f"<form>Search here, now.</form><div>{links}</div>").startswith("page 0 of the site")
 
 
+def by_hand(nodes):
+    """Path scores with a loop for each sum."""
+    ratio = {}
+    for path in {n.path for n in nodes}:
+        own = [n for n in nodes if n.path == path]
+        marks = sum(len(html.PUNCTUATION.findall(n.text)) for n in own if not n.linked)
+        ratio[path] = min(sum(len(n.text.strip()) for n in own if not n.linked) / len(own), html.LONG), min(marks / len(own), html.MARKED)
+    fused = []
+    for i, n in enumerate(nodes):
+        near = [(math.exp(-0.5 * (i - j) ** 2), ratio[nodes[j].path]) for j in range(max(0, i - 2), min(len(nodes), i + 3))]
+        length, marks = (sum(w * r[k] for w, r in near) / sum(w for w, _ in near) for k in (0, 1))
+        fused.append(math.sqrt(length * (1 + marks)) * n.penalty)
+    return [sum(f for f, m in zip(fused, nodes, strict=True) if m.path == n.path) / sum(m.path == n.path for m in nodes) for n in nodes]
+
+
+def plain_page(rng):
+    """A page of <div>s without names, and its main text: paragraphs between short lines and menus."""
+    sentence = lambda n: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(n)) + ", and more."
+    short = lambda tag: f"<div><{tag}>" + f"</{tag}><{tag}>".join(rng.choice(["Home", "Log in", "Next", "All news"]) for _ in range(rng.randrange(4, 9))) + f"</{tag}></div>"
+    body = [sentence(rng.randrange(20, 60)) for _ in range(rng.randrange(4, 12))]
+    page = short("span") + short("i") + "<div><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div></div>" + short("i") + short("span")
+    return f"<html><body>{page}</body></html>", " ".join(body)
+
+
+def test_html_paths_choose_the_text(monkeypatch):
+    rng = random.Random(10)
+    pages = [plain_page(rng) for _ in range(40)]
+    for page, want in pages:
+        nodes = [n for n in html.Page().read(page).nodes if n.size]
+        assert html.path_scores(nodes).tolist() == pytest.approx(by_hand(nodes))
+        assert html.main_text(page) == want
+    monkeypatch.setattr(html, "path_scores", lambda nodes: np.ones(len(nodes)))
+    assert all(html.main_text(page) != want for page, want in pages)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_html_of_the_tables(monkeypatch):
+    import html as standard
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+
+    def inner(page):
+        text = re.sub("<br>", " ", re.search("<article>(.*)</article>", page, re.DOTALL)[1])
+        text = re.sub(r'<div class="ad">.*?</div>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<form.*?</form>|<aside.*?</aside>', "", text, flags=re.DOTALL)
+        return " ".join(standard.unescape(re.sub("<[^>]*>", " ", text)).split())
+
+    found = [html.main_text(p) for p in pages]
+    same = lambda a, b: a.replace(" ", "") == b.replace(" ", "")
+    assert all(same(a, inner(p)) for a, p in zip(found, pages, strict=True))
+    # neither the article's tag nor constant scores give this
+    assert [html.main_text(re.sub(r"(</?)article", r"\1div", p)) for p in pages] == found
+    monkeypatch.setattr(html, "path_scores", lambda nodes: np.ones(len(nodes)))
+    assert not any(same(html.main_text(p), inner(p)) for p in pages)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [("<![foo[bar]]><p>a</p>", "a"), ("<p>a</p><!doctype x", "a"), ("<p>a</p><!-- x", "a"), ("<p>a &am", "a &am"), ("<p>a</p><p class='x", "a"), ("a < b", "a < b"), ("<p>a<script>x", "a"), ("<!>a", "a"), ("a<![CDATA[x]]>b", "ab"), ("<!-->a<!--->b", "ab"), ("</p>a</b>", "a")],
+)
+def test_html_malformed(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b>x, ", "<div>x, ", "<i></b>x", "<i><hr>x"])
+def test_html_deep_pages_take_linear_time(part):
+    start = time.process_time()
+    assert html.main_text("<p>" + part * 30000).count("x") == 30000
+    assert time.process_time() - start < 15
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.extract(df).collect()) == ["", "", "a"]
