@@ -40,7 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text"))
 
 
