@@ -1,9 +1,10 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are packed into chunks of a bounded size; each chunk is broadcast in turn, and every
-partition of the candidates multiplies its tiles with it, keeps the k best of a tile by partial
-selection and merges them into one running list per query. The partitions' lists are merged
-once more by Spark. Scores are integers, so results are exact and do not depend on the order of work.
+Queries are dealt to groups of a bounded size and candidates to shards, both packed into blocks of vectors. Each pair of a
+group and a shard is one cell of a grid: Spark shuffles the blocks to their cells, and a task holds one group's
+queries while the shard's blocks pass by. Each tile, a block of queries times one of candidates, is a matrix product of which
+partial selection keeps the k best of each query. The cells' lists are merged as a tree, FAN lists at a time.
+Scores are integers, so results are exact and do not depend on the order of work. Nothing passes through the driver but counts.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, take no part;
 ties go to the smaller id; a repeated id counts once, with its best score; vectors of another
@@ -13,19 +14,22 @@ length than the query's are not compared; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table, width
 
-#: Queries broadcast at once; with 64 components a chunk holds about 4 MB.
-CHUNK = 8192
-#: Candidates in a tile.
-TILE = 4096
+#: Vectors in a block; a tile's scores are 32 MB.
+BLOCK = 2048
+#: Queries in a group, about; with 64 components 16 MB.
+GROUP = 16 * BLOCK
+#: Candidates in a shard, at most about; there are as many shards as tasks, if that is more.
+SHARD = 1 << 20
+#: Lists merged at once.
+FAN = 16
 
 
 def quantise(vectors: pd.Series, scale: int) -> np.ndarray:
@@ -75,57 +79,84 @@ def keep_best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tu
     return row[top], ids[top], score[top]
 
 
-def partial_lists(candidates: DataFrame, q_ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
-    """One broadcast chunk of queries against every candidate: at most k rows for each query and partition."""
-    shared = candidates.sparkSession.sparkContext.broadcast((q_ids, queries))
+def packed(rows: DataFrame, scale: int) -> DataFrame:
+    """(d, ids, data): blocks of up to BLOCK vectors of one length, their ids ascending."""
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, q = shared.value
-        held = None
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["v"].map(len).to_numpy(dtype=np.int64) == q.shape[1]] if len(batch) else batch
-            for at in range(0, len(batch), TILE):
-                tile = batch.iloc[at : at + TILE]
-                vectors, ids = quantise(tile["v"], scale), tile["id"].to_numpy(dtype=np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids, vectors = ids[order], vectors[order]
-                if (np.diff(ids) == 0).any():  # a repeated id: one matrix of its first rows, the others apart
-                    first = np.append(True, np.diff(ids) != 0)
-                    parts = [(ids[first], vectors[first])] + [(ids[i : i + 1], vectors[i : i + 1]) for i in np.nonzero(~first)[0]]
-                else:
-                    parts = [(ids, vectors)]
-                for i, v in parts:
-                    new = best_of_tile(ids_q, q, i, v, k)
-                    held = keep_best(*(np.concatenate(x) for x in zip(held, new, strict=True)), k) if held else keep_best(*new, k)
-        if held:
-            yield pd.DataFrame({"query_id": ids_q[held[0]], "vec_id": held[1], "score": held[2]})
-
-    return candidates.mapInPandas(search, "query_id long, vec_id long, score long")
-
-
-def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: int = 256, chunk: int = CHUNK) -> DataFrame:
+            for d, same in batch.groupby(batch["v"].map(len)):
+                for at in range(0, len(same), BLOCK):
+                    some = same.iloc[at : at + BLOCK].sort_values("id", kind="stable")
+                    yield pd.DataFrame({"d": [d], "ids": [some["id"].to_numpy(dtype="<i8").tobytes()], "data": [quantise(some["v"], scale).tobytes()]})
+
+    return rows.mapInPandas(lean(work), "d int, ids binary, data binary")
+
+
+def _unpacked(d: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, dtype="<i8"), np.frombuffer(data).reshape(-1, d)
+
+
+def search_cells(cells: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, shard): the k best of each query in each cell. cells: (grp, shard, side, d, ids, data), side 0 the queries."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, queries, held = None, [], []
+
+        def lists() -> Iterator[pd.DataFrame]:
+            for (_, ids, _), best in zip(queries, held, strict=True):
+                if best:
+                    yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2], "shard": cell[1]})
+
+        for batch in batches:
+            for row in batch.itertuples():
+                if cell != (row.grp, row.shard):
+                    yield from lists()
+                    cell, queries, held = (row.grp, row.shard), [], []
+                ids, vectors = _unpacked(row.d, row.ids, row.data)
+                if row.side == 0:
+                    queries.append((row.d, ids, vectors))
+                    held.append(None)
+                    continue
+                # a repeated id: one matrix of its first rows, the others apart
+                first = np.append(True, np.diff(ids) != 0)
+                parts = [(ids[first], vectors[first])] + [(ids[i : i + 1], vectors[i : i + 1]) for i in np.nonzero(~first)[0]]
+                for q, (d, ids_q, block) in enumerate(queries):
+                    for i, v in parts if d == row.d else []:
+                        new = best_of_tile(ids_q, block, i, v, k)
+                        held[q] = keep_best(*(np.concatenate(x) for x in zip(held[q], new, strict=True)), k) if held[q] else keep_best(*new, k)
+        yield from lists()
+
+    return cells.mapInPandas(lean(work), "query_id long, vec_id long, score long, shard int")
+
+
+def merged(lists: DataFrame, shards: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from the shards' lists, FAN of them at a time."""
+    while True:
+        shards = -(-shards // FAN)
+        once = lists.groupBy("query_id", F.floor(F.col("shard") / FAN).cast("int").alias("shard"), "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "vec_id")
+        lists = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if shards <= 1:
+            return lists.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: int = 256, group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where `is_query` holds.
 
-    `chunk` bounds what the driver holds and broadcasts at a time; there are as many rounds as it takes.
+    `group` bounds the queries that a task holds, about; `shard` the candidates that it goes through.
     """
     fine = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull()).where(fine)
     rows = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = usable.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    plan = asked.select("id", F.size("v").alias("d")).groupBy("d").agg(F.count("*").alias("n")).collect()  # one row for each vector length
-    lists = []
-    for d, n in ((r["d"], r["n"]) for r in plan):
-        parts = max(1, -(-n // chunk))
-        for part in range(parts):
-            got = asked.where(F.size("v") == d).where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toPandas()
-            for at in range(0, len(got), 2 * chunk):
-                some = got.iloc[at : at + 2 * chunk]
-                lists.append(partial_lists(rows, some["id"].to_numpy(dtype=np.int64), quantise(some["v"], scale), k, scale))
-    if not lists:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = reduce(DataFrame.unionAll, lists).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, n_asked = usable.agg(F.count("*"), F.count_if(is_query)).first()
+    n_groups, tasks = max(1, -(-n_asked // group)), width(vectors.sparkSession)
+    n_shards = max(-(-n // shard), -(-tasks // n_groups))
+    # queries by a hash of their ids, so that a block's rows are whole in one task; candidates block by block, in turn
+    blocks = packed(asked.repartition(n_groups, F.xxhash64("id")), scale).select(F.pmod(F.spark_partition_id(), F.lit(n_groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(0).alias("side"), "d", "ids", "data")
+    tiles = packed(rows, scale).select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), F.pmod(F.xxhash64("ids"), F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("side"), "d", "ids", "data")
+    cells = blocks.unionAll(tiles).repartition(tasks, "grp", "shard").sortWithinPartitions("grp", "shard", "side")
+    return merged(search_cells(cells, k), n_shards, k)
 
 
 def op8_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -164,6 +164,17 @@ def test_token_files(spark, tmp_path):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(odd(spark, empty=True), f"file://{tmp_path}/e", path, 2)).count() == 0
 
 
+def test_token_files_of_one_long_range(spark, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokenfiles, "BATCH_CHARS", 300)
+    path = tokenizers.path("byte_bpe_50k.json")
+    df = spark.range(25000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), (F.col("id") % 5).cast("int")).alias("text"))
+    one = tokenfiles.read_token_files(tokenfiles.write_token_files(df, f"file://{tmp_path}/one", path, 2, files=1))
+    many = tokenfiles.read_token_files(tokenfiles.write_token_files(df, f"file://{tmp_path}/many", path, 2, files=7))
+    assert one.count() == 25000 and one.exceptAll(many).count() == 0
+    assert {p.suffix for p in (tmp_path / "one").iterdir()} == {".bin", ".idx", ".doc", ".nul"} and len(list((tmp_path / "one").iterdir())) == 4
+
+
 def test_token_files_with_special_tokens(spark, tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     lib = pytest.importorskip("tokenizers")
@@ -330,7 +341,7 @@ def test_top_k_by_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     clean = {i: [math.floor(256 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
     got = {}
-    for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, chunk=2).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, group=2, shard=4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hold = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
     for q in (i for i in clean if i % 50 == 0):
@@ -340,6 +351,13 @@ def test_top_k_by_brute_force(spark):
     assert topk.top_k(df.where("false"), "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_repeated_ids_and_unequal_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [9.0, 9.0, 9.0]), (50, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"d": F.lit(1), "shard": F.lit(2)})
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 1, 2 * 65536), (0, 2, 2, 65536), (50, 1, 3, 27 * 65536)]
+
+
 def test_code_lengths_by_brute_force(spark):
     rows = [("x", "abracadabra abra"), ("y", "hocus pocus fidibus"), ("y", "é ü")]
     counts = language.gram_counts(spark.createDataFrame(rows, "lang string, text string").repartition(1), 2).toPandas()
