@@ -1,9 +1,9 @@
 """Token-id files: flat unsigned integers with 64-bit document offsets.
 
-Documents are sorted into ranges of ids; each task encodes its range and writes three files
-(tokens, offsets, document ids) under its final name in one step, so a task that runs twice leaves the
-same files. One row per file forms the manifest, whose prefix sums give each file's base. Readers
-map the token file into memory and find a document by its offsets.
+Documents are sorted into ranges of ids, as many as the texts' bytes ask for. Each task encodes its range batch by batch into
+open drafts (tokens, offsets, document ids, nulls), so it holds one batch whatever the range's size, and renames them at
+the end: a task that runs twice leaves the same files. One row per file forms the manifest, whose prefix sums give
+each file's base. Readers map the token file into memory and find a document by its offsets.
 
 Layout of part NNNNN: `.bin` little-endian ids, 16 bits while the vocabulary allows it and 32 otherwise;
 `.idx` n + 1 little-endian 64-bit offsets in tokens; `.doc` n little-endian 64-bit document ids; `.nul` n bytes, 1 for a null id.
@@ -25,12 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table, width
+from .common import cut, lean, new_path, table, width
 from .words import pieces
 
 REMEMBERED = 1_000_000
 #: Encoded at once, in characters.
 BATCH_CHARS = 4_000_000
+#: Bytes of text for each set of files, about.
+FILE_BYTES = 256 << 20
+#: Documents read at once.
+READ = 2000
 
 
 class LibraryEncoder:
@@ -106,60 +110,78 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write(path: str, chunks: list[bytes]) -> None:
-    store, name = _store(path)
-    store.create_dir(os.path.dirname(name), recursive=True)
-    draft = f"{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(draft) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    store.move(draft, name)
+class _Part:
+    """The files of a range while they are written: drafts until `done` gives them their names."""
 
+    def __init__(self, path: str):
+        self.store, self.name = _store(path)
+        self.store.create_dir(os.path.dirname(self.name), recursive=True)
+        self.draft = f"{self.name}.{uuid.uuid4().hex}"
+        self.open = {kind: self.store.open_output_stream(f"{self.draft}.{kind}") for kind in ("bin", "idx", "doc", "nul")}
 
-def _read(path: str, dtype: str) -> np.ndarray:
-    """A file's numbers, mapped into memory where the store is local."""
-    store, name = _store(path)
-    if not store.get_file_info(name).size:
-        return np.zeros(0, dtype=dtype)
-    if urlparse(path).scheme in ("", "file"):
-        return np.memmap(name, dtype=dtype, mode="r")
-    with store.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    def write(self, kind: str, numbers: np.ndarray, dtype: str) -> None:
+        self.open[kind].write(np.ascontiguousarray(numbers, dtype=dtype).tobytes())
+
+    def done(self) -> None:
+        for kind, out in self.open.items():
+            out.close()
+            self.store.move(f"{self.draft}.{kind}", f"{self.name}.{kind}")
+
+
+class _Numbers:
+    """A file's numbers by ranges, mapped into memory where the store is local."""
+
+    def __init__(self, path: str, dtype: str):
+        store, name = _store(path)
+        self.dtype = np.dtype(dtype)
+        self.size = store.get_file_info(name).size // self.dtype.itemsize
+        self.local = np.memmap(name, dtype=dtype, mode="r") if self.size and urlparse(path).scheme in ("", "file") else None
+        self.file = store.open_input_file(name) if self.local is None else None
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.local is not None:
+            return self.local[at]
+        lo, hi, _ = at.indices(self.size)
+        return np.frombuffer(self.file.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), dtype=self.dtype)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; gives the manifest (part, n_docs, n_tokens, bits, base, path) in order of ids."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    ranges = rows.repartitionByRange(files or width(spark), "id", "tie").sortWithinPartitions("id", "tie", "text")
+    if files is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(width(docs.sparkSession), -(-size // FILE_BYTES))
+    ranges = rows.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie", "text")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}"
         enc = library_encoder(tokenizer_path)
         dtype = "<u2" if max(enc.size - 1, end_id) < 2**16 else "<u4"
         end = np.array([end_id], dtype="<u4").tobytes()
-        tokens, sizes, ids = [], [], []
+        part, n_docs, n_tokens = None, 0, 0
         for batch in batches:
+            if len(batch) and part is None:
+                part = _Part(path)
+                part.write("idx", np.zeros(1), "<i8")
             texts = batch["text"].fillna("").tolist()
-            ids.append(batch["id"])
-            lengths = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            for k in np.unique(lengths):
-                lo, hi = np.searchsorted(lengths, [k, k + 1])
+            places = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+            for k in np.unique(places):
+                lo, hi = np.searchsorted(places, [k, k + 1])
                 coded = enc.many(texts[lo:hi])
-                sizes += [len(x) // 4 + 1 for x in coded]
-                tokens.append(np.frombuffer(b"".join(x + end for x in coded), dtype="<u4").astype(dtype).tobytes())
-        if sizes:
-            path = f"{folder}/part-{part:05d}"
-            all_ids = pd.concat(ids)
-            _write(f"{path}.bin", tokens)
-            _write(f"{path}.idx", [np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()])
-            _write(f"{path}.doc", [all_ids.fillna(0).to_numpy().astype("<i8").tobytes()])
-            _write(f"{path}.nul", [all_ids.isna().to_numpy().astype("u1").tobytes()])
-            yield pd.DataFrame({"part": [part], "n_docs": [len(sizes)], "n_tokens": [int(np.sum(sizes))], "bits": [16 if dtype == "<u2" else 32], "path": [path]})
-
-    made = cut(ranges.mapInPandas(work, "part int, n_docs long, n_tokens long, bits int, path string"), "token-manifest")
+                ends = n_tokens + np.cumsum([len(x) // 4 + 1 for x in coded])
+                part.write("bin", np.frombuffer(b"".join(x + end for x in coded), dtype="<u4"), dtype)
+                part.write("idx", ends, "<i8")
+                n_docs, n_tokens = n_docs + len(coded), int(ends[-1])
+            if len(batch):
+                part.write("doc", batch["id"].fillna(0).to_numpy(), "<i8")
+                part.write("nul", batch["id"].isna().to_numpy(), "u1")
+        if part:
+            part.done()
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n_docs": [n_docs], "n_tokens": [n_tokens], "bits": [16 if dtype == "<u2" else 32], "path": [path]})
+
+    made = cut(ranges.mapInPandas(lean(work), "part int, n_docs long, n_tokens long, bits int, path string"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
@@ -170,14 +192,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                tokens, index = _read(f"{row.path}.bin", f"<u{row.bits // 8}"), _read(f"{row.path}.idx", "<i8")
-                ids, null = _read(f"{row.path}.doc", "<i8"), _read(f"{row.path}.nul", "u1")
-                for at in range(0, len(ids), 2000):
-                    ends = index[at : at + 2001]
+                tokens, index, ids, null = _Numbers(f"{row.path}.bin", f"<u{row.bits // 8}"), _Numbers(f"{row.path}.idx", "<i8"), _Numbers(f"{row.path}.doc", "<i8"), _Numbers(f"{row.path}.nul", "u1")
+                for at in range(0, row.n_docs, READ):
+                    ends = index[at : at + READ + 1]
+                    some = tokens[ends[0] : ends[-1]]
                     yield pd.DataFrame({
-                        "doc_id": pd.Series(ids[at : at + 2000], dtype="Int64").mask(null[at : at + 2000] == 1),
+                        "doc_id": pd.Series(ids[at : at + READ], dtype="Int64").mask(null[at : at + READ] == 1),
                         "start": row.base + ends[:-1], "n_tokens": np.diff(ends),
-                        "token_bytes": [tokens[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
+                        "token_bytes": [some[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)],
                     })
 
     spread = manifest.repartition(width(manifest.sparkSession), "part")
