@@ -5,14 +5,15 @@
    no longer). Large buckets are cut into blocks, and blocks meet in tiles. Pairs whose sketches share too little to reach the
    threshold are left; the others connect classes into coarse groups. Of each tile only connecting edges leave.
 3. Within each coarse group, again in tiles, sets are joined exactly as a T-occurrence search: each set is a query to
-   the tile's inverted lists. Short lists are merged by counting; the longest lists, as many as DivideSkip allows while no
-   answer can be missed, are probed by binary search for the few rows that are left. Rows that reach the overlap that
-   the threshold asks for are linked.
+   the tile's inverted lists. Short lists are merged by a heap (by counting, where they hold more than HEAP rows); the longest
+   lists, as many as DivideSkip allows while no answer can be missed, are probed by binary search for the few rows
+   that are left. Rows that reach the overlap that the threshold asks for are linked.
 4. Links are contracted to connected components.
 
 A pair at the threshold has its smallest common hash beyond both bands with a chance of (1 - similarity) ** BAND,
 below 1e-12, and shares fewer than MATCHES hashes of its sketches with one below 1e-9; sets of up to 76 shingles have
-their whole prefix in the band, so that no pair of those is lost.
+their whole prefix in the band, so that no pair of those is lost. With `exact=True` every set's band is its whole prefix and
+sketches rule out nothing, so no pair can be lost, for more bucket rows (a quarter of all shingles).
 
 Defined results: texts without words, or null, have empty sets and stand alone; fewer words than a shingle make one; ids may
 repeat or be null (rows count by their texts; the smallest id that is not null names a component); extra columns are ignored.
@@ -21,6 +22,7 @@ repeat or be null (rows count by their texts; the smallest id that is not null n
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ WORDS = 5
 #: Similarity of links in hundredths.
 LIMIT = 75
 BAND, SKETCH, MATCHES = 20, 48, 16
+#: Rows in short lists up to which a heap merges them.
+HEAP = 256
 #: Rows of a block: a sixteenth of its bucket or group, within these bounds; sketches are shorter than sets.
 SKETCH_BLOCK, SET_BLOCK = (512, 2048), (256, 1024)
 #: Bytes of text hashed at once.
@@ -105,7 +109,7 @@ def _needed(n: np.ndarray, m: np.ndarray, limit: int) -> np.ndarray:
     return -(-limit * (n + m) // (100 + limit))
 
 
-def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str, limit: int = LIMIT, exact: bool = False) -> DataFrame:
     """(doc_id, text_key, n_shingles, node, band, sketch); node names the class of equal sets, null for empty ones."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
@@ -116,7 +120,8 @@ def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> D
             out = batch.drop(columns="text")
             out["n_shingles"] = [len(s) for s in sets]
             out["node"] = pd.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets], dtype="Int64")
-            out["band"] = [s[:BAND].astype(np.int64) for s in sets]
+            # the prefix: all hashes but as many as two linked sets have in common, less one
+            out["band"] = [s[: len(s) - -(-limit * len(s) // 100) + 1 if exact else BAND].astype(np.int64) for s in sets]
             out["sketch"] = [s[:SKETCH].tobytes() for s in sets]
             yield out
 
@@ -133,7 +138,7 @@ def in_tiles(rows: DataFrame, size: str, key: str, bounds: tuple[int, int]) -> D
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
-def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int) -> np.ndarray:
+def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int, matches: int) -> np.ndarray:
     """Which rows of a tile may reach the limit, by their sizes and sketches. Rows that have met in the bucket of a smaller token are left to it."""
     lengths = np.array([len(s) // 8 for s in sketches])
     tokens, at, count = np.unique(np.frombuffer(b"".join(sketches), dtype=np.uint64), return_inverse=True, return_counts=True)
@@ -151,10 +156,10 @@ def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int) -
     met[rows[early], column[at[early]]] = 1
     met = met[:, met.any(axis=0)]
     small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    return (met @ met.T == 0) & (has @ has.T >= np.minimum(MATCHES, _needed(small, large, limit))) & (100 * small >= limit * large)
+    return (met @ met.T == 0) & (has @ has.T >= np.minimum(matches, _needed(small, large, limit))) & (100 * small >= limit * large)
 
 
-def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
+def coarse_groups(classes: DataFrame, limit: int, matches: int = MATCHES) -> DataFrame:
     """(node, component) of the classes that may be linked with another."""
     tokens = classes.select("node", F.explode("band").alias("token"))
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
@@ -182,11 +187,11 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
                 side.sort(axis=1)
                 common = (side[:, 1:] == side[:, :-1]).sum(axis=1)
                 small, large = np.minimum(n[p], n[p + 1]), np.maximum(n[p], n[p + 1])
-                ok = (common >= np.minimum(MATCHES, _needed(small, large, limit))) & (100 * small >= limit * large)
+                ok = (common >= np.minimum(matches, _needed(small, large, limit))) & (100 * small >= limit * large)
                 a += node[p[ok]].tolist()
                 b += node[p[ok] + 1].tolist()
             for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-                for x, y in spanning_edges(coarse_links(n[lo:hi], sketch[lo:hi], token[lo], limit)):
+                for x, y in spanning_edges(coarse_links(n[lo:hi], sketch[lo:hi], token[lo], limit, matches)):
                     a.append(node[lo + x])
                     b.append(node[lo + y])
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
@@ -195,6 +200,17 @@ def coarse_groups(classes: DataFrame, limit: int) -> DataFrame:
     return components(dealt.mapInPandas(lean(work), "a long, b long"))
 
 
+def merged(lists: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """In how many of these lists each of n rows stands."""
+    total = int(sizes.sum())
+    if total > HEAP:
+        return np.bincount(lists[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)], minlength=n)
+    seen = np.zeros(n, dtype=np.int64)
+    for row in heapq.merge(*(lists[a : a + size].tolist() for a, size in zip(starts.tolist(), sizes.tolist(), strict=True))):
+        seen[row] += 1
+    return seen
+
+
 def t_occurrence(sets: list[np.ndarray], limit: int = LIMIT) -> np.ndarray:
     """Which rows are linked, exactly: each set in turn is searched in the inverted lists of all."""
     n = np.array([len(s) for s in sets])
@@ -213,9 +229,7 @@ def t_occurrence(sets: list[np.ndarray], limit: int = LIMIT) -> np.ndarray:
         # DivideSkip: the more answers are asked for, and the shorter the longest list, the more lists are left out of the merge
         skip = int(min(least - 1, least / (0.01 * np.log2(count[mine[-1]] + 1) + 1)))
         short, long = (mine[:-skip], mine[-skip:]) if skip > 0 else (mine, mine[:0])
-        size = count[short]
-        where = np.repeat(starts[short] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        seen = np.bincount(lists[where], minlength=len(sets))
+        seen = merged(lists, starts[short], count[short], len(sets))
         fits = (100 * np.minimum(n, n[x]) >= limit * np.maximum(n, n[x])) & (seen >= np.maximum(1, least - skip))
         fits[: x + 1] = False
         left = np.nonzero(fits)[0]
@@ -264,13 +278,13 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
     return dealt.mapInPandas(lean(join), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(doc_id, text_key, n_shingles, component, component_id) for each row; component names the group even where ids are null."""
     with scratch(docs.sparkSession) as inner:
-        sets = inner.keep(documents_sets(docs, words, id_col, text_col))
+        sets = inner.keep(documents_sets(docs, words, id_col, text_col, limit, exact))
         one = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "band", "sketch")
         classes = cut(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("one")).select("node", "one.doc_id", "one.text_key", "one.n_shingles", "one.band", "one.sketch"), "classes")
-        groups = cut(coarse_groups(classes, limit), "coarse")
+        groups = cut(coarse_groups(classes, limit, 0 if exact else MATCHES), "coarse")
         sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
         members = cut(groups.join(sizes, "component"), "members")
         chosen = cut(classes.select("node", "doc_id", "text_key").join(members, "node"), "chosen")

@@ -58,7 +58,16 @@ def test_join_by_brute_force(spark):
     assert kept == sorted(d for d in sets if group[d] == d)
 
 
-def test_t_occurrence_by_brute_force():
+def test_exact_join_and_recall(spark):
+    df = spark.createDataFrame(near_copies(seed=11, n=300), "doc_id long, text string")
+    exact = ngram_join.jaccard_components(df, exact=True).select("doc_id", "n_shingles", "component_id")
+    fast = ngram_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id")
+    assert exact.count() == 300 and exact.exceptAll(fast).count() == 0
+
+
+@pytest.mark.parametrize("heap", [0, 256, 10**9])
+def test_t_occurrence_by_brute_force(heap, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAP", heap)
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(120)]
     sets += [s[:-1] if len(s) > 4 else s for s in sets[:30]]
