@@ -42,7 +42,9 @@ HEAP = 256
 #: Rows of a block: a sixteenth of its bucket or group, within these bounds; sketches are shorter than sets.
 SKETCH_BLOCK, SET_BLOCK = (512, 2048), (256, 1024)
 #: Bytes of text hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows of a tile compared with all others at once.
+STRIP = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -155,8 +157,12 @@ def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int, m
     met = np.zeros_like(has)
     met[rows[early], column[at[early]]] = 1
     met = met[:, met.any(axis=0)]
-    small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    return (met @ met.T == 0) & (has @ has.T >= np.minimum(matches, _needed(small, large, limit))) & (100 * small >= limit * large)
+    out = np.zeros((len(n), len(n)), dtype=bool)
+    for lo in range(0, len(n), STRIP):
+        some = slice(lo, lo + STRIP)
+        small, large = np.minimum.outer(n[some], n), np.maximum.outer(n[some], n)
+        out[some] = (met[some] @ met.T == 0) & (has[some] @ has.T >= np.minimum(matches, _needed(small, large, limit))) & (100 * small >= limit * large)
+    return out
 
 
 def coarse_groups(classes: DataFrame, limit: int, matches: int = MATCHES) -> DataFrame:
