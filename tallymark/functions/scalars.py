@@ -70,10 +70,14 @@ def format_uptime(seconds) -> Column:
     return F.format_string("%02d:%02d:%02d:%02d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
 
 
+def key_digest(key, bits: int = 512) -> Column:
+    return F.sha2(col(key).cast("binary"), bits)
+
+
 def key_allowed(key, stored_digest) -> Column:
     """A key is checked by its SHA-512 where a digest is stored, and all are allowed where none is; an empty key is not."""
     stored, given = col(stored_digest), F.coalesce(col(key), F.lit(""))
-    return F.when(F.coalesce(stored, F.lit("")) == "", F.lit(True)).otherwise((given != "") & (F.sha2(given.cast("binary"), 512) == F.lower(stored)))
+    return F.when(F.coalesce(stored, F.lit("")) == "", F.lit(True)).otherwise((given != "") & (key_digest(given) == F.lower(stored)))
 
 
 def is_blank(text) -> Column:

@@ -32,27 +32,33 @@ class PageError(ValueError):
 # --- masks and fills
 
 
+def half_widths(radius: int) -> list[int]:
+    """How far a filled circle reaches sideways in the rows at distance 0..radius from its middle.
+
+    The circle is the one that the integer midpoint rule draws (OpenCV's filled `circle`, 8-connected): an eighth of it is
+    walked row by row, a step inwards taken whenever the running sum of the rule turns positive; mirrored at the diagonal.
+    """
+    reach = [-1] * (radius + 1)
+    side, excess = radius, 0
+    for row in range(radius + 1):
+        if row > side:
+            break
+        reach[row], reach[side] = max(reach[row], side), max(reach[side], row)
+        excess += 2 * row + 1
+        if excess > 0:
+            excess -= 2 * side - 1
+            side -= 1
+    return reach
+
+
 @lru_cache(maxsize=256)
 def disk(width: int, height: int, radius: int) -> np.ndarray:
-    """A filled circle around the middle of a field, by the midpoint rule."""
+    """A filled circle around the middle of a field."""
     mask = np.zeros((height, width), dtype=bool)
-    if radius < 0:
-        return mask
-    reach = np.full(radius + 1, -1)  # half width of the rows at each distance from the middle
-    x, y, err, plus, minus = radius, 0, 0, 1, 2 * radius - 1
-    while x >= y:
-        reach[y], reach[x] = max(reach[y], x), max(reach[x], y)
-        y += 1
-        err += plus
-        plus += 2
-        if err > 0:
-            err -= minus
-            x -= 1
-            minus -= 2
-    cy, cx = height // 2, width // 2
-    for dy in range(-radius, radius + 1):
-        if 0 <= cy + dy < height and reach[abs(dy)] >= 0:
-            mask[cy + dy, max(0, cx - reach[abs(dy)]) : cx + reach[abs(dy)] + 1] = True
+    if radius >= 0:
+        reach = np.array(half_widths(radius))
+        dy, dx = np.abs(np.arange(height) - height // 2)[:, None], np.abs(np.arange(width) - width // 2)[None, :]
+        mask = (dy <= radius) & (dx <= reach[np.minimum(dy, radius)])
     return mask
 
 
@@ -77,17 +83,28 @@ def fill_ratio(page: np.ndarray, cx: int, cy: int, mask: np.ndarray) -> float:
 
 def _surface(page: np.ndarray, cx: int, cy: int, mask: np.ndarray, radius: int) -> np.ndarray:
     """Fill ratios at all offsets (dy, dx) within a radius."""
-    return np.array([[fill_ratio(page, cx + dx, cy + dy, mask) for dx in range(-radius, radius + 1)] for dy in range(-radius, radius + 1)])
+    h, w = mask.shape
+    out, area = np.zeros((2 * radius + 1, 2 * radius + 1)), int(mask.sum())
+    ys, xs = cy - h // 2 + np.arange(-radius, radius + 1), cx - w // 2 + np.arange(-radius, radius + 1)
+    rows, cols = np.nonzero((ys >= 0) & (ys + h <= page.shape[0]))[0], np.nonzero((xs >= 0) & (xs + w <= page.shape[1]))[0]
+    if area and len(rows) and len(cols):
+        field = page[ys[rows[0]] : ys[rows[-1]] + h, xs[cols[0]] : xs[cols[-1]] + w] != 0
+        out[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1] = np.lib.stride_tricks.sliding_window_view(field, (h, w))[:, :, mask].sum(axis=-1) / area
+    return out
 
 
 def align(page: np.ndarray, centres: list[tuple[int, int]], shapes: dict[str, np.ndarray], threshold: float, radius: int) -> tuple[int, int]:
-    """The offset within the radius whose ring fills have the largest gap; even rows go where the guard disks hold most ink, if they are inked."""
+    """The offset within the radius whose ring fills have the largest gap; even rows go where the guard disks hold most ink, if they are inked.
+
+    The rule is that of alignment.best_offsets: without a valid offset the gap is 0, at the centre.
+    """
     if radius <= 0 or not centres:
         return 0, 0
     rings = np.sort(np.stack([_surface(page, x, y, shapes["ring"], radius) for x, y in centres]), axis=0)
     gap = np.diff(rings, axis=0).max(axis=0) if len(centres) > 1 else np.zeros(rings.shape[1:])
-    gap = np.where(rings[0] < OFF_BUBBLE, -1.0, gap)
-    at, best = _first_best(gap, radius)
+    at, best = _first_best(np.where(rings[0] < OFF_BUBBLE, -1.0, gap), radius)
+    if best < 0:
+        at, best = (0, 0), 0.0
     if best >= threshold:
         return at
     guard = np.sum([_surface(page, x, y, shapes["guard"], radius) for x, y in centres], axis=0)
@@ -119,21 +136,37 @@ def question_fills(page: np.ndarray, question, settings) -> tuple[list[float], l
     return [fill_ratio(page, x + dx, y + dy, shapes["score"]) for (x, y), dx, dy in zip(centres, dxs, dys, strict=True)], dxs, dys
 
 
-def measure_questions(rows: DataFrame, page: str = "binary", question: str = "question", settings: str = "settings") -> DataFrame:
-    """Adds `fills`, `dxs`, `dys` and `error` to rows of a page, a question and its settings, and drops the page."""
+#: What keeps a page from being marked.
+EMPTY_PAGE, NO_QUESTIONS = "cannot evaluate an empty image", "mark template contains no questions"
+
+
+def measure_pages(rows: DataFrame, page: str = "binary", questions: str = "questions") -> DataFrame:
+    """A row per question with `ordinal`, `question`, `settings`, `fills`, `dxs`, `dys` and `error`, for rows of a page and its questions.
+
+    questions: an array of (ordinal, question, settings). A page goes to Python once, however many questions it has; one
+    that is empty, or has no questions, gives one row with its error.
+    """
+
+    def measured(pixels: np.ndarray | None, some) -> list[tuple]:
+        if pixels is None:
+            return [(None, None, None, None, None, None, EMPTY_PAGE)]
+        if some is None or not len(some):
+            return [(None, None, None, None, None, None, NO_QUESTIONS)]
+        return [(q["ordinal"], q["question"], q["settings"], *question_fills(pixels, q["question"], q["settings"]), None) for q in some]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for p, q, s in zip(batch[page], batch[question], batch[settings], strict=True):
-                pixels = from_row(p)
-                found.append((None, None, None, "cannot evaluate an empty image") if pixels is None else (*question_fills(pixels, q, s), None))
-            out = batch.drop(columns=page)
-            for k, name in enumerate(("fills", "dxs", "dys", "error")):
-                out[name] = [f[k] for f in found]
+            found = [measured(from_row(p), some) for p, some in zip(batch[page], batch[questions], strict=True)]
+            at = np.repeat(np.arange(len(batch)), [len(f) for f in found])
+            out = batch.drop(columns=[page, questions]).iloc[at].reset_index(drop=True)
+            flat = [x for f in found for x in f]
+            for k, name in enumerate(("ordinal", "question", "settings", "fills", "dxs", "dys", "error")):
+                out[name] = pd.Series([x[k] for x in flat], dtype="Int64" if name == "ordinal" else object)
             yield out
 
-    schema = with_fields(rows.schema, (page,), fills=T.ArrayType(T.DoubleType()), dxs=T.ArrayType(T.IntegerType()), dys=T.ArrayType(T.IntegerType()), error=T.StringType())
+    of = rows.schema[questions].dataType.elementType
+    kinds = {name: of[name].dataType for name in ("ordinal", "question", "settings")}
+    schema = with_fields(rows.schema, (page, questions), **kinds, fills=T.ArrayType(T.DoubleType()), dxs=T.ArrayType(T.IntegerType()), dys=T.ArrayType(T.IntegerType()), error=T.StringType())
     return rows.mapInPandas(work, schema)
 
 

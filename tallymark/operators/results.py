@@ -23,16 +23,13 @@ def requested_scans(requests: DataFrame, scans: DataFrame, pages: DataFrame, tem
     return found.select("job", "position", "scan_id", n.alias("n_pages"), error.alias("error"))
 
 
-def marking_results(outcomes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+def marking_results(outcomes: DataFrame) -> DataFrame:
     """One row per job: pages_marked, scans and errors, each in the order asked for, and whether all failed.
 
-    outcomes: (job, position, scan_id, n_pages, error); marks: (job, position, ordinal, mark). Arrays hold one job's scans.
+    outcomes: (job, position, scan_id, n_pages, error), and marks where there are any. Arrays hold one job's scans.
     """
-    if marks is not None:
-        per_scan = marks.groupBy("job", "position").agg(F.array_sort(F.collect_list(F.struct("ordinal", "mark"))).alias("m"))
-        outcomes = outcomes.join(per_scan.select("job", "position", F.transform("m", lambda x: x["mark"]).alias("marks")), ["job", "position"], "left")
     ok = F.col("error").isNull()
-    good = F.struct("position", "scan_id", *(["marks"] if marks is not None else []))
+    good = F.struct("position", "scan_id", *(["marks"] if "marks" in outcomes.columns else []))
     grouped = outcomes.groupBy("job").agg(
         F.coalesce(F.sum(F.when(ok, F.col("n_pages"))), F.lit(0)).cast("long").alias("pages_marked"),
         F.array_sort(F.collect_list(F.when(ok, good))).alias("scans"),

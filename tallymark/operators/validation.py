@@ -26,6 +26,9 @@ def _outside(c: Column) -> Column:
     return (c < 0) | (c > 1)
 
 
+# The texts of messages are those that clients of the original read
+
+
 def marking_violations(templates: DataFrame, id_col: str = "id", template: str = "template") -> DataFrame:
     """(id, position, message) of marking templates; a row for each broken rule."""
     t = F.col(template)

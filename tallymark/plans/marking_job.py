@@ -12,13 +12,12 @@ from ..sources import templates as T
 def mark_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Answers of each (scan, question): pages (scan_id, template_id, page_index, binary), questions as templates.questions gives them.
 
-    Pages and questions meet on template and page. A page is read once: its questions travel with it as one array, and
-    pixels are gone when answers are worked out.
+    Pages and questions meet on template and page; a page's questions travel with it as one array, and pixels are gone
+    when answers are worked out. A page that can't be marked is one row with its error and nulls.
     """
-    per_page = questions.groupBy("template_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("ordinal", "question", "settings"))).alias("qs"))
-    met = pages.join(per_page, ["template_id", "page_index"])
-    rows = met.select("scan_id", "template_id", "page_index", "binary", F.explode("qs").alias("q")).select("scan_id", "template_id", "page_index", F.col("q.ordinal").alias("ordinal"), F.col("q.question").alias("question"), F.col("q.settings").alias("settings"), "binary")
-    measured = raster.measure_questions(rows)
+    per_page = questions.groupBy("template_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("ordinal", "question", "settings"))).alias("questions"))
+    met = pages.join(per_page, ["template_id", "page_index"], "left").select("scan_id", "template_id", "page_index", "binary", "questions")
+    measured = raster.measure_pages(met)
     flat = measured.select(
         "scan_id", "template_id", "page_index", "ordinal", "error", "settings", "dxs", "dys", "fills",
         F.col("question.id").alias("question_id"), F.coalesce("question.type", F.lit("")).alias("type"),
@@ -32,13 +31,23 @@ def mark_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
 def run_job(requests: DataFrame, scans: DataFrame, scan_pages: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers, results) of jobs: requests (job, position, scan_id, template_id); templates parsed, as (id, template).
 
-    A scan that is missing or has another number of pages than its template becomes an error row; the others go on.
+    A scan that is missing, has another number of pages than its template, or a page that can't be marked becomes an
+    error row; the others go on. Who needs both frames writes the answers first: each works the pixels out.
     """
     sizes = templates.select(F.col("id").alias("template_id"), F.size(T.normal_pages()).alias("n_pages"))
     outcomes = results.requested_scans(requests, scans.select(F.col("id").alias("scan_id")), scan_pages.select("scan_id", "page_index"), sizes)
-    wanted = outcomes.where(F.col("error").isNull()).select("job", "position", "scan_id").join(requests.select("job", "position", "template_id"), ["job", "position"])
-    pages = wanted.select("scan_id", "template_id").distinct().join(scan_pages, "scan_id").select("scan_id", "template_id", "page_index", "binary")
+    outcomes = outcomes.join(requests.select("job", "position", "template_id"), ["job", "position"])
+    wanted = outcomes.where(F.col("error").isNull()).select("scan_id", "template_id").distinct()
+    pages = wanted.join(scan_pages, "scan_id").select("scan_id", "template_id", "page_index", "binary")
     answers = mark_pages(pages, T.questions(templates))
     mark = F.struct(F.col("question_id").alias("questionId"), F.col("flag").alias("flagged"), F.when(F.size("selected") > 0, F.col("selected")).alias("selected"), "confidence")
-    marks = wanted.join(answers, ["scan_id", "template_id"]).select("job", "position", F.struct("page_index", "ordinal").alias("ordinal"), mark.alias("mark"))
-    return answers, results.marking_results(outcomes, marks)
+    bad = F.col("error").isNotNull()
+    per_scan = answers.groupBy("scan_id", "template_id").agg(
+        F.min(F.when(bad, F.struct("page_index", "error"))).alias("bad"),
+        F.array_sort(F.collect_list(F.when(~bad, F.struct("page_index", "ordinal", mark.alias("mark"))))).alias("m"),
+    )
+    message = F.format_string("page %d: %s", F.col("bad.page_index"), F.col("bad.error"))
+    marked = outcomes.join(per_scan, ["scan_id", "template_id"], "left").select(
+        "job", "position", "scan_id", "n_pages", F.coalesce("error", F.when(F.col("bad").isNotNull(), message)).alias("error"), F.transform("m", lambda x: x["mark"]).alias("marks")
+    )
+    return answers, results.marking_results(marked)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as S
-from ..operators import alignment, geometry, marking, pages, results, validation
-from ..sources import templates
+from ..operators import alignment, geometry, marking, pages, raster, results, validation
+from ..sources import matrices, store, templates
 from ..streaming import jobs
+from . import marking_job
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,15 +143,17 @@ def mark_events_gap(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT label AS q, CAST(vec_id % 5 - 2 AS INT) AS dx, CAST(vec_id // 5 % 5 - 2 AS INT) AS dy, list_sort(list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)) * 3)) AS f FROM embeddings),
+WITH c AS (SELECT vec_id // 25 AS q, CAST(vec_id % 5 - 2 AS INT) AS dx, CAST(vec_id // 5 % 5 - 2 AS INT) AS dy, list_sort(list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)) * 3)) AS f, list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)) * 3) AS o FROM embeddings),
 v AS (SELECT q, dx, dy, greatest(f[2] - f[1], f[3] - f[2], f[4] - f[3], 0.0) AS gap FROM c WHERE f[1] >= 0.05),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY gap DESC, (dx = 0 AND dy = 0) DESC, dy, dx) AS rn FROM v)
-SELECT q, dx, dy FROM r WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY gap DESC, (dx = 0 AND dy = 0) DESC, dy, dx) AS rn FROM v),
+g AS (SELECT q, dx, dy, list_reduce(o, lambda a, x: a + x) AS ink FROM c),
+s AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ink DESC, (dx = 0 AND dy = 0) DESC, dy, dx) AS rn FROM g)
+SELECT s.q, CASE WHEN r.gap >= 0.85 THEN r.dx WHEN s.ink / 4 > 0.5 THEN s.dx ELSE 0 END AS dx, CASE WHEN r.gap >= 0.85 THEN r.dy WHEN s.ink / 4 > 0.5 THEN s.dy ELSE 0 END AS dy
+FROM s LEFT JOIN (SELECT * FROM r WHERE rn = 1) r USING (q) WHERE s.rn = 1""")
 def align_argmax(spark, sf_dir):
     fills = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) * 3)
-    at = t(spark, sf_dir, "embeddings").select(F.col("label").alias("q"), (F.col("vec_id") % 5 - 2).cast("int").alias("dx"), (F.floor(F.col("vec_id") / 5) % 5 - 2).cast("int").alias("dy"), fills.alias("fills"), fills.alias("guards"))
-    valid = at.groupBy("q").agg(F.max(F.forall("fills", lambda f: f >= alignment.OFF_BUBBLE)).alias("ok")).where("ok").select("q")
-    return alignment.best_offsets(at.join(valid, "q", "left_semi"), ["q"], 0.0)
+    at = t(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("q"), (F.col("vec_id") % 5 - 2).cast("int").alias("dx"), (F.floor(F.col("vec_id") / 5) % 5 - 2).cast("int").alias("dy"), fills.alias("fills"), fills.alias("guards"))
+    return alignment.best_offsets(at, ["q"], 0.85)
 
 
 @query("""
@@ -229,18 +234,18 @@ def span_errors(spark, sf_dir):
 
 @query("SELECT conv_id AS template_id, list(role ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
 def anchors_ordered(spark, sf_dir):
-    got = t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("template_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"), F.count("*").alias("n"))
-    return got.select("template_id", F.transform("a", lambda x: x["role"]).alias("roles"), "n")
+    got = store.lists_in_order(t(spark, sf_dir, "conversations"), "conv_id", ("turn", "role"), "role")
+    return got.select(F.col("conv_id").alias("template_id"), F.col("items").alias("roles"), "n")
 
 
 @query("SELECT conv_id, min(turn) AS turn, arg_min(role, (turn, role)) AS role FROM conversations GROUP BY conv_id")
 def one_page(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("m")).select("conv_id", "m.turn", "m.role")
+    return store.first_rows(t(spark, sf_dir, "conversations"), "conv_id", ("turn", "role"))
 
 
 @query("SELECT * FROM nation WHERE n_nationkey = 7")
 def template_lookup(spark, sf_dir):
-    return t(spark, sf_dir, "nation").where(F.col("n_nationkey") == 7)
+    return store.lookup(t(spark, sf_dir, "nation"), 7, "n_nationkey")
 
 
 @query("""
@@ -250,26 +255,25 @@ def scans_before(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at_unix_ms"))
     lo, hi = F.min("created_at_unix_ms"), F.max("created_at_unix_ms")
     limit = e.select((lo + F.floor((hi - lo) / 3)).alias("at"))
-    return e.where(F.col("created_at_unix_ms") < limit.scalar())
+    return store.before(e, limit.scalar())
 
 
 @query("""
 WITH old AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01')
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM old)""")
 def delete_before(spark, sf_dir):
-    old = t(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")).select(F.col("o_orderkey").alias("l_orderkey"))
-    return t(spark, sf_dir, "lineitem").join(old, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_quantity")
+    old = store.before(t(spark, sf_dir, "orders"), F.lit("1995-06-01").cast("timestamp_ntz"), "o_orderdate").select("o_orderkey")
+    return store.without(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), old, "l_orderkey")
 
 
 @query("SELECT (SELECT count(*) FROM conversations) AS anchors, (SELECT count(*) FROM events) AS scans")
 def count_store(spark, sf_dir):
-    a = t(spark, sf_dir, "conversations").agg(F.count("*").alias("n"))
-    return t(spark, sf_dir, "events").agg(F.count("*").alias("scans")).select(a.scalar().alias("anchors"), "scans")
+    return store.counts(anchors=t(spark, sf_dir, "conversations"), scans=t(spark, sf_dir, "events"))
 
 
 @query("SELECT source AS part, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def store_bytes(spark, sf_dir):
-    return t(spark, sf_dir, "documents").groupBy(F.col("source").alias("part")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    return store.usage_of(t(spark, sf_dir, "documents"), F.col("source"), F.octet_length("text"))
 
 
 BATCH_SQL = """
@@ -313,6 +317,49 @@ def page_assignment(spark, sf_dir):
     return pages.assign_pages(scores.select("exam", "page", F.col("j").cast("long").alias("template_page"), F.lit(4).cast("long").alias("n_pages"), (F.abs("x") > F.lit(0.1)).alias("ok")))
 
 
+# --- pixels: a drawn sheet for each part, one bubble of four filled, or none, or no page at all
+
+
+def drawn_pages(spark, sf_dir) -> DataFrame:
+    """(scan_id, page_index, binary): parts' sheets; of every seven one is blank, of every ten one is missing its pixels."""
+
+    def work(batches):
+        for batch in batches:
+            pages = []
+            for key, size in zip(batch["scan_id"], batch["p_size"], strict=True):
+                page = np.zeros((40, 160), dtype=np.uint8)
+                if key % 7:
+                    x = 20 + 40 * (size % 4)
+                    page[5:35, x - 15 : x + 15][raster.disk(30, 30, 11)] = 255
+                pages.append(None if key % 10 == 0 else matrices.to_row(page))
+            yield pd.DataFrame({"scan_id": batch["scan_id"], "page_index": 0, "binary": pages})
+
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("scan_id"), "p_size")
+    return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
+
+
+def sheet_template(spark) -> DataFrame:
+    doc = '{"config":{"fillThreshold":0.25},"pages":[{"questions":[{"id":"Q1","bubbleWidth":30,"bubbleHeight":30,"options":[%s]}]}]}' % ",".join(f'{{"label":"{c}","x":{20 + 40 * i},"y":20}}' for i, c in enumerate("ABCD"))
+    one = spark.range(1, 2).select(F.lit("sheet").alias("id"), F.lit(doc).alias("json"))
+    return templates.parse(one, schemas.MARKING_TEMPLATE).select("id", "template")
+
+
+@query("""
+SELECT p_partkey AS scan_id, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 7 <> 0 THEN substr('ABCD', CAST(p_size % 4 AS INT) + 1, 1) END AS selected,
+CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 7 = 0 END AS flagged, CASE WHEN p_partkey % 10 <> 0 THEN 1.0::DOUBLE END AS confidence,
+CASE WHEN p_partkey % 10 = 0 THEN 'page 0: cannot evaluate an empty image' END AS error FROM part""")
+def mark_drawn_sheets(spark, sf_dir):
+    pages_ = drawn_pages(spark, sf_dir)
+    scans = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    requests = scans.select(F.floor(F.col("id") / 40).alias("job"), F.col("id").alias("position"), F.col("id").alias("scan_id"), F.lit("sheet").alias("template_id"))
+    _, result = marking_job.run_job(requests, scans, pages_, sheet_template(spark))
+    good = result.select(F.explode("scans").alias("s")).select("s.scan_id", F.explode("s.marks").alias("m"))
+    good = good.select("scan_id", F.get("m.selected", F.lit(0)).alias("selected"), F.col("m.flagged").alias("flagged"), F.col("m.confidence").alias("confidence"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None)
+    bad = result.select(F.explode("errors").alias("e")).select("e.scan_id", none.cast("string").alias("selected"), none.cast("boolean").alias("flagged"), none.cast("double").alias("confidence"), "e.error")
+    return good.unionByName(bad)
+
+
 # --- templates
 
 
@@ -404,10 +451,9 @@ def evict_ttl(spark, sf_dir):
     return jobs.expired(e, now, 86400, "ts")
 
 
-@query("SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events) WHERE rank <= 5")
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events")
 def jobs_list(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return t(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= 5)
+    return jobs.ranked(t(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_id", "rank")
 
 
 @query("SELECT event_id, event_type, ts FROM events ORDER BY ts, event_id")
@@ -457,4 +503,4 @@ def progress(spark, sf_dir):
 
 @query("SELECT n_nationkey, sha256(n_name) AS digest FROM nation")
 def key_digest(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.col("n_name").cast("binary"), 256).alias("digest"))
+    return t(spark, sf_dir, "nation").select("n_nationkey", S.key_digest("n_name", 256).alias("digest"))

@@ -45,9 +45,13 @@ def to_row(pixels: np.ndarray) -> dict:
 
 def from_row(row) -> np.ndarray | None:
     """Pixels of a matrix column's value (dict or Row); None for null or empty ones."""
-    if row is None or row["data"] is None or not row["rows"] or not row["cols"]:
+    if row is None or row["data"] is None:
         return None
-    return np.frombuffer(row["data"], dtype=np.uint8).reshape(row["rows"], row["cols"])
+    # beside a null matrix pandas holds numbers as floats
+    rows, cols = (0 if n is None or n != n else int(n) for n in (row["rows"], row["cols"]))
+    if not rows or not cols:
+        return None
+    return np.frombuffer(row["data"], dtype=np.uint8).reshape(rows, cols)
 
 
 def read_matrix_files(spark: SparkSession, path: str) -> DataFrame:

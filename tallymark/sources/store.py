@@ -15,6 +15,45 @@ from pyspark.sql import functions as F
 from ..schemas import TABLES
 
 
+# --- what the store does with rows, for any frames
+
+
+def lookup(rows: DataFrame, key, column: str = "id") -> DataFrame:
+    return rows.where(F.col(column) == key)
+
+
+def before(rows: DataFrame, limit, column: str = "created_at_unix_ms") -> DataFrame:
+    return rows.where(F.col(column) < limit)
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` isn't among keys (one column); ids that aren't there change nothing."""
+    return rows.join(keys.select(F.col(keys.columns[0]).alias(on)).distinct(), on, "left_anti").select(*rows.columns)
+
+
+def first_rows(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Each key's first row, as the key and the columns `order` that it is first by."""
+    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in order])
+
+
+def lists_in_order(rows: DataFrame, key: str, order: tuple[str, ...], item: str) -> DataFrame:
+    """(key, items, n): each key's values of the column `item`, one of `order`, in that order. A template's anchors are few."""
+    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_all"), F.count("*").alias("n"))
+    return got.select(key, F.transform("_all", lambda x: x[item]).alias("items"), "n")
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table."""
+    (name, rows), *rest = tables.items()
+    return rows.agg(F.count("*").alias(name)).select(name, *[t.agg(F.count("*").alias("n")).scalar().alias(other) for other, t in rest])
+
+
+def usage_of(rows: DataFrame, part, size) -> DataFrame:
+    """(part, files, bytes) of the rows that have a size."""
+    sized = rows.select(part.alias("part"), size.cast("long").alias("n")).where(F.col("n").isNotNull())
+    return sized.groupBy("part").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -55,12 +94,12 @@ class Store:
 
     def delete(self, table: str, keys: DataFrame, on: str = "id") -> int:
         """Remove the rows whose `on` is among keys (one column of that name); gives how many were there."""
-        before = self.read(table)
+        rows = self.read(table)
         wanted = keys.select(F.col(keys.columns[0]).alias(on)).distinct()
-        gone = before.join(wanted, on, "left_semi").count()
+        gone = rows.join(wanted, on, "left_semi").count()
         if gone:
             name = uuid.uuid4().hex
-            before.join(wanted, on, "left_anti").select(*before.columns).write.parquet(f"{self.root}/{table}/{name}")
+            without(rows, wanted, on).write.parquet(f"{self.root}/{table}/{name}")
             self._point(table, [name])
         return gone
 
@@ -90,19 +129,19 @@ class Store:
     # --- look-ups
 
     def by_id(self, table: str, key: str) -> DataFrame:
-        return self.read(table).where(F.col("id") == key)
+        return lookup(self.read(table), key)
 
     def scan_pages(self, scan_id: str) -> DataFrame:
-        return self.read("scan_pages").where(F.col("scan_id") == scan_id).orderBy("page_index", "id")
+        return lookup(self.read("scan_pages"), scan_id, "scan_id").orderBy("page_index", "id")
 
     def one_page(self, scan_id: str, page_index: int) -> DataFrame:
-        return self.read("scan_pages").where((F.col("scan_id") == scan_id) & (F.col("page_index") == page_index)).orderBy("id").limit(1)
+        return lookup(lookup(self.read("scan_pages"), scan_id, "scan_id"), page_index, "page_index").orderBy("id").limit(1)
 
     def template_anchors(self, template_id: str) -> DataFrame:
-        return self.read("anchors").where(F.col("template_id") == template_id).orderBy("page_index", "anchor_index")
+        return lookup(self.read("anchors"), template_id, "template_id").orderBy("page_index", "anchor_index")
 
     def scans_before(self, unix_ms: int) -> DataFrame:
-        return self.read("scans").where(F.col("created_at_unix_ms") < unix_ms)
+        return before(self.read("scans"), unix_ms)
 
     def incomplete_templates(self, wanted: DataFrame) -> DataFrame:
         """Ids of templates with another number of readable anchors than they should have; wanted: (template_id, n)."""
@@ -113,10 +152,11 @@ class Store:
         """(part, files, bytes) of matrices and pictures."""
         pages = self.read("scan_pages")
         sizes = [("matrices", pages.select(F.length("binary.data").alias("n"))), ("matrices", self.read("anchors").select(F.length("matrix.data").alias("n"))), ("pictures", pages.select(F.length("picture.data").alias("n")))]
-        rows = [df.where(F.col("n").isNotNull()).select(F.lit(part).alias("part"), "n") for part, df in sizes]
-        return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("part").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+        rows = [df.select(F.lit(part).alias("part"), "n") for part, df in sizes]
+        return usage_of(rows[0].unionAll(rows[1]).unionAll(rows[2]), F.col("part"), F.col("n"))
 
-    # --- cascades
+    # --- cascades: two tables, the dependent rows first. A stop in between leaves a template or scan without them, which the
+    # same call, or heal, then removes
 
     def delete_templates(self, ids: DataFrame) -> int:
         """Preprocessing templates and their anchors."""
@@ -130,6 +170,15 @@ class Store:
     def delete_scans_before(self, unix_ms: int) -> int:
         return self.delete_scans(self.scans_before(unix_ms).select("id"))
 
+    def unreadable_scans(self) -> DataFrame:
+        """Ids of scans that have a page without a readable binary matrix."""
+        size = F.length("binary.data")
+        return self.read("scan_pages").where(F.coalesce(size != F.col("binary.rows") * F.col("binary.cols"), F.lit(True)) | (size == 0)).select(F.col("scan_id").alias("id")).distinct()
+
+    def heal_scans(self) -> int:
+        """Remove scans that can't be read."""
+        return self.delete_scans(self.unreadable_scans())
+
     def heal(self, wanted: DataFrame) -> int:
         """Remove templates whose anchors are incomplete."""
         return self.delete_templates(self.incomplete_templates(wanted).select(F.col("template_id").alias("id")))

@@ -40,6 +40,11 @@ def in_order(jobs: DataFrame, started: str = "started", tie: str = "job") -> Dat
     return jobs.orderBy(started, tie)
 
 
+def ranked(jobs: DataFrame, kind: str, started: str = "started", tie: str = "job") -> DataFrame:
+    """Each job with its place among those of its kind, from oldest to newest."""
+    return jobs.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(started, tie)).cast("long"))
+
+
 def last_items(rows: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     """The last n rows, oldest first; none for n below 1, all where there are fewer."""
     return rows.orderBy(F.desc(ts), F.desc(tie)).limit(max(n, 0)).orderBy(ts, tie)

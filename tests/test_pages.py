@@ -1,17 +1,21 @@
 """Blocks, assignments, validation, templates, store, jobs."""
 
 import datetime as dt
+import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark import schemas
-from tallymark.operators import pages, results, validation
+from tallymark.functions import scalars
+from tallymark.operators import alignment, pages, results, validation
 from tallymark.sources import templates
 from tallymark.sources.store import Store
 from tallymark.streaming import jobs
 
 
+# The expected spans are those of the original
 @pytest.mark.parametrize(
     ("n", "size", "subsets", "spans"),
     [(12, 4, 1, [(1, 12)]), (12, 2, 2, [(1, 6), (7, 12)]), (12, 2, 3, [(1, 4), (5, 8), (9, 12)]), (20, 2, 3, [(1, 8), (9, 14), (15, 20)]), (12, 4, 3, [(1, 4), (5, 8), (9, 12)]), (8, 4, 3, [(1, 4), (5, 8)]), (0, 1, 3, [])],
@@ -109,6 +113,63 @@ def test_results_keep_order_and_errors(spark):
     assert [e.scan_id for e in row.errors] == ["x", "c"]
 
 
+def test_unreadable_scans_go(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    scans = spark.createDataFrame([(s, "t", 10) for s in ("good", "short", "none")], "id string, preprocessing_template_id string, created_at_unix_ms long")
+    rows = [("g0", 0, "good", (1, 2, 0, bytearray(b"ab"))), ("s0", 0, "short", (1, 2, 0, bytearray(b"a"))), ("n0", 0, "none", None)]
+    store.save_scans(scans, spark.createDataFrame(rows, "id string, page_index int, scan_id string, binary struct<rows:int,cols:int,type:int,data:binary>"))
+    assert store.heal_scans() == 2 and [r.id for r in store.read("scans").collect()] == ["good"] and store.read("scan_pages").count() == 1
+    anchors = spark.createDataFrame([("t", 1, 0, (1, 1, 0, bytearray(b"a"))), ("t", 0, 1, (1, 1, 0, bytearray(b"b"))), ("t", 0, 0, (1, 1, 0, bytearray(b"c"))), ("u", 0, 0, (1, 1, 0, bytearray(b"d")))], "template_id string, page_index int, anchor_index int, matrix struct<rows:int,cols:int,type:int,data:binary>")
+    store.save_preprocessing_templates(spark.createDataFrame([("t", "{}"), ("u", "{}")], "id string, json string"), anchors)
+    assert [bytes(r.matrix.data) for r in store.template_anchors("t").collect()] == [b"c", b"b", b"a"]
+
+
+def test_keys(spark):
+    digest = hashlib.sha512(b"open").hexdigest()
+    rows = [("open", digest), ("open", digest.upper()), ("shut", digest), ("", digest), (None, digest), ("any", None), (None, "")]
+    df = spark.createDataFrame(rows, "key string, digest string")
+    assert [r[0] for r in df.select(scalars.key_allowed("key", "digest")).collect()] == [True, True, False, False, False, True, True]
+
+
+def test_fit(spark):
+    df = spark.createDataFrame([(100, 200, 50, 300)], "w int, h int, tw int, th int")
+    got = df.select(*[scalars.fit("w", "h", "tw", "th", how).alias(how) for how in ("contain", "cover", "fill")]).first()
+    assert tuple(got) == (0.5, 1.5, 1.0)
+
+
+def test_query_values(spark):
+    df = spark.createDataFrame([("1",), ("-2",), ("x",), ("",), (None,), ("TRUE",), ("f",)], "v string")
+    got = df.select(scalars.query_value("v", "int", 7), scalars.query_value("v", "uint", 7), scalars.query_value("v", "bool", "true"), scalars.query_value("v", "string", "d")).collect()
+    assert [tuple(r) for r in got] == [(1, 1, True, "1"), (-2, None, None, "-2"), (None, None, None, "x"), (7, 7, True, "d"), (7, 7, True, "d"), (None, None, True, "TRUE"), (None, None, False, "f")]
+
+
+def test_exams_and_misplaced_pages(spark):
+    assert [r[0] for r in spark.range(5).select(pages.exam_of("id", F.lit(2))).collect()] == [0, 0, 1, 1, 2]
+    scores = [(1, 0, 0, 0.9), (1, 0, 1, 0.95), (1, 1, 0, 0.8), (1, 1, 1, 0.2), (2, 0, 0, 0.1), (2, 0, 1, 0.3), (3, 0, 1, 0.7)]
+    df = spark.createDataFrame(scores, "exam int, page int, template_page int, score double")
+    assert sorted(tuple(r) for r in pages.misplaced(df).collect()) == [(1, 1, 0), (3, 0, 1)]
+
+
+def test_option_groups(spark):
+    df = spark.createDataFrame([(i, 2) for i in range(5)] + [(3, 0)], "i int, size int")
+    assert [r[0] for r in df.select(alignment.option_group("i", "size")).collect()] == [0, 0, 1, 1, 2, 0]
+    assert [r[0] for r in df.select(alignment.option_group("i", 3)).collect()] == [0, 0, 0, 1, 1, 1]
+
+
+def test_wrong_jobs(spark):
+    df = spark.createDataFrame([("t", ["a"]), ("", ["a"]), (None, ["a"]), ("t", []), ("t", None), ("t", ["a", ""]), ("t", [None])], "template string, scans array<string>")
+    assert [r[0] for r in df.select(validation.job_violations(df)).collect()] == [None, *["template is required"] * 2, *["scans must contain at least one id"] * 2, *["scan ids cannot be empty"] * 2]
+
+
+def test_results_on_the_wire(spark):
+    marks = spark.createDataFrame([("s", "Q1", True, [], 0.5), ("s", "Q2", False, ["A", "B"], 1.0)], "scan_id string, question_id string, flag boolean, selected array<string>, confidence double")
+    got = sorted(r.json for r in results.wire_marks(marks).collect())
+    assert [json.loads(x) for x in got] == [{"questionId": "Q1", "flagged": True, "selected": None, "confidence": 0.5}, {"questionId": "Q2", "flagged": False, "selected": ["A", "B"], "confidence": 1.0}]
+    exams = spark.createDataFrame([("d", 1, 3, 4, "s2", None), ("d", 0, 1, 2, "s1", None), ("d", 2, 5, 6, None, "lost"), ("e", 0, 1, 2, "", "bad")], "doc string, block int, from int, thru int, scan_id string, error string")
+    found = {r.doc: (r.scan_ids, [tuple(e) for e in r.errors]) for r in results.scan_results(exams).collect()}
+    assert found == {"d": (["s1", "s2"], [(5, 6, "lost")]), "e": ([], [(1, 2, "bad")])}
+
+
 def test_job_states(spark):
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     rows = [("a", at(0), "start", 0.0), ("a", at(1), "progress", 0.4), ("a", at(2), "finish", 1.0), ("a", at(3), "progress", 0.1), ("a", at(4), "finish", 0.0), ("b", at(0), "start", 0.0), ("b", at(1), "start", 0.0), ("b", at(2), "progress", 7.0)]

@@ -32,6 +32,7 @@ def answers(spark, pixels, text):
     return marking_job.mark_pages(rows, templates.questions(t)).orderBy("page_index").collect()
 
 
+# Places and sizes of the original's synthetic sheet
 A, B, C = (65, 115), (115, 115), (165, 115)
 
 
@@ -65,6 +66,48 @@ def test_job_with_errors(spark):
     assert [s.marks[0].selected for s in row.scans] == [["A"], ["A"]]
 
 
+def test_pages_that_cannot_be_marked(spark):
+    two = template().replace('"pages":[', '"pages":[{"questions":[]},')
+    docs = spark.createDataFrame([("t", template()), ("two", two)], "id string, json string")
+    t = templates.parse(docs, schemas.MARKING_TEMPLATE)
+    good, empty = matrices.to_row(page(A)), {"rows": 0, "cols": 0, "type": 0, "data": b""}
+    rows = [("none", 0, None), ("good", 0, good), ("empty", 0, empty), ("halves", 0, good), ("halves", 1, None)]
+    pages_ = spark.createDataFrame(rows, f"scan_id string, page_index int, binary {schemas.MATRIX.simpleString()}").coalesce(1)
+    req = spark.createDataFrame([(1, k, s, "two" if s == "halves" else "t") for k, s in enumerate(["none", "good", "empty", "halves"])], "job int, position int, scan_id string, template_id string")
+    _, result = marking_job.run_job(req, spark.createDataFrame([(s,) for s in ("none", "good", "empty", "halves")], "id string"), pages_, t)
+    (row,) = result.collect()
+    assert row.pages_marked == 1 and [(s.scan_id, s.marks[0].selected) for s in row.scans] == [("good", ["A"])]
+    assert [(e.scan_id, e.error) for e in row.errors] == [
+        ("none", "page 0: cannot evaluate an empty image"),
+        ("empty", "page 0: cannot evaluate an empty image"),
+        ("halves", "page 0: mark template contains no questions"),
+    ]
+
+
+def test_a_null_page_beside_a_good_one(spark):
+    df = spark.createDataFrame([(1, matrices.to_row(page(A)), (0, 0, 10, 10)), (2, None, (0, 0, 10, 10))], f"k int, picture {schemas.MATRIX.simpleString()}, bounds struct<x:int,y:int,width:int,height:int>").coalesce(1)
+    assert [r.snippet is None for r in raster.crop(df).orderBy("k").collect()] == [False, True]
+    assert matrices.from_row({"rows": 2.0, "cols": 1.0, "data": b"ab"}).shape == (2, 1)
+    assert matrices.from_row({"rows": float("nan"), "cols": float("nan"), "data": b"ab"}) is None
+
+
+def test_alignment_without_a_valid_offset():
+    shapes = raster.masks(30, 30, 0.75, 0.4)
+    blank, full = np.zeros((400, 400), dtype=np.uint8), np.full((400, 400), 255, dtype=np.uint8)
+    assert raster.align(blank, [A, B, C], shapes, 0.0, 4) == (0, 0) == raster.align(blank, [A, B, C], shapes, 0.25, 4)
+    full[:119, :] = 0  # ink only below: the guards would move down
+    assert raster.align(full, [(65, 100), (115, 100)], shapes, 0.0, 1) == (0, 0)
+
+
+def test_surface_by_brute_force():
+    rng = np.random.default_rng(1)
+    p = (rng.random((60, 70)) < 0.4).astype(np.uint8) * 255
+    for cx, cy, r in ((30, 30, 5), (8, 50, 9), (69, 1, 3)):
+        mask = raster.disk(15, 13, 6)
+        want = [[raster.fill_ratio(p, cx + dx, cy + dy, mask) for dx in range(-r, r + 1)] for dy in range(-r, r + 1)]
+        assert (raster._surface(p, cx, cy, mask, r) == np.array(want)).all()
+
+
 def test_disks():
     assert raster.disk(7, 7, 0).sum() == 1 and raster.disk(9, 9, 1).sum() == 5
     big = raster.disk(61, 61, 25)
