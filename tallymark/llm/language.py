@@ -16,11 +16,11 @@ a null language teaches nothing; without any training row everything is `und`; a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ MAX_ORDER = 3
 MAX_DOCS = 400
 #: Bytes scored at once.
 CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def prepared(text: str) -> bytes:

@@ -1,7 +1,8 @@
-"""Repeated substrings by prefix doubling over anchored positions.
+"""Repeated substrings by names of growing strings around anchors.
 
-Prefix doubling ranks suffixes by prefixes of growing length and drops those whose rank is unique. One row for each byte
-is more than the disk allows, so the suffixes that are ranked are chosen by content: each window of `length` bytes
+This takes from prefix doubling that positions are named by growing strings, and those with a unique name leave. It is not
+prefix doubling itself: that has one row for each byte, about 14 times the input on disk, and makes each rank of a pair of
+the ranks before it. Here windows are chosen by content: each window of `length` bytes
 has one anchor, the string of ANCHOR bytes with the smallest hash in it, and equal windows have it at the same place.
 Windows with one anchor are ranked together:
 

@@ -395,6 +395,21 @@ def test_code_lengths_by_brute_force(spark):
     assert trees.code_lengths(texts) == pytest.approx(np.array([[by_hand(lang, t) for lang in trees.langs] for t in texts]))
 
 
+def test_long_texts_are_scored_in_steps(spark, monkeypatch):
+    rows = [("x", "abracadabra abra"), ("y", "hocus pocus fidibus")]
+    trees = language.ContextTrees(language.gram_counts(spark.createDataFrame(rows, "lang string, text string"), 2).toPandas(), 2)
+    texts = [b"abra pocus " * 40, b"z", b"hocus" * 30]
+    whole = trees.code_lengths(texts)
+    monkeypatch.setattr(language, "CHUNK", 64)
+    assert trees.code_lengths(texts) == pytest.approx(whole)
+
+
+def test_numbers_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "½ ² 12 _ ①"), (2, "ª"), (3, "字")], "doc_id long, text string")
+    trees = language.train(spark.createDataFrame([(9, "abra cadabra", "x")], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language.predict(df, trees).collect()} == {1: "und", 2: "x", 3: "x"}
+
+
 def test_language_edges(spark):
     docs = odd(spark).withColumn("lang", F.when(F.col("doc_id") > 3, "x"))
     trees = language.train(docs)
