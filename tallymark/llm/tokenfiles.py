@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lean, new_path, table, width
-from .words import pieces
+from .words import SPACE, pieces
 
+_WHITE = re.compile(f"[{SPACE}]")
 REMEMBERED = 1_000_000
+#: Pieces sent to the library as one text.
+JOINED = 512
 #: Encoded at once, in characters.
 BATCH_CHARS = 4_000_000
 #: Bytes of text for each set of files, about.
@@ -58,6 +61,9 @@ class LibraryEncoder:
         special = [re.escape(t["content"]) for t in made.get("added_tokens") or [] if t["special"]]
         self.special = re.compile("|".join(special)) if special else None
         self.known: dict[str, bytes] = {}
+        # tokens that begin with a space, which is Ġ in byte-level vocabularies
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
 
     def many(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -84,13 +90,27 @@ class LibraryEncoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({p for parts in split for p in parts[1:] if p not in known})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, dtype=np.uint32).tobytes()
+        self._learn(list({p for parts in split for p in parts[1:] if p not in known}))
         firsts = self.tokenizer.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False)
         get = known.__getitem__
         return [np.array(e.ids, dtype=np.uint32).tobytes() + b"".join(map(get, parts[1:])) for e, parts in zip(firsts, split, strict=True)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces that follow a space. Many without white space go to the library as one text; each begins at a token that begins with a space."""
+        alone = [p for p in new if _WHITE.search(p)]
+        joined = [p for p in new if not _WHITE.search(p)]
+        groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            starts = np.nonzero(self.opens[ids])[0]
+            if len(starts) != len(group):
+                alone += group
+                continue
+            data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.known.update((p, data[a:b]) for p, a, b in zip(group, at, at[1:], strict=False))
+        for piece, e in zip(alone, self.tokenizer.encode_batch_fast([" " + p for p in alone], add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(e.ids, dtype=np.uint32).tobytes()
+
 
 _LOADED: dict[str, LibraryEncoder] = {}
 
