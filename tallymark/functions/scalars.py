@@ -40,6 +40,19 @@ def scale_odd(size, ratio, least=1) -> Column:
     return F.when(scaled % 2 == 0, scaled + 1).otherwise(scaled)
 
 
+def scaled_config(config: Column, ratio: Column) -> Column:
+    """Preprocessing settings for pages at `ratio` of the template's size: the sizes that are set, by ratio / referenceRatio.
+
+    Without a reference they stay as they are, and so do those that are 0 or null.
+    """
+    reference = config["referenceRatio"]
+    by = col(ratio) / F.when(reference > 0, reference)
+    for name, scaled, least in (("blurSize", scale_odd, 1), ("adaptiveBlockSize", scale_odd, 3), ("morphCloseSize", scale_size, 0)):
+        size = config[name]
+        config = config.withField(name, F.when(by.isNotNull() & (size > 0), scaled(size, by, least)).otherwise(size))
+    return config
+
+
 def scale_axis(value, size, to_size) -> Column:
     """A coordinate in another page size, cut to a whole number."""
     return (col(value) * (col(size).cast("double") / col(to_size))).cast("int")
@@ -94,3 +107,10 @@ def query_value(text, kind: str, default=None) -> Column:
         n = F.when(given.rlike(r"^\d+$"), given.try_cast("long"))
         return F.when(n >= 0, n)
     return F.when(given.rlike(r"^[+-]?\d+$"), given.try_cast("long")) if kind == "int" else given
+
+
+def positive_query(text, name: str, default: int | None = None) -> Column:
+    """A (value, error) of a query-string count that must be positive, such as a limit or a resolution."""
+    value = query_value(text, "uint", default)
+    error = F.when(value.isNull(), f"{name} is not a whole number").when(value == 0, f"{name} must be positive")
+    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))

@@ -7,16 +7,19 @@ blurs and warps round to the nearest level and may differ from other libraries b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars
 from ..schemas import MATRIX, with_fields
-from ..sources.matrices import from_row, to_row
+from ..sources.matrices import decode_image, from_row, to_row
 from .alignment import INKED, OFF_BUBBLE
 
 #: The guard disk is so much of the radius, which contains the printed ring.
@@ -29,6 +32,10 @@ class PageError(ValueError):
     """A page that can't be read well enough."""
 
 
+#: Classes of errors: the page is at fault, or its template.
+QUALITY, TEMPLATE = "quality", "template"
+
+
 # --- masks and fills
 
 
@@ -354,28 +361,107 @@ def preprocess(gray: np.ndarray, template: dict, page_index: int, patterns: list
     return warp(gray, forward, width, height), flat, turned
 
 
+#: The column in which a row's template goes to Python: as text, since pandas makes floats of a struct's numbers beside a null.
+_TEXT = "_template_text"
+
+
+def _at_resolution(rows: DataFrame, page: str, template: str) -> DataFrame:
+    """Rows with their template as text, the sizes of its settings scaled to the page's resolution where it names a reference."""
+    t = F.col(template)
+    if "referenceRatio" in rows.schema[template].dataType["config"].dataType.names:
+        ratio = scalars.size_ratio(F.col(page)["cols"], F.col(page)["rows"], F.nullif(t["width"], F.lit(0)), F.nullif(t["height"], F.lit(0)))
+        t = t.withField("config", scalars.scaled_config(t["config"], ratio))
+    return rows.withColumn(_TEXT, F.to_json(t, {"ignoreNullFields": "false"}))
+
+
+def _first_fit(pixels: np.ndarray | None, template, places: list[int], grid) -> tuple:
+    """(template page, picture, binary, turned, error, class of error) by the first of these template pages whose anchors are found."""
+    errors = []
+    try:
+        if pixels is None:
+            raise PageError("the page is empty")
+        if template is None or grid is None:
+            raise ValueError("template not found")
+        for at in places:
+            try:
+                picture, binary, turned = preprocess(pixels, template, at, [from_row(x) for x in grid[at]])
+                return at, to_row(picture), to_row(binary), turned, None, None
+            except ValueError as e:
+                errors.append(e)
+    except ValueError as e:
+        errors.append(e)
+    kind = QUALITY if all(isinstance(e, PageError) for e in errors) else TEMPLATE
+    return None, None, None, None, str(errors[0]) if errors else "the template has no pages", kind
+
+
+def _parsed(text: str | None) -> dict | None:
+    return None if text is None else json.loads(text)
+
+
+_FITTED = ("template_page", "picture", "binary", "turned", "error", "error_class")
+
+
 def preprocess_pages(rows: DataFrame, page: str = "gray", template: str = "template", page_index: str = "page_index", patterns: str = "patterns") -> DataFrame:
-    """Adds `picture`, `binary`, `turned` and `error` to rows of a gray page, its template, a template page and its anchors' patterns."""
+    """Adds `picture`, `binary`, `turned`, `error` and `error_class` to rows of a gray page, its template, a template page and its anchors' patterns."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for p, t, i, some in zip(batch[page], batch[template], batch[page_index], batch[patterns], strict=True):
-                pixels = from_row(p)
-                try:
-                    if pixels is None:
-                        raise PageError("the page is empty")
-                    picture, binary, turned = preprocess(pixels, t, int(i), [from_row(x) for x in some])
-                    found.append((to_row(picture), to_row(binary), turned, None))
-                except (PageError, ValueError) as e:
-                    found.append((None, None, None, str(e)))
-            out = batch.drop(columns=page)
-            for k, name in enumerate(("picture", "binary", "turned", "error")):
-                out[name] = [f[k] for f in found]
+            found = [_first_fit(from_row(p), _parsed(t), [int(i)], None if some is None else {int(i): some}) for p, t, i, some in zip(batch[page], batch[_TEXT], batch[page_index], batch[patterns], strict=True)]
+            out = batch.drop(columns=[page, _TEXT])
+            for k, name in enumerate(_FITTED[1:], 1):
+                out[name] = pd.Series([f[k] for f in found], index=out.index, dtype=object)
             yield out
 
-    schema = with_fields(rows.schema, (page,), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType())
-    return rows.mapInPandas(work, schema)
+    schema = with_fields(rows.schema, (page,), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType(), error_class=T.StringType())
+    return _at_resolution(rows, page, template).mapInPandas(work, schema)
+
+
+def match_pages(rows: DataFrame, page: str = "gray", template: str = "template", place: str = "place", grid: str = "grid") -> DataFrame:
+    """Adds `template_page`, `picture`, `binary`, `turned`, `error` and `error_class` to rows of a gray page, its template, its place in the exam, and patterns by page and anchor.
+
+    Template pages are tried in a circle from the page's own place on, and the first that fits is taken; a page whose
+    `template_page` isn't its place was fed in another order. Where none fits the error is that of its own place. Page,
+    template and patterns go.
+    """
+
+    def places(t, at) -> list[int]:
+        n = 0 if t is None or t["pages"] is None or at is None or at != at else len(t["pages"])
+        return [(int(at) + k) % n for k in range(n)]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = [_parsed(t) for t in batch[_TEXT]]
+            found = [_first_fit(from_row(p), t, places(t, at), g) for p, t, at, g in zip(batch[page], known, batch[place], batch[grid], strict=True)]
+            out = batch.drop(columns=[page, grid, _TEXT])
+            for k, name in enumerate(_FITTED):
+                out[name] = pd.Series([f[k] for f in found], index=out.index, dtype="Int64" if name == "template_page" else object)
+            yield out
+
+    schema = with_fields(rows.schema, (page, template, grid), template_page=T.IntegerType(), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType(), error_class=T.StringType())
+    return _at_resolution(rows, page, template).drop(template).mapInPandas(work, schema)
+
+
+def anchor_patterns(rows: DataFrame, image: str = "image", config: str = "config") -> DataFrame:
+    """Adds `matrix` and `error` to rows of an encoded image in base64 and the settings that it is binarized by; the image goes."""
+    known = rows.withColumn(image, F.try_to_binary(F.col(image), F.lit("base64"))).withColumn(config, F.to_json(F.col(config), {"ignoreNullFields": "false"}))
+
+    def pattern(data: bytes | None, c) -> tuple:
+        try:
+            if not data or c is None:
+                raise PageError("no image in base64")
+            gray = decode_image(data)
+            return to_row(binarize(gray, c["blurSize"] or 0, c["morphCloseSize"] or 0, c["adaptiveBlockSize"] or 0, c["adaptiveC"] or 0.0)), None
+        except ValueError as e:
+            return None, str(e)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [pattern(data, _parsed(c)) for data, c in zip(batch[image], batch[config], strict=True)]
+            out = batch.drop(columns=[image, config])
+            out["matrix"], out["error"] = pd.Series([f[0] for f in found], index=out.index, dtype=object), pd.Series([f[1] for f in found], index=out.index, dtype=object)
+            yield out
+
+    return known.mapInPandas(work, with_fields(rows.schema, (image, config), matrix=MATRIX, error=T.StringType()))
 
 
 def crop(rows: DataFrame, page: str = "picture", bounds: str = "bounds") -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import alignment, geometry, marking, pages, raster, results, validation
 from ..sources import matrices, store, templates
 from ..streaming import jobs
-from . import marking_job
+from . import marking_job, scanning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,6 +238,16 @@ def anchors_ordered(spark, sf_dir):
     return got.select(F.col("conv_id").alias("template_id"), F.col("items").alias("roles"), "n")
 
 
+@query("""
+WITH c AS (SELECT conv_id, turn % 3 AS page, string_agg(role || turn, ',' ORDER BY turn, role) AS items, count(*) AS n FROM conversations GROUP BY conv_id, turn % 3)
+SELECT conv_id AS template_id, string_agg(items, ';' ORDER BY page) AS grid, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_anchors FROM c GROUP BY conv_id""")
+def anchor_grids(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 3).alias("page"), F.struct("turn", "role").alias("at"), F.concat("role", F.col("turn").cast("string")).alias("item"))
+    got = store.grids(rows, "conv_id", "page", "at", "item")
+    flat = F.array_join(F.transform("grid", lambda p: F.array_join(p, ",")), ";")
+    return got.select(F.col("conv_id").alias("template_id"), flat.alias("grid"), F.size("grid").cast("long").alias("n_pages"), F.size(F.flatten("grid")).cast("long").alias("n_anchors"))
+
+
 @query("SELECT conv_id, min(turn) AS turn, arg_min(role, (turn, role)) AS role FROM conversations GROUP BY conv_id")
 def one_page(spark, sf_dir):
     return store.first_rows(t(spark, sf_dir, "conversations"), "conv_id", ("turn", "role"))
@@ -338,6 +348,56 @@ def drawn_pages(spark, sf_dir) -> DataFrame:
     return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
 
 
+#: A drawn exam has two pages with marks in these corners, the anchors of its template.
+EXAM_SIDE, EXAM_CORNERS = 160, (((30, 30), (130, 30), (30, 130)), ((30, 30), (130, 30), (130, 130)))
+
+
+def exam_page(index: int) -> np.ndarray:
+    """A gray page of the drawn exam, with another mark in each corner."""
+    gray = np.full((EXAM_SIDE, EXAM_SIDE), 230, dtype=np.uint8)
+    for k, (x, y) in enumerate(EXAM_CORNERS[index]):
+        gray[y - 10 : y + 10, x - 10 : x + 10] = 10
+        gray[y - 3 : y + 3 + 3 * k, x - 3 : x + 3] = 230
+    return gray
+
+
+def exam_template(spark) -> DataFrame:
+    """(template_id, template, grid) of the drawn exam."""
+    config = {"blurSize": 3, "morphCloseSize": 3, "minAnchorConfidence": 0.8, "adaptiveBlockSize": 61, "adaptiveC": 5.0}
+    corner = lambda x, y: {"image": "", "center": {"x": x, "y": y}, "roi": {"min": {"x": x - 30, "y": y - 30}, "max": {"x": x + 30, "y": y + 30}}}
+    doc = {"width": EXAM_SIDE, "height": EXAM_SIDE, "config": config, "pages": [{"anchors": [corner(x, y) for x, y in some]} for some in EXAM_CORNERS]}
+    grid = []
+    for i, some in enumerate(EXAM_CORNERS):
+        ink = raster.binarize(exam_page(i), 3, 3, 61, 5.0)
+        grid.append([matrices.to_row(ink[y - 15 : y + 15, x - 15 : x + 15]) for x, y in some])
+    kind = f"template_id string, template {schemas.PREPROCESSING_TEMPLATE.simpleString()}, grid array<array<{schemas.MATRIX.simpleString()}>>"
+    return spark.createDataFrame([("exam", doc, grid)], kind)
+
+
+def drawn_exams(spark, sf_dir) -> DataFrame:
+    """(doc, template_id, page, gray): suppliers' documents of two pages, some of them swapped, turned, twice the same, blank, without pixels, or three."""
+
+    def work(batches):
+        sheets = [exam_page(0), exam_page(1)]
+        ways = [sheets, sheets[::-1], [sheets[0][::-1, ::-1], sheets[1]], [sheets[0]] * 2, [sheets[0], np.full_like(sheets[0], 200)], [None, sheets[1]], [*sheets, sheets[0]]]
+        for batch in batches:
+            rows = [(key, "exam", i, None if g is None else matrices.to_row(g)) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)])]
+            yield pd.DataFrame(rows, columns=["doc", "template_id", "page", "gray"])
+
+    keys = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"))
+    return keys.mapInPandas(work, f"doc long, template_id string, page int, gray {schemas.MATRIX.simpleString()}")
+
+
+@query("""
+WITH d AS (SELECT s_suppkey AS doc, s_suppkey % 7 AS way, unnest(range(0, CASE WHEN s_suppkey % 7 = 6 THEN 3 ELSE 2 END)) AS page FROM supplier)
+SELECT doc, page // 2 AS exam, CAST(page % 2 AS INT) AS place,
+CAST(CASE WHEN way = 1 THEN 1 - page WHEN way = 3 THEN 0 WHEN (way = 4 AND page = 1) OR (way = 5 AND page = 0) THEN NULL ELSE page % 2 END AS INT) AS template_page,
+CASE way WHEN 3 THEN 'duplicate pages in an exam' WHEN 4 THEN 'unrecognizable page 1' WHEN 5 THEN 'unrecognizable page 0' WHEN 6 THEN '3 pages don''t divide into exams of 2' END AS error,
+CASE way WHEN 3 THEN 'order' WHEN 4 THEN 'quality' WHEN 5 THEN 'quality' WHEN 6 THEN 'count' END AS error_class FROM d""")
+def scanned_exams(spark, sf_dir):
+    return scanning.exam_outcomes(scanning.straighten(drawn_exams(spark, sf_dir), exam_template(spark)))
+
+
 def sheet_template(spark) -> DataFrame:
     doc = '{"config":{"fillThreshold":0.25},"pages":[{"questions":[{"id":"Q1","bubbleWidth":30,"bubbleHeight":30,"options":[%s]}]}]}' % ",".join(f'{{"label":"{c}","x":{20 + 40 * i},"y":20}}' for i, c in enumerate("ABCD"))
     one = spark.range(1, 2).select(F.lit("sheet").alias("id"), F.lit(doc).alias("json"))
@@ -472,6 +532,29 @@ def scale_odd(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", S.scale_size("p_size", r).alias("scaled"), S.scale_odd("p_size", r).alias("odd"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 6 AS blur, p_size % 4 AS close, p_size % 9 * 11 AS block, (p_partkey % 3) * 0.7 AS reference, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (0.5 + p_partkey % 30 / 10.0) / ((p_partkey % 3) * 0.7) END AS r FROM part),
+q AS (SELECT *, greatest(1, floor(blur * r + 0.5)) AS b, greatest(3, floor(block * r + 0.5)) AS k, greatest(0, floor(close * r + 0.5)) AS c FROM p)
+SELECT p_partkey, CAST(CASE WHEN r IS NULL OR blur = 0 THEN blur WHEN b % 2 = 0 THEN b + 1 ELSE b END AS INT) AS blur, CAST(CASE WHEN r IS NULL OR close = 0 THEN close ELSE c END AS INT) AS close,
+CAST(CASE WHEN r IS NULL OR block = 0 THEN block WHEN k % 2 = 0 THEN k + 1 ELSE k END AS INT) AS block FROM q""")
+def scaled_configs(spark, sf_dir):
+    size = F.col("p_size").cast("int")
+    config = F.struct((size % 6).alias("blurSize"), (size % 4).alias("morphCloseSize"), (size % 9 * 11).alias("adaptiveBlockSize"), ((F.col("p_partkey") % 3) * F.lit(0.7)).alias("referenceRatio"))
+    scaled = S.scaled_config(F.col("config"), F.lit(0.5) + F.col("p_partkey") % 30 / 10.0)
+    rows = t(spark, sf_dir, "part").select("p_partkey", config.alias("config")).select("p_partkey", scaled.alias("c"))
+    return rows.select("p_partkey", F.col("c.blurSize").alias("blur"), F.col("c.morphCloseSize").alias("close"), F.col("c.adaptiveBlockSize").alias("block"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN role ELSE CAST((conv_id + turn) % 5 AS VARCHAR) END AS v FROM conversations),
+d AS (SELECT *, CASE WHEN v = '' THEN 300 ELSE try_cast(v AS BIGINT) END AS n FROM c)
+SELECT conv_id, turn, CASE WHEN n > 0 THEN n END AS value, CASE WHEN n IS NULL THEN 'dpi is not a whole number' WHEN n = 0 THEN 'dpi must be positive' END AS error FROM d""")
+def positive_values(spark, sf_dir):
+    k = F.col("turn") % 4
+    text = F.when(k == 0, "").when(k == 1, F.col("role")).otherwise(((F.col("conv_id") + F.col("turn")) % 5).cast("string"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", S.positive_query(text, "dpi", 300).alias("q")).select("conv_id", "turn", "q.*")
+
+
 @query("""
 SELECT p_partkey, CAST(trunc(p_size * (1275::DOUBLE / 1200)) AS INT) AS x, CAST(trunc(p_size * 7 * (1654::DOUBLE / 1700)) AS INT) AS y,
 (1275::DOUBLE / 1200 + (1600 + p_size)::DOUBLE / 1700) / 2 AS ratio, (1275::DOUBLE / 1200 + (1600 + p_size)::DOUBLE / 1700) / 2 > 1.5 AS drifts FROM part""")

@@ -21,7 +21,7 @@ MARKING_PAGE = _s(("questions", T.ArrayType(QUESTION)))
 #: `questions` is the older form: one page without a list of pages.
 MARKING_TEMPLATE = _s(("config", MARKING_CONFIG), ("pages", T.ArrayType(MARKING_PAGE)), ("questions", T.ArrayType(QUESTION)))
 ANCHOR = _s(("image", STR), ("center", POINT), ("roi", _s(("min", POINT), ("max", POINT))))
-PREPROCESSING_CONFIG = _s(("blurSize", INT), ("morphCloseSize", INT), ("minAnchorConfidence", DBL), ("adaptiveBlockSize", INT), ("adaptiveC", DBL))
+PREPROCESSING_CONFIG = _s(("blurSize", INT), ("morphCloseSize", INT), ("minAnchorConfidence", DBL), ("adaptiveBlockSize", INT), ("adaptiveC", DBL), ("referenceRatio", DBL))
 PREPROCESSING_TEMPLATE = _s(("width", INT), ("height", INT), ("config", PREPROCESSING_CONFIG), ("pages", T.ArrayType(_s(("anchors", T.ArrayType(ANCHOR))))))
 MARKING_JOB = _s(("template", STR), ("scans", T.ArrayType(STR)))
 

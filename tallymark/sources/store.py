@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import TABLES
+from ..operators.raster import anchor_patterns
+from ..schemas import PREPROCESSING_TEMPLATE, TABLES
+from .templates import parse
 
 
 # --- what the store does with rows, for any frames
@@ -42,6 +44,19 @@ def lists_in_order(rows: DataFrame, key: str, order: tuple[str, ...], item: str)
     return got.select(key, F.transform("_all", lambda x: x[item]).alias("items"), "n")
 
 
+def grids(rows: DataFrame, key: str, page: str, order: str, item: str) -> DataFrame:
+    """(key, grid): each key's items by page and, within a page, in order. A template's anchors are few."""
+    per_page = rows.groupBy(key, page).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(item).alias("item")))).alias("_items"))
+    got = per_page.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.col("_items").alias("items")))).alias("_pages"))
+    return got.select(key, F.transform("_pages", lambda p: F.transform(p["items"], lambda x: x["item"])).alias("grid"))
+
+
+def readable(matrix) -> Column:
+    """Whether a matrix has as many pixels as its rows and columns say, and any."""
+    size = F.length(matrix["data"])
+    return F.coalesce((size == matrix["rows"] * matrix["cols"]) & (size > 0), F.lit(False))
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
     (name, rows), *rest = tables.items()
@@ -115,6 +130,28 @@ class Store:
         self.append("anchors", anchors.withColumn("id", F.expr("uuid()")))
         self.append("preprocessing_templates", templates.withColumn("json", F.regexp_replace("json", r'"image"\s*:\s*"[^"]*"', '"image":""')))
 
+    def save_preprocessing_documents(self, documents: DataFrame) -> DataFrame:
+        """Store whole template documents (id, json): anchor images are decoded and binarized once, and leave the text.
+
+        Gives (id, error) of each. A document that is malformed, or has an image that can't be read, is not stored; the
+        others are. Pixels are worked out once, into a part that is read for both the anchors and the verdicts, and removed; the verdicts stay beside it.
+        """
+        read = parse(documents.select("id", "json"), PREPROCESSING_TEMPLATE)
+        pages = read.where(~F.col("malformed")).select("id", F.col("template.config").alias("config"), F.posexplode("template.pages").alias("page_index", "page"))
+        anchors = pages.select(F.col("id").alias("template_id"), "config", "page_index", F.posexplode("page.anchors").alias("anchor_index", "anchor"))
+        path = f"{self.root}/decoded-{uuid.uuid4().hex}"
+        anchor_patterns(anchors.select("template_id", "page_index", "anchor_index", "config", F.col("anchor.image").alias("image"))).write.parquet(path)
+        decoded = self.spark.read.parquet(path)
+        bad = decoded.where(F.col("error").isNotNull()).groupBy("template_id").agg(F.min(F.struct("page_index", "anchor_index", "error")).alias("first"))
+        message = F.when(F.col("malformed"), "the document is malformed").when(F.col("first").isNotNull(), F.format_string("page %d, anchor %d: %s", "first.page_index", "first.anchor_index", "first.error"))
+        verdicts = read.join(bad, F.col("id") == F.col("template_id"), "left").select("id", "json", message.alias("error"))
+        verdicts.select("id", "error").write.parquet(f"{path}-verdicts")
+        good = verdicts.where(F.col("error").isNull())
+        self.save_preprocessing_templates(good.select("id", "json"), decoded.join(good.select(F.col("id").alias("template_id")), "template_id", "left_semi").select("template_id", "page_index", "anchor_index", "matrix"))
+        fs, folder = self._file(path)
+        fs.delete(folder, True)
+        return self.spark.read.schema("id string, error string").parquet(f"{path}-verdicts")
+
     def save_scans(self, scans: DataFrame, pages: DataFrame) -> None:
         """Store pages first, so that a scan is never there without them."""
         self.append("scan_pages", pages)
@@ -145,9 +182,31 @@ class Store:
 
     def incomplete_templates(self, wanted: DataFrame) -> DataFrame:
         """Ids of templates with another number of readable anchors than they should have; wanted: (template_id, n)."""
-        there = self.read("anchors").where(F.length("matrix.data") == F.col("matrix.rows") * F.col("matrix.cols")).groupBy("template_id").agg(F.count("*").alias("have"))
+        there = self.read("anchors").where(readable(F.col("matrix"))).groupBy("template_id").agg(F.count("*").alias("have"))
         return wanted.join(there, "template_id", "left").where(F.coalesce("have", F.lit(0)) != F.col("n")).select("template_id")
 
+    def template_grids(self) -> DataFrame:
+        """(template_id, template, grid) of the preprocessing templates whose anchors are all there and readable, matrices by page and anchor."""
+        read = parse(self.read("preprocessing_templates"), PREPROCESSING_TEMPLATE).where(~F.col("malformed")).select(F.col("id").alias("template_id"), "template")
+        anchors = self.read("anchors").where(readable(F.col("matrix")))
+        met = read.join(grids(anchors, "template_id", "page_index", "anchor_index", "matrix"), "template_id")
+        return met.where(F.transform("grid", F.size) == F.transform("template.pages", lambda p: F.size(p["anchors"])))
+
+    def load_template(self, template_id: str) -> DataFrame:
+        """One template with its grid; one whose anchors are incomplete or unreadable is removed, and there are no rows."""
+        found = self.template_grids().where(F.col("template_id") == template_id)
+        if found.isEmpty() and not self.by_id("preprocessing_templates", template_id).isEmpty():
+            self.delete_templates(self.spark.range(1).select(F.lit(template_id).alias("id")))
+        return found
+
+    def load_scan(self, scan_id: str) -> DataFrame:
+        """The pages of a scan in order; a scan with a page that can't be read is removed, and there are no rows."""
+        pages = self.scan_pages(scan_id)
+        if not pages.where(~readable(F.col("binary"))).isEmpty():
+            self.delete_scans(self.spark.range(1).select(F.lit(scan_id).alias("id")))
+            return self.scan_pages(scan_id)
+        return pages
+
     def usage(self) -> DataFrame:
         """(part, files, bytes) of matrices and pictures."""
         pages = self.read("scan_pages")
@@ -172,8 +231,7 @@ class Store:
 
     def unreadable_scans(self) -> DataFrame:
         """Ids of scans that have a page without a readable binary matrix."""
-        size = F.length("binary.data")
-        return self.read("scan_pages").where(F.coalesce(size != F.col("binary.rows") * F.col("binary.cols"), F.lit(True)) | (size == 0)).select(F.col("scan_id").alias("id")).distinct()
+        return self.read("scan_pages").where(~readable(F.col("binary"))).select(F.col("scan_id").alias("id")).distinct()
 
     def heal_scans(self) -> int:
         """Remove scans that can't be read."""
