@@ -29,46 +29,64 @@ def _outside(c: Column) -> Column:
 # The texts of messages are those that clients of the original read
 
 
+def _each(items: Column, check) -> Column:
+    """The violations that `check` gives for each item and its index; none where there are no items."""
+    return F.flatten(F.transform(F.coalesce(items, F.array()), check))
+
+
+def _broken(*rules: Column) -> Column:
+    return F.filter(F.array(*rules), lambda r: r.isNotNull())
+
+
+def _option_rules(o: Column, k: Column, others: Column, page: Column, question: Column, at: Column) -> Column:
+    place = lambda rule: _place(2, page, question, 5, k, rule)
+    where = F.concat(at, F.lit("options["), k.cast("string"), F.lit("]: "))
+    earlier = F.exists(F.slice(others, 1, k), lambda x: x["label"].eqNullSafe(o["label"]))
+    return _broken(
+        _rule(place(0), earlier, F.concat(at, F.lit('duplicate option label "'), F.coalesce(o["label"], F.lit("")), F.lit('"'))),
+        _rule(place(1), is_blank(o["label"]), F.concat(where, F.lit("label cannot be empty"))),
+        _rule(place(2), o["x"] < 0, F.concat(where, F.lit("x must be non-negative"))),
+        _rule(place(3), o["y"] < 0, F.concat(where, F.lit("y must be non-negative"))),
+    )
+
+
+def _question_rules(q: Column, question: Column, page: Column, before: Column) -> Column:
+    at = F.concat(before, F.lit("questions["), question.cast("string"), F.lit("]: "))
+    place = lambda rule: _place(2, page, question, rule)
+    own = _broken(
+        _rule(place(1), q["bubbleWidth"] <= 0, F.concat(at, F.lit("bubbleWidth must be positive"))),
+        _rule(place(2), q["bubbleHeight"] <= 0, F.concat(at, F.lit("bubbleHeight must be positive"))),
+        _rule(place(3), ~F.coalesce(q["type"], F.lit("")).isin("", "single", "multi"), F.concat(at, F.lit("type must be multi, single, or omitted"))),
+        _rule(place(4), F.coalesce(F.size(q["options"]), F.lit(0)) < 1, F.concat(at, F.lit("question must contain at least one option"))),
+    )
+    return F.concat(own, _each(q["options"], lambda o, k: _option_rules(o, k, q["options"], page, question, at)))
+
+
+def _page_rules(p: Column, page: Column) -> Column:
+    at = F.concat(F.lit("pages["), page.cast("string"), F.lit("]: "))
+    empty = _broken(_rule(_place(2, page), F.coalesce(F.size(p["questions"]), F.lit(0)) < 1, F.concat(at, F.lit("questions must contain at least one question"))))
+    return F.concat(empty, _each(p["questions"], lambda q, k: _question_rules(q, k, page, at)))
+
+
 def marking_violations(templates: DataFrame, id_col: str = "id", template: str = "template") -> DataFrame:
-    """(id, position, message) of marking templates; a row for each broken rule."""
+    """(id, position, message) of marking templates; a row for each broken rule.
+
+    A document's own rules are one projection; only question ids that repeat, on any of its pages, are found by grouping.
+    """
     t = F.col(template)
     config = t["config"]
     checks = [(name, _outside(config[name]), "must be between 0 and 1") for name in ("fillThreshold", "selectionThreshold", "bubbleInset", "flagThreshold")]
     checks += [(name, config[name] < 0, "must be nonnegative") for name in ("searchRadius", "searchGroupSize", "groupSearchRadius")]
     rules = [_rule(_place(0, k), bad, f"config: {name} {text}") for k, (name, bad, text) in enumerate(checks)]
     rules.append(_rule(_place(1), F.coalesce(F.size(t["pages"]), F.lit(0)) < 1, "pages must contain at least one page"))
-    whole = templates.select(id_col, F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("r"))
-
-    pages = templates.select(id_col, F.posexplode(t["pages"]).alias("page", "p"))
-    at = lambda name: F.concat(F.lit("pages["), F.col("page").cast("string"), F.lit("]: ")) if name == "page" else F.concat(at("page"), F.lit("questions["), F.col("question").cast("string"), F.lit("]: "))
-    empty_pages = pages.select(id_col, _rule(_place(2, F.col("page")), F.coalesce(F.size("p.questions"), F.lit(0)) < 1, F.concat(at("page"), F.lit("questions must contain at least one question"))).alias("r"))
-
-    questions = pages.select(id_col, "page", F.posexplode("p.questions").alias("question", "q"))
-    ids = questions.groupBy(id_col, F.coalesce("q.id", F.lit("")).alias("qid")).agg(F.sort_array(F.collect_list(F.struct("page", "question"))).alias("places"))
-    twice = ids.select(id_col, "qid", F.explode(F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0)))).alias("x")).select(id_col, F.col("x.page").alias("page"), F.col("x.question").alias("question"), "qid")
-    duplicates = twice.select(id_col, _rule(_place(2, F.col("page"), F.col("question"), 0), F.lit(True), F.concat(at("page"), F.lit('duplicate question id "'), F.col("qid"), F.lit('"'))).alias("r"))
-    q = F.col("q")
-    own = F.array(
-        _rule(_place(2, F.col("page"), F.col("question"), 1), q["bubbleWidth"] <= 0, F.concat(at("q"), F.lit("bubbleWidth must be positive"))),
-        _rule(_place(2, F.col("page"), F.col("question"), 2), q["bubbleHeight"] <= 0, F.concat(at("q"), F.lit("bubbleHeight must be positive"))),
-        _rule(_place(2, F.col("page"), F.col("question"), 3), ~F.coalesce(q["type"], F.lit("")).isin("", "single", "multi"), F.concat(at("q"), F.lit("type must be multi, single, or omitted"))),
-        _rule(_place(2, F.col("page"), F.col("question"), 4), F.coalesce(F.size(q["options"]), F.lit(0)) < 1, F.concat(at("q"), F.lit("question must contain at least one option"))),
-    )
-    per_question = questions.select(id_col, F.explode(F.filter(own, lambda r: r.isNotNull())).alias("r"))
-    options = questions.select(id_col, "page", "question", F.col("q.options").alias("all"), F.posexplode("q.options").alias("option", "o"))
-    o = F.col("o")
-    earlier = F.exists(F.slice("all", 1, F.col("option")), lambda x: x["label"].eqNullSafe(o["label"]))
-    place = lambda k: _place(2, F.col("page"), F.col("question"), 5, F.col("option"), k)
-    where = F.concat(at("q"), F.lit("options["), F.col("option").cast("string"), F.lit("]: "))
-    rules = F.array(
-        _rule(place(0), earlier, F.concat(at("q"), F.lit('duplicate option label "'), F.coalesce(o["label"], F.lit("")), F.lit('"'))),
-        _rule(place(1), is_blank(o["label"]), F.concat(where, F.lit("label cannot be empty"))),
-        _rule(place(2), o["x"] < 0, F.concat(where, F.lit("x must be non-negative"))),
-        _rule(place(3), o["y"] < 0, F.concat(where, F.lit("y must be non-negative"))),
-    )
-    per_option = options.select(id_col, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-    found = whole.unionAll(empty_pages.where(F.col("r").isNotNull())).unionAll(duplicates).unionAll(per_question).unionAll(per_option)
-    return found.select(id_col, "r.position", "r.message")
+    inside = templates.select(id_col, F.explode(F.concat(_broken(*rules), _each(t["pages"], _page_rules))).alias("r"))
+
+    questions = templates.select(id_col, F.posexplode(F.transform(t["pages"], lambda p: F.transform(p["questions"], lambda q: F.coalesce(q["id"], F.lit(""))))).alias("page", "ids")).select(id_col, "page", F.posexplode("ids").alias("question", "qid"))
+    places = questions.groupBy(id_col, "qid").agg(F.sort_array(F.collect_list(F.struct("page", "question"))).alias("places")).where(F.size("places") > 1)
+    twice = places.select(id_col, "qid", F.explode(F.slice("places", 2, F.size("places") - 1)).alias("x"))
+    message = F.concat(F.lit("pages["), F.col("x.page").cast("string"), F.lit(']: duplicate question id "'), F.col("qid"), F.lit('"'))
+    duplicates = twice.select(id_col, F.struct(_place(2, F.col("x.page"), F.col("x.question"), 0).alias("position"), message.alias("message")).alias("r"))
+    return inside.unionAll(duplicates).select(id_col, "r.position", "r.message")
 
 
 def out_of_bounds(point: Column, width: Column, height: Column) -> Column:
