@@ -2,9 +2,10 @@
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets form one class. The SKETCH smallest hashes are its sketch.
 2. Classes meet in the buckets of their BAND smallest hashes (their prefix, where sets are small enough that the prefix is
-   no longer). Large buckets are cut into blocks, and blocks meet in tiles. Pairs whose sketches share too little to reach the
-   threshold are left; the others connect classes into coarse groups. Of each tile only connecting edges leave.
-3. Within each coarse group, again in tiles, sets are joined exactly as a T-occurrence search: each set is a query to
+   no longer). Large buckets are cut into blocks. Each block meets some pivots of the bucket, then blocks meet whose rows are not
+   connected yet. Pairs whose sketches share too little to reach the threshold are left; the others connect classes into
+   coarse groups. Of each tile only connecting edges leave.
+3. Within each coarse group, again in such tiles, sets are joined exactly as a T-occurrence search: each set is a query to
    the tile's inverted lists. Short lists are merged by a heap (by counting, where they hold more than HEAP rows); the longest
    lists, as many as DivideSkip allows while no answer can be missed, are probed by binary search for the few rows
    that are left. Rows that reach the overlap that the threshold asks for are linked.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,8 @@ BAND, SKETCH, MATCHES = 20, 48, 16
 HEAP = 256
 #: Rows of a block: a sixteenth of its bucket or group, within these bounds; sketches are shorter than sets.
 SKETCH_BLOCK, SET_BLOCK = (512, 2048), (256, 1024)
+#: Rows of a large bucket or group, about, that meet all its others first.
+PIVOTS = 64
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 #: Rows of a tile compared with all others at once.
@@ -130,14 +133,50 @@ def documents_sets(docs: DataFrame, words: int, id_col: str, text_col: str, limi
     return cut(rows.mapInPandas(lean(work), "doc_id long, text_key long, n_shingles long, node long, band array<long>, sketch binary"), "sets")
 
 
-def in_tiles(rows: DataFrame, size: str, key: str, bounds: tuple[int, int]) -> DataFrame:
-    """Rows of buckets with `size` rows, dealt to tiles (i, j) of two blocks each; small buckets are one tile."""
+def met_components(rows: DataFrame, key: str, bounds: tuple[int, int], load: Callable[[DataFrame], DataFrame], work: Callable) -> DataFrame:
+    """(node, component) of what `work` links among rows (key, size, node) of one key; size counts the key's rows.
+
+    `load` adds to rows (key, node, i, j), with arrays of tiles, what `work` compares; `work` gets sorted batches (key, i, j, ...)
+    and gives edges (a, b) that connect each tile. A key of more rows than a tile holds goes through it twice. First each of its
+    blocks meets PIVOTS rows of the key, the same ones wherever they can be; most of a group of near copies is one
+    component then. After that only rows of different components meet: a block holds rows of one component, or
+    of small ones, and blocks of one component do not meet each other.
+    """
     least, most = bounds
-    block = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col(size) / 16)))
-    blocks = F.when(F.col(size) <= 2 * least, F.lit(1)).otherwise(F.ceil(F.col(size) / block)).cast("int")
-    own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+    block = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("size") / 16)))
+    rows = rows.select(key, "size", "node", block.alias("block"), F.when(F.col("size") <= 2 * least, F.lit(1)).otherwise(F.ceil(F.col("size") / block)).cast("long").alias("blocks"))
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        loaded = load(dealt.select(key, "node", "i", "j"))
+        tiles = loaded.select(*(c for c in loaded.columns if c not in ("i", "j")), F.inline(F.arrays_zip("i", "j")))
+        sorted_ = tiles.repartition(width(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
+        return sorted_.mapInPandas(lean(work), "a long, b long")
+
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 40)) / float(1 << 40) * F.col("size") < PIVOTS)
+    first = rows.withColumn("i", F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own))
+    labels = components(meet(first.withColumn("j", F.col("i"))))
+
+    named = labels.select("node", F.col("component").alias("label"))
+    large = cut(rows.where("blocks > 1").join(named, "node", "left").select(key, "node", "block", F.coalesce("label", "node").alias("label")), "large")
+    sizes = large.groupBy(key, "label", "block").agg(F.count("*").alias("n"))
+    parts = cut(sizes.withColumn("parts", F.when(2 * F.col("n") >= F.col("block"), F.ceil(F.col("n") / F.col("block"))).otherwise(0).cast("long")), "parts")
+    whole, small = F.when(F.col("parts") > 0, F.struct("label", "parts")), F.when(F.col("parts") == 0, F.col("n")).otherwise(0)
+    per_key = parts.groupBy(key, "block").agg(F.count("*").alias("labels"), F.collect_list(whole).alias("whole"), F.ceil(F.sum(small) / F.col("block")).alias("mixed"))
+
+    def numbers(n):
+        return F.filter(F.sequence(F.lit(0).cast("long"), n), lambda x: x > 0)
+
+    alone = F.flatten(F.transform("whole", lambda p: F.transform(numbers(p["parts"]), lambda x: F.struct(F.xxhash64(p["label"], x).alias("id"), p["label"].alias("label")))))
+    shared = F.transform(numbers(F.col("mixed")), lambda x: F.struct(F.xxhash64(F.lit("mixed"), x).alias("id"), F.lit(None).cast("long").alias("label")))
+    open_keys = cut(per_key.where("labels > 1").select(key, "mixed", F.concat(alone, shared).alias("others")), "open-keys")
+    if open_keys.isEmpty():
+        return labels
+    at = F.when(F.col("parts") > 0, F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")) + 1)).otherwise(F.xxhash64(F.lit("mixed"), F.pmod(F.xxhash64("label", F.lit(7)), F.col("mixed")) + 1))
+    apart = F.filter("others", lambda b: b["label"].isNull() | (b["label"] != F.col("label")))
+    again = large.join(open_keys, key).join(parts.select(key, "label", "parts"), [key, "label"]).withColumn("at", at).withColumn("apart", apart)
+    tiles = again.withColumn("i", F.transform("apart", lambda b: F.least("at", b["id"]))).withColumn("j", F.transform("apart", lambda b: F.greatest("at", b["id"])))
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(cut(meet(tiles), "bridges")))
 
 
 def coarse_links(n: np.ndarray, sketches: list[bytes], token: int, limit: int, matches: int) -> np.ndarray:
@@ -172,8 +211,9 @@ def coarse_groups(classes: DataFrame, limit: int, matches: int = MATCHES) -> Dat
     met = tokens.join(counts, "token")
     # the slim rows first: only classes that meet another carry their sketch
     slim = cut(met, "met")
-    full = slim.join(classes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-    tiles = in_tiles(full, "size", "node", SKETCH_BLOCK).select("token", "i", "j", "node", "n", "sketch")
+
+    def load(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in whole_groups(batches, ["token", "i", "j"]):
@@ -202,8 +242,7 @@ def coarse_groups(classes: DataFrame, limit: int, matches: int = MATCHES) -> Dat
                     b.append(node[lo + y])
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    dealt = tiles.repartition(width(classes.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return components(dealt.mapInPandas(lean(work), "a long, b long"))
+    return met_components(slim, "token", SKETCH_BLOCK, load, work)
 
 
 def merged(lists: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
@@ -252,11 +291,9 @@ def t_occurrence(sets: list[np.ndarray], limit: int = LIMIT) -> np.ndarray:
     return linked | linked.T
 
 
-def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_col: str, text_col: str) -> DataFrame:
-    """Connecting edges (a, b) between linked classes. chosen: (doc_id, text_key, node, component, size), a text for each class."""
+def linked_components(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of the linked classes. chosen: (doc_id, text_key, node, component, size), a text for each class."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("text"))
-    # the chosen grow with the documents: both sides are dealt by their key at every size
-    found = texts.join(chosen.hint("merge"), (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "size", "node", "text")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,8 +303,11 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
             out["shingles"] = [s.tobytes() for s in sets]
             yield out
 
-    sets = found.mapInPandas(lean(hashed), "component long, size long, node long, shingles binary")
-    tiles = in_tiles(sets, "size", "node", SET_BLOCK).select("component", "i", "j", "node", "shingles")
+    def load(rows: DataFrame) -> DataFrame:
+        # the chosen grow with the documents: both sides are dealt by their key at every size
+        wanted = rows.join(chosen.select("node", "doc_id", "text_key"), "node").hint("merge")
+        found = texts.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "node", "i", "j", "text")
+        return found.mapInPandas(lean(hashed), "component long, node long, i array<long>, j array<long>, shingles binary")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in whole_groups(batches, ["component", "i", "j"]):
@@ -280,8 +320,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, words: int, limit: int, id_c
                     b.append(node[y])
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    dealt = tiles.repartition(width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInPandas(lean(join), "a long, b long")
+    return met_components(chosen.select("component", "size", "node"), "component", SET_BLOCK, load, join)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
@@ -294,7 +333,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT,
         sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
         members = cut(groups.join(sizes, "component"), "members")
         chosen = cut(classes.select("node", "doc_id", "text_key").join(members, "node"), "chosen")
-        links = components(exact_links(docs, chosen, words, limit, id_col, text_col))
+        links = linked_components(docs, chosen, words, limit, id_col, text_col)
         named = cut(classes.select("node", "doc_id").join(links, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
         least = cut(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
         final = inner.keep(cut(named.join(least, "component").select("node", "component", "least"), "final"))
