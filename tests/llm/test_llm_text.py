@@ -58,6 +58,29 @@ def test_join_by_brute_force(spark):
     assert kept == sorted(d for d in sets if group[d] == d)
 
 
+def test_join_of_large_groups_in_small_blocks(spark, monkeypatch):
+    """Chains, whose ends are linked only through their middle, and near copies, over many blocks of a bucket and of a group."""
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", (2, 4))
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", (2, 4))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)]
+    rows += [(100 + i, " ".join(["copy"] * 3 + words[200:280] + [f"end{i}"])) for i in range(30)]
+    rows += [(200 + i, " ".join(words[200:230] + [f"other{i}-{k}" for k in range(40)])) for i in range(20)]
+    sets = {d: shingles(t) for d, t in rows}
+    group = {d: d for d in sets}
+    for _ in range(len(rows)):
+        before = dict(group)
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group and set(group.values()) == {0, 100, *range(200, 220)}
+
+
 def test_exact_join_and_recall(spark):
     df = spark.createDataFrame(near_copies(seed=11, n=300), "doc_id long, text string")
     exact = ngram_join.jaccard_components(df, exact=True).select("doc_id", "n_shingles", "component_id")
