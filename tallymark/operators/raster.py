@@ -1,4 +1,4 @@
-"""Pixel work in Arrow batches: thresholds, anchors, warps, and fill ratios of bubbles.
+"""Pixel work in Arrow batches: thresholds, anchors, warps and crops.
 
 Pages are matrix columns; numpy works on one page at a time inside tasks, so a task holds a few pages and nothing else.
 Gray levels are 0..255, binary ones 0 or 255 with ink as 255. Filled circles follow the usual integer midpoint rule;
@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from ..functions import scalars
 from ..schemas import MATRIX, with_fields
 from ..sources.matrices import decode_image, from_row, to_row
-from .alignment import INKED, OFF_BUBBLE
+from ..sources.templates import preprocessing_page
+from . import affine as affine_maps
+from .guard import QUALITY, Outcome, PageError, TemplateError, guarded
 
 #: The guard disk is so much of the radius, which contains the printed ring.
 GUARD_INSET = 1.2
@@ -28,14 +30,6 @@ GUARD_INSET = 1.2
 ROUNDS, ANGLES, BREADTH, SHRINK, GOOD = 3, 4, 10.0, 2.0, 0.95
 
 
-class PageError(ValueError):
-    """A page that can't be read well enough."""
-
-
-#: Classes of errors: the page is at fault, or its template.
-QUALITY, TEMPLATE = "quality", "template"
-
-
 # --- masks and fills
 
 
@@ -69,114 +63,10 @@ def disk(width: int, height: int, radius: int) -> np.ndarray:
     return mask
 
 
-def masks(width: int, height: int, inset: float, label_inset: float) -> dict[str, np.ndarray]:
-    """The score disk, the ring for alignment (without the printed letter), and the guard disk."""
-    r = min(width, height) // 2
-    score = disk(width, height, int(r * inset))
-    hole = int(r * label_inset)
-    ring = score & ~disk(width, height, hole) if hole > 0 else score
-    return {"score": score, "ring": ring, "guard": disk(width, height, int(r * GUARD_INSET))}
-
-
-def fill_ratio(page: np.ndarray, cx: int, cy: int, mask: np.ndarray) -> float:
-    """Share of a mask's pixels that are inked; 0 where its field leaves the page."""
-    h, w = mask.shape
-    x, y = cx - w // 2, cy - h // 2
-    area = int(mask.sum())
-    if not area or x < 0 or y < 0 or x + w > page.shape[1] or y + h > page.shape[0]:
-        return 0.0
-    return int(np.count_nonzero(page[y : y + h, x : x + w][mask])) / area
-
-
-def _surface(page: np.ndarray, cx: int, cy: int, mask: np.ndarray, radius: int) -> np.ndarray:
-    """Fill ratios at all offsets (dy, dx) within a radius."""
-    h, w = mask.shape
-    out, area = np.zeros((2 * radius + 1, 2 * radius + 1)), int(mask.sum())
-    ys, xs = cy - h // 2 + np.arange(-radius, radius + 1), cx - w // 2 + np.arange(-radius, radius + 1)
-    rows, cols = np.nonzero((ys >= 0) & (ys + h <= page.shape[0]))[0], np.nonzero((xs >= 0) & (xs + w <= page.shape[1]))[0]
-    if area and len(rows) and len(cols):
-        field = page[ys[rows[0]] : ys[rows[-1]] + h, xs[cols[0]] : xs[cols[-1]] + w] != 0
-        out[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1] = np.lib.stride_tricks.sliding_window_view(field, (h, w))[:, :, mask].sum(axis=-1) / area
-    return out
-
-
-def align(page: np.ndarray, centres: list[tuple[int, int]], shapes: dict[str, np.ndarray], threshold: float, radius: int) -> tuple[int, int]:
-    """The offset within the radius whose ring fills have the largest gap; even rows go where the guard disks hold most ink, if they are inked.
-
-    The rule is that of alignment.best_offsets: without a valid offset the gap is 0, at the centre.
-    """
-    if radius <= 0 or not centres:
-        return 0, 0
-    rings = np.sort(np.stack([_surface(page, x, y, shapes["ring"], radius) for x, y in centres]), axis=0)
-    gap = np.diff(rings, axis=0).max(axis=0) if len(centres) > 1 else np.zeros(rings.shape[1:])
-    at, best = _first_best(np.where(rings[0] < OFF_BUBBLE, -1.0, gap), radius)
-    if best < 0:
-        at, best = (0, 0), 0.0
-    if best >= threshold:
-        return at
-    guard = np.sum([_surface(page, x, y, shapes["guard"], radius) for x, y in centres], axis=0)
-    at, best = _first_best(guard, radius)
-    return at if best / len(centres) > INKED else (0, 0)
-
-
-def _first_best(score: np.ndarray, radius: int) -> tuple[tuple[int, int], float]:
-    best = score.max()
-    if score[radius, radius] == best:
-        return (0, 0), float(best)
-    dy, dx = np.argwhere(score == best)[0] - radius
-    return (int(dx), int(dy)), float(best)
-
-
-def question_fills(page: np.ndarray, question, settings) -> tuple[list[float], list[int], list[int]]:
-    """Fills of a question's options at their detected offsets, and the offsets."""
-    shapes = masks(question["bubbleWidth"], question["bubbleHeight"], settings["bubbleInset"], settings["labelInset"])
-    centres = [(o["x"], o["y"]) for o in question["options"]]
-    size = settings["searchGroupSize"]
-    grouped = 0 < size < len(centres)
-    step, radius = (size, settings["groupSearchRadius"]) if grouped else (max(1, len(centres)), settings["searchRadius"])
-    dxs, dys = [], []
-    for at in range(0, len(centres), step):
-        some = centres[at : at + step]
-        dx, dy = align(page, some, shapes, settings["fillThreshold"], radius)
-        dxs += [dx] * len(some)
-        dys += [dy] * len(some)
-    return [fill_ratio(page, x + dx, y + dy, shapes["score"]) for (x, y), dx, dy in zip(centres, dxs, dys, strict=True)], dxs, dys
-
-
-#: What keeps a page from being marked.
+# What keeps a page from being marked
 EMPTY_PAGE, NO_QUESTIONS = "cannot evaluate an empty image", "mark template contains no questions"
 
 
-def measure_pages(rows: DataFrame, page: str = "binary", questions: str = "questions") -> DataFrame:
-    """A row per question with `ordinal`, `question`, `settings`, `fills`, `dxs`, `dys` and `error`, for rows of a page and its questions.
-
-    questions: an array of (ordinal, question, settings). A page goes to Python once, however many questions it has; one
-    that is empty, or has no questions, gives one row with its error.
-    """
-
-    def measured(pixels: np.ndarray | None, some) -> list[tuple]:
-        if pixels is None:
-            return [(None, None, None, None, None, None, EMPTY_PAGE)]
-        if some is None or not len(some):
-            return [(None, None, None, None, None, None, NO_QUESTIONS)]
-        return [(q["ordinal"], q["question"], q["settings"], *question_fills(pixels, q["question"], q["settings"]), None) for q in some]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [measured(from_row(p), some) for p, some in zip(batch[page], batch[questions], strict=True)]
-            at = np.repeat(np.arange(len(batch)), [len(f) for f in found])
-            out = batch.drop(columns=[page, questions]).iloc[at].reset_index(drop=True)
-            flat = [x for f in found for x in f]
-            for k, name in enumerate(("ordinal", "question", "settings", "fills", "dxs", "dys", "error")):
-                out[name] = pd.Series([x[k] for x in flat], dtype="Int64" if name == "ordinal" else object)
-            yield out
-
-    of = rows.schema[questions].dataType.elementType
-    kinds = {name: of[name].dataType for name in ("ordinal", "question", "settings")}
-    schema = with_fields(rows.schema, (page, questions), **kinds, fills=T.ArrayType(T.DoubleType()), dxs=T.ArrayType(T.IntegerType()), dys=T.ArrayType(T.IntegerType()), error=T.StringType())
-    return rows.mapInPandas(work, schema)
-
-
 # --- thresholds
 
 
@@ -229,7 +119,7 @@ def binarize(page: np.ndarray, blur_size: int, close_size: int, block: int = 0,
     if page.size == 0:
         raise PageError("cannot binarize an empty image")
     if blur_size % 2 == 0:
-        raise ValueError(f"blurSize must be odd, got {blur_size}")
+        raise TemplateError(f"blurSize must be odd, got {blur_size}")
     block = min(block or 91, *page.shape)
     block = max(3, block - 1 + block % 2)
     c = c or -15.0
@@ -281,12 +171,9 @@ def warp(page: np.ndarray, forward: np.ndarray, width: int, height: int) -> np.n
     return _sample(page, back[0, 0] * x + back[0, 1] * y + back[0, 2], back[1, 0] * x + back[1, 1] * y + back[1, 2])
 
 
-def affine(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> np.ndarray:
-    """The map that brings source points to target points, exact for three and by least squares for more."""
-    a = np.column_stack([np.array(source, dtype=float), np.ones(len(source))])
-    if np.linalg.matrix_rank(a) < 3:
-        raise PageError("could not estimate affine transform from anchor points")
-    return np.linalg.lstsq(a, np.array(target, dtype=float), rcond=None)[0].T
+def in_a_line(points: list[tuple[float, float]]) -> bool:
+    """Whether no three points span an area."""
+    return np.linalg.matrix_rank(np.column_stack([np.array(points, dtype=float).reshape(-1, 2), np.ones(len(points))])) < 3
 
 
 def rotate(page: np.ndarray, degrees: float) -> np.ndarray:
@@ -334,140 +221,154 @@ def find_anchor(binary: np.ndarray, pattern: np.ndarray, roi: tuple[int, int, in
     return x0 + place[0] + pattern.shape[1] // 2, y0 + place[1] + pattern.shape[0] // 2
 
 
-def preprocess(gray: np.ndarray, template: dict, page_index: int, patterns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(picture, binary, turned): a page brought to its template's size by its anchors, upside down if need be."""
-    config, width, height = template["config"], template["width"], template["height"]
-    anchors = template["pages"][page_index]["anchors"]
+def scaled_pattern(pattern: np.ndarray, roi: tuple[int, int, int, int], sx: float, sy: float) -> np.ndarray:
+    """An anchor's pattern at the page's resolution."""
+    width, height = max(1, int(pattern.shape[1] * sx + 0.5)), max(1, int(pattern.shape[0] * sy + 0.5))
+    if width > roi[2] - roi[0] or height > roi[3] - roi[1]:
+        raise PageError("an anchor is larger than its region")
+    return resize(pattern, width, height)
+
+
+def locate(gray: np.ndarray, page: dict, patterns: list[np.ndarray | None]) -> tuple[np.ndarray, list[tuple[float, float]], bool]:
+    """(binary, places of the anchors, turned): the page binarized, upside down if its anchors are found only so."""
+    config, width, height, anchors = page["config"], page["width"], page["height"], page["anchors"]
+    if width <= 0 or height <= 0:
+        raise TemplateError(f"a template of {width} x {height}")
     if len(anchors) < 3:
-        raise ValueError(f"warping requires at least 3 anchors, provided {len(anchors)}")
-    binary = binarize(gray, config["blurSize"], config["morphCloseSize"] or 0, config["adaptiveBlockSize"] or 0, config["adaptiveC"] or 0.0)
+        raise TemplateError(f"at least 3 anchors are needed, not {len(anchors)}")
+    if len(patterns) != len(anchors) or any(p is None for p in patterns):
+        raise TemplateError("an anchor has no image")
+    binary = binarize(gray, config["blurSize"], config["morphCloseSize"], config["adaptiveBlockSize"], config["adaptiveC"])
     sx, sy = gray.shape[1] / width, gray.shape[0] / height
 
-    def locate(page: np.ndarray) -> np.ndarray:
-        source = []
+    def places(page: np.ndarray) -> list[tuple[float, float]]:
+        found = []
         for a, p in zip(anchors, patterns, strict=True):
-            scaled = resize(p, max(1, int(p.shape[1] * sx + 0.5)), max(1, int(p.shape[0] * sy + 0.5)))
             roi = tuple(int(v * s) for v, s in ((a["roi"]["min"]["x"], sx), (a["roi"]["min"]["y"], sy), (a["roi"]["max"]["x"], sx), (a["roi"]["max"]["y"], sy)))
-            source.append(find_anchor(page, scaled, roi, config["minAnchorConfidence"]))
-        return affine(source, [(a["center"]["x"], a["center"]["y"]) for a in anchors])
+            found.append(find_anchor(page, scaled_pattern(p, roi, sx, sy), roi, config["minAnchorConfidence"]))
+        if in_a_line(found):
+            raise PageError(NO_MAP)
+        return found
 
-    turned = False
     try:
-        forward = locate(binary)
+        return binary, places(binary), False
     except PageError:
-        gray, binary, turned = gray[::-1, ::-1], binary[::-1, ::-1], True
-        forward = locate(binary)
-    flat = np.where(warp(binary, forward, width, height) > 128, 255, 0).astype(np.uint8)
-    return warp(gray, forward, width, height), flat, turned
+        turned = binary[::-1, ::-1]
+        return turned, places(turned), True
 
 
-#: The column in which a row's template goes to Python: as text, since pandas makes floats of a struct's numbers beside a null.
+#: What keeps a page from being straightened though its anchors are found.
+NO_MAP = "the anchors give no affine map"
+#: The column in which a row's template page goes to Python: as text, since pandas makes floats of a struct's numbers beside a null.
 _TEXT = "_template_text"
+_LOCATED = {"binary": MATRIX, "points": T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("sx", "sy", "tx", "ty")])), "turned": T.BooleanType(), "error": T.StringType(), "error_class": T.StringType()}
 
 
-def _at_resolution(rows: DataFrame, page: str, template: str) -> DataFrame:
-    """Rows with their template as text, the sizes of its settings scaled to the page's resolution where it names a reference."""
-    t = F.col(template)
-    if "referenceRatio" in rows.schema[template].dataType["config"].dataType.names:
-        ratio = scalars.size_ratio(F.col(page)["cols"], F.col(page)["rows"], F.nullif(t["width"], F.lit(0)), F.nullif(t["height"], F.lit(0)))
-        t = t.withField("config", scalars.scaled_config(t["config"], ratio))
-    return rows.withColumn(_TEXT, F.to_json(t, {"ignoreNullFields": "false"}))
+def _columns(batch: pd.DataFrame, found: list[Outcome], names: tuple[str, ...]) -> pd.DataFrame:
+    """A batch with the parts of its rows' values, errors and classes behind."""
+    for k, name in enumerate(names):
+        batch[name] = pd.Series([None if f.error is not None else f.value[k] for f in found], index=batch.index, dtype=object)
+    batch["error"], batch["error_class"] = (pd.Series([getattr(f, c) for f in found], index=batch.index, dtype=object) for c in ("error", "error_class"))
+    return batch
 
 
-def _first_fit(pixels: np.ndarray | None, template, places: list[int], grid) -> tuple:
-    """(template page, picture, binary, turned, error, class of error) by the first of these template pages whose anchors are found."""
-    errors = []
-    try:
+def locate_anchors(rows: DataFrame, page: str = "gray", template_page: str = "template_page_text", patterns: str = "patterns") -> DataFrame:
+    """Adds `binary`, `points` (where each anchor is and belongs), `turned`, `error` and `error_class`; template_page is JSON text, which goes, as do the patterns."""
+
+    def step(gray, text: str | None, some) -> tuple:
+        if text is None or some is None:
+            raise TemplateError("template not found")
+        pixels = from_row(gray)
         if pixels is None:
             raise PageError("the page is empty")
-        if template is None or grid is None:
-            raise ValueError("template not found")
-        for at in places:
-            try:
-                picture, binary, turned = preprocess(pixels, template, at, [from_row(x) for x in grid[at]])
-                return at, to_row(picture), to_row(binary), turned, None, None
-            except ValueError as e:
-                errors.append(e)
-    except ValueError as e:
-        errors.append(e)
-    kind = QUALITY if all(isinstance(e, PageError) for e in errors) else TEMPLATE
-    return None, None, None, None, str(errors[0]) if errors else "the template has no pages", kind
+        known = json.loads(text)
+        binary, places, turned = locate(pixels, known, [from_row(p) for p in some])
+        points = [{"sx": float(x), "sy": float(y), "tx": float(a["center"]["x"]), "ty": float(a["center"]["y"])} for (x, y), a in zip(places, known["anchors"], strict=True)]
+        return to_row(binary), points, turned
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [guarded(step, *row) for row in zip(batch[page], batch[template_page], batch[patterns], strict=True)]
+            yield _columns(batch.drop(columns=[template_page, patterns]), found, ("binary", "points", "turned"))
 
-def _parsed(text: str | None) -> dict | None:
-    return None if text is None else json.loads(text)
+    return rows.mapInPandas(work, with_fields(rows.schema, (template_page, patterns), **_LOCATED))
 
 
-_FITTED = ("template_page", "picture", "binary", "turned", "error", "error_class")
+def warp_pages(rows: DataFrame, page: str = "gray", size: str = "size") -> DataFrame:
+    """Adds `picture` and puts the straightened `binary` in place of the other, by the affine `map` of rows as locate_anchors gives them.
 
+    size: (width, height). Rows with an error stay as they are, without a binary; the page of the others goes.
+    """
 
-def preprocess_pages(rows: DataFrame, page: str = "gray", template: str = "template", page_index: str = "page_index", patterns: str = "patterns") -> DataFrame:
-    """Adds `picture`, `binary`, `turned`, `error` and `error_class` to rows of a gray page, its template, a template page and its anchors' patterns."""
+    def step(gray, binary, turned, m, to) -> tuple:
+        forward = np.array([[m["a"], m["b"], m["c"]], [m["d"], m["e"], m["f"]]])
+        pixels = from_row(gray)
+        pixels = pixels[::-1, ::-1] if turned else pixels
+        width, height = int(to["width"]), int(to["height"])
+        flat = np.where(warp(from_row(binary), forward, width, height) > 128, 255, 0).astype(np.uint8)
+        return to_row(warp(pixels, forward, width, height)), to_row(flat)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_first_fit(from_row(p), _parsed(t), [int(i)], None if some is None else {int(i): some}) for p, t, i, some in zip(batch[page], batch[_TEXT], batch[page_index], batch[patterns], strict=True)]
-            out = batch.drop(columns=[page, _TEXT])
-            for k, name in enumerate(_FITTED[1:], 1):
-                out[name] = pd.Series([f[k] for f in found], index=out.index, dtype=object)
+            held = zip(batch[page], batch["binary"], batch["turned"], batch["map"], batch[size], batch["error"], batch["error_class"], strict=True)
+            found = [guarded(step, *row) if error is None else Outcome(None, error, kind) for *row, error, kind in held]
+            out = _columns(batch.drop(columns=["map", "points", size]), found, ("picture", "binary"))
+            out[page] = pd.Series([g if f.error is not None else None for g, f in zip(batch[page], found, strict=True)], index=out.index, dtype=object)
             yield out
 
-    schema = with_fields(rows.schema, (page,), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType(), error_class=T.StringType())
-    return _at_resolution(rows, page, template).mapInPandas(work, schema)
+    return rows.mapInPandas(work, with_fields(rows.schema, ("map", "points", size), picture=MATRIX))
 
 
-def match_pages(rows: DataFrame, page: str = "gray", template: str = "template", place: str = "place", grid: str = "grid") -> DataFrame:
-    """Adds `template_page`, `picture`, `binary`, `turned`, `error` and `error_class` to rows of a gray page, its template, its place in the exam, and patterns by page and anchor.
+def fit_pages(rows: DataFrame, page: str = "gray", template_page: str = "template_page", patterns: str = "patterns") -> DataFrame:
+    """Adds `picture`, `binary`, `turned`, `error` and `error_class` to rows of a gray page, a template page and its anchors' patterns, which both go.
 
-    Template pages are tried in a circle from the page's own place on, and the first that fits is taken; a page whose
-    `template_page` isn't its place was fed in another order. Where none fits the error is that of its own place. Page,
-    template and patterns go.
+    template_page: (width, height, config, anchors), as templates.preprocessing_page makes it. Anchors are found in the pixels, the map
+    in columns, and the pixels are then warped. Any row gives a row: nothing that a page or template holds ends the others. The
+    page stays where it has an error.
     """
+    t = F.col(template_page)
+    ratio = scalars.size_ratio(F.col(page)["cols"], F.col(page)["rows"], F.nullif(t["width"], F.lit(0)), F.nullif(t["height"], F.lit(0)))
+    scaled = t.withField("config", scalars.scaled_config(t["config"], ratio))
+    shaped = rows.withColumns({_TEXT: F.to_json(F.when(t.isNotNull(), scaled), {"ignoreNullFields": "false"}), "size": F.struct(t["width"].alias("width"), t["height"].alias("height"))}).drop(template_page)
+    found = locate_anchors(shaped, page, _TEXT, patterns)
+    mapped = found.withColumn("map", affine_maps.consensus(F.col("points")))
+    lost = F.col("error").isNull() & F.col("map").isNull()
+    mapped = mapped.withColumns({"error": F.when(lost, NO_MAP).otherwise(F.col("error")), "error_class": F.when(lost, QUALITY).otherwise(F.col("error_class"))})
+    return warp_pages(mapped, page)
 
-    def places(t, at) -> list[int]:
-        n = 0 if t is None or t["pages"] is None or at is None or at != at else len(t["pages"])
-        return [(int(at) + k) % n for k in range(n)]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = [_parsed(t) for t in batch[_TEXT]]
-            found = [_first_fit(from_row(p), t, places(t, at), g) for p, t, at, g in zip(batch[page], known, batch[place], batch[grid], strict=True)]
-            out = batch.drop(columns=[page, grid, _TEXT])
-            for k, name in enumerate(_FITTED):
-                out[name] = pd.Series([f[k] for f in found], index=out.index, dtype="Int64" if name == "template_page" else object)
-            yield out
-
-    schema = with_fields(rows.schema, (page, template, grid), template_page=T.IntegerType(), picture=MATRIX, binary=MATRIX, turned=T.BooleanType(), error=T.StringType(), error_class=T.StringType())
-    return _at_resolution(rows, page, template).drop(template).mapInPandas(work, schema)
+def preprocess_pages(rows: DataFrame, page: str = "gray", template: str = "template", page_index: str = "page_index", patterns: str = "patterns") -> DataFrame:
+    """fit_pages for rows of a whole template and the index of one of its pages; the template and the index stay."""
+    known = rows.withColumn("_template_page", preprocessing_page(F.col(template), F.col(page_index)))
+    kept = fit_pages(known, page, "_template_page", patterns)
+    return kept.drop(page)
 
 
 def anchor_patterns(rows: DataFrame, image: str = "image", config: str = "config") -> DataFrame:
     """Adds `matrix` and `error` to rows of an encoded image in base64 and the settings that it is binarized by; the image goes."""
     known = rows.withColumn(image, F.try_to_binary(F.col(image), F.lit("base64"))).withColumn(config, F.to_json(F.col(config), {"ignoreNullFields": "false"}))
 
-    def pattern(data: bytes | None, c) -> tuple:
-        try:
-            if not data or c is None:
-                raise PageError("no image in base64")
-            gray = decode_image(data)
-            return to_row(binarize(gray, c["blurSize"] or 0, c["morphCloseSize"] or 0, c["adaptiveBlockSize"] or 0, c["adaptiveC"] or 0.0)), None
-        except ValueError as e:
-            return None, str(e)
+    def pattern(data: bytes | None, text: str | None) -> dict:
+        if not data or text is None:
+            raise TemplateError("no image in base64")
+        c = json.loads(text)
+        return to_row(binarize(decode_image(data), c["blurSize"] or 0, c["morphCloseSize"] or 0, c["adaptiveBlockSize"] or 0, c["adaptiveC"] or 0.0))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [pattern(data, _parsed(c)) for data, c in zip(batch[image], batch[config], strict=True)]
+            found = [guarded(pattern, data, c) for data, c in zip(batch[image], batch[config], strict=True)]
             out = batch.drop(columns=[image, config])
-            out["matrix"], out["error"] = pd.Series([f[0] for f in found], index=out.index, dtype=object), pd.Series([f[1] for f in found], index=out.index, dtype=object)
+            out["matrix"], out["error"] = pd.Series([f.value for f in found], index=out.index, dtype=object), pd.Series([f.error for f in found], index=out.index, dtype=object)
             yield out
 
     return known.mapInPandas(work, with_fields(rows.schema, (image, config), matrix=MATRIX, error=T.StringType()))
 
 
 def crop(rows: DataFrame, page: str = "picture", bounds: str = "bounds") -> DataFrame:
-    """Adds `snippet`: the part of a page within bounds, blank where that leaves the page."""
+    """Adds `snippet`: the part of a page within bounds, blank where that leaves the page; null without either, or where the page can't be read."""
 
-    def cut(pixels: np.ndarray | None, b) -> dict | None:
+    def cut(row, b) -> dict | None:
+        pixels = from_row(row)
         if pixels is None or b is None or b["width"] <= 0 or b["height"] <= 0:
             return None
         out = np.zeros((b["height"], b["width"]), dtype=np.uint8)
@@ -480,7 +381,7 @@ def crop(rows: DataFrame, page: str = "picture", bounds: str = "bounds") -> Data
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch.drop(columns=page)
-            out["snippet"] = [cut(from_row(p), b) for p, b in zip(batch[page], batch[bounds], strict=True)]
+            out["snippet"] = pd.Series([guarded(cut, p, b).value for p, b in zip(batch[page], batch[bounds], strict=True)], index=out.index, dtype=object)
             yield out
 
     return rows.mapInPandas(work, with_fields(rows.schema, (page,), snippet=MATRIX))

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import geometry, marking, raster, results
+from ..operators import geometry, marking, results, runs
 from ..sources import templates as T
 
 
 def mark_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Answers of each (scan, question): pages (scan_id, template_id, page_index, binary), questions as templates.questions gives them.
 
-    Pages and questions meet on template and page; a page's questions travel with it as one array, and pixels are gone
-    when answers are worked out. A page that can't be marked is one row with its error and nulls.
+    Fills come from the pages' run lengths, in DataFrame functions throughout. A page that can't be marked is one row with
+    its error and nulls.
     """
-    per_page = questions.groupBy("template_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("ordinal", "question", "settings"))).alias("questions"))
-    met = pages.join(per_page, ["template_id", "page_index"], "left").select("scan_id", "template_id", "page_index", "binary", "questions")
-    measured = raster.measure_pages(met)
+    measured = runs.measured(pages, questions)
     flat = measured.select(
         "scan_id", "template_id", "page_index", "ordinal", "error", "settings", "dxs", "dys", "fills",
         F.col("question.id").alias("question_id"), F.coalesce("question.type", F.lit("")).alias("type"),

@@ -348,8 +348,8 @@ def drawn_pages(spark, sf_dir) -> DataFrame:
     return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
 
 
-#: A drawn exam has two pages with marks in these corners, the anchors of its template.
-EXAM_SIDE, EXAM_CORNERS = 160, (((30, 30), (130, 30), (30, 130)), ((30, 30), (130, 30), (130, 130)))
+#: A drawn exam has a page of three marks and one of four, the anchors of its template.
+EXAM_SIDE, EXAM_CORNERS = 160, (((30, 30), (130, 30), (30, 130)), ((30, 30), (130, 30), (130, 130), (80, 80)))
 
 
 def exam_page(index: int) -> np.ndarray:

@@ -2,48 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import pages as P
 from ..operators import raster
+from ..operators.guard import PANIC, TEMPLATE
+from ..schemas import MATRIX
+from ..sources import templates as T
+from ..sources.cuts import columns_of, cut, join_small
+
+#: Classes of errors, the gravest first.
+_GRAVE = (PANIC, TEMPLATE)
+
+
+def _grave(*classes) -> F.Column:
+    """The gravest of some classes of errors."""
+    found = F.filter(F.array(*classes), lambda c: c.isNotNull())
+    out = F.get(found, F.lit(0))
+    for kind in reversed(_GRAVE):
+        out = F.when(F.array_contains(found, kind), kind).otherwise(out)
+    return out
 
 
 def straighten(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc, template_id, page, n_places, exam, place, template_page, picture, binary, turned, error, error_class): a row per page.
+    """(doc, template_id, page, n_places, exam, place, template_page, picture, binary, turned, error, error_class, scale): a row per page.
 
     pages: (doc, template_id, page, gray), counted from 0 in each document; templates: (template_id, template, grid) as
-    Store.template_grids gives them. A page is tried against the template pages in a circle from its own place on, each
-    upside down too. Pixels are neither grouped nor joined by document here: what holds for whole exams is left to
-    `exam_outcomes`. Who needs both frames writes this one first.
+    Store.template_grids gives them. Pages are placed in rounds: in round r each page not yet placed is held against the one
+    template page r places on from its own, in a circle, upside down too; the first that fits is taken. A round's rows are
+    written, and the next reads those of them that are left. A page that fits nowhere has the error of its own place and the gravest class of
+    its tries. Template pages are joined as rows of their own, so they may have different numbers of anchors, and pixels meet
+    them without a shuffle while they are few. `scale` is the page's resolution beside the one that its template is set for.
     """
-    n = F.size("template.pages")
-    met = pages.join(templates.select("template_id", "template", "grid"), "template_id", "left")
-    placed = met.select("doc", "template_id", "page", "gray", "template", "grid", n.alias("n_places"), P.exam_of("page", F.nullif(n, F.lit(0))).alias("exam"), (F.col("page") % F.nullif(n, F.lit(0))).cast("int").alias("place"))
-    return raster.match_pages(placed)
+    flat = cut(T.preprocessing_pages(templates), "template-pages")
+    sizes = cut(flat.groupBy("template_id").agg(F.first("n_places").alias("n_places"), F.first("page_of_template").alias("any_page")), "template-sizes")
+    rounds = flat.agg(F.max("n_places")).first()[0] or 1
+    t, n = F.col("any_page"), F.col("n_places")
+    ratio = scalars.size_ratio(F.col("gray.cols"), F.col("gray.rows"), F.nullif(t["width"], F.lit(0)), F.nullif(t["height"], F.lit(0)))
+    scale = F.when(F.coalesce(t["config"]["referenceRatio"], F.lit(0.0)) > 0, ratio / F.nullif(t["config"]["referenceRatio"], F.lit(0.0))).otherwise(F.lit(1.0))
+    met = join_small(pages.select("doc", "template_id", "page", "gray"), sizes, ["template_id"])
+    left = met.select("doc", "template_id", "page", "gray", n, P.exam_of("page", n).alias("exam"), (F.col("page") % n).cast("int").alias("place"), scale.alias("scale"), *[F.lit(None).cast("string").alias(c) for c in ("first_error", "first_class")])
+    done = []
+    for turn in range(rounds):
+        at = ((F.col("place") + turn) % n).cast("int")
+        tried = join_small(left.withColumn("template_page", at), columns_of(flat, "template_id", "template_page", "page_of_template", "patterns"), ["template_id", "template_page"])
+        fitted = raster.fit_pages(tried, template_page="page_of_template")
+        fitted = fitted.withColumns({"first_error": F.coalesce("first_error", "error"), "first_class": _grave(F.col("first_class"), F.col("error_class"))})
+        fitted = cut(fitted, f"round-{turn}")
+        over = F.col("error").isNull() | F.coalesce(n <= turn + 1, F.lit(True))
+        done.append(fitted.where(over))
+        left = fitted.where(~over).select(*left.columns)
+        if left.isEmpty():
+            break
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    good = F.col("error").isNull()
+    one = lambda c, kind: F.when(good, F.col(c)).otherwise(F.lit(None).cast(kind)).alias(c)
+    return rows.select(
+        "doc", "template_id", "page", "n_places", "exam", "place", one("template_page", "int"), one("picture", MATRIX), one("binary", MATRIX), one("turned", "boolean"),
+        F.when(~good, F.col("first_error")).alias("error"), F.when(~good, F.col("first_class")).alias("error_class"), "scale",
+    )
+
+
+def drift_metric(straight: DataFrame, name: str = "drift") -> tuple[DataFrame, Observation]:
+    """The pages, and what an action on them finds on its way: pages, drifted (far from the template's resolution), and the least and largest scale."""
+    seen = Observation(name)
+    scale = F.col("scale")
+    return straight.observe(seen, F.count("*").alias("pages"), F.count_if(scalars.drifts(scale)).alias("drifted"), F.min(scale).alias("least"), F.max(scale).alias("most")), seen
 
 
 def exam_outcomes(straight: DataFrame) -> DataFrame:
     """(doc, exam, place, template_page, error, error_class) of each page, with the error of its whole exam.
 
-    An exam fails by a page that fits nowhere (class `quality`, or `template` where that is at fault) or by two pages in
-    one place (`order`); a document whose pages don't divide into exams fails as a whole (`count`).
+    An exam fails by a page that fits nowhere (class `quality`, or `template` or `panic` where that is at fault) or by two pages in
+    one place (`order`); a document whose pages don't divide into exams fails as a whole (`count`). Documents are
+    counted by a grouping; an exam's pages meet in windows over one slim frame.
     """
-    slim = straight.select("doc", "page", "n_places", "exam", "place", F.col("template_page").alias("found"), F.col("error_class").alias("why"))
-    key = F.struct("doc", "exam").alias("exam")
-    scores = slim.where(F.col("place").isNotNull()).select(
-        key, F.col("place").alias("page"), F.coalesce("found", "place").alias("template_page"), F.col("n_places").alias("n_pages"), F.col("found").isNotNull().alias("ok")
-    )
-    assigned = P.assign_pages(scores).select(F.col("exam.doc").alias("doc"), F.col("exam.exam").alias("exam"), F.col("page").alias("place"), "template_page", "error")
+    slim = straight.select("doc", "n_places", "exam", "place", "template_page", F.col("error_class").alias("why"))
     docs = slim.groupBy("doc").agg(F.count("*").alias("n"), F.first("n_places").alias("m"))
     parts = F.when(F.coalesce("m", F.lit(0)) < 1, "template not found").when(F.col("n") % F.nullif(F.col("m"), F.lit(0)) != 0, F.format_string("%d pages don't divide into exams of %d", "n", "m"))
-    whole = docs.select("doc", parts.alias("count_error"))
-    reasons = slim.groupBy("doc", "exam").agg(F.max("why").alias("why"))
-    every = slim.select("doc", "exam", "place").join(whole, "doc")
-    same = [F.col("s.doc").eqNullSafe(F.col("o.doc")), F.col("s.exam").eqNullSafe(F.col("o.exam"))]
-    rows = every.alias("s").join(assigned.alias("o"), [*same, F.col("s.place").eqNullSafe(F.col("o.place"))], "left").select("s.doc", "s.exam", "s.place", "template_page", "count_error", "error")
-    rows = rows.alias("s").join(reasons.alias("o"), same, "left").select("s.*", "why")
-    kind = F.when(F.col("count_error").isNotNull(), "count").when(F.col("error").isNull(), F.lit(None).cast("string")).when(F.col("why").isNotNull(), F.col("why")).otherwise("order")
+    rows = slim.join(docs.select("doc", parts.alias("count_error")), "doc")
+    exam = Window.partitionBy("doc", "exam")
+    taken = F.count("template_page").over(Window.partitionBy("doc", "exam", "template_page"))
+    rows = rows.withColumn("taken", F.when(F.col("template_page").isNotNull(), taken).otherwise(0))
+    lost, twice, why = F.min(F.when(F.col("template_page").isNull(), F.col("place"))).over(exam), F.max("taken").over(exam) > 1, F.collect_set("why").over(exam)
+    error = F.when(lost.isNotNull(), F.concat(F.lit("unrecognizable page "), lost.cast("string"))).when(twice, F.lit("duplicate pages in an exam"))
+    gravest = F.coalesce(*[F.when(F.array_contains(why, kind), kind) for kind in _GRAVE], F.get(why, F.lit(0)))
+    rows = rows.withColumns({"error": error, "gravest": gravest})
+    kind = F.when(F.col("count_error").isNotNull(), "count").when(F.col("error").isNull(), F.lit(None).cast("string")).when(F.col("gravest").isNotNull(), F.col("gravest")).otherwise("order")
     return rows.select("doc", "exam", "place", "template_page", F.coalesce("count_error", "error").alias("error"), kind.alias("error_class"))
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.guard import PageError
 from ..schemas import MATRIX, with_fields
 
 GRAY = 0
@@ -117,13 +118,15 @@ def to_row(pixels: np.ndarray) -> dict:
 
 
 def from_row(row) -> np.ndarray | None:
-    """Pixels of a matrix column's value (dict or Row); None for null or empty ones."""
+    """Pixels of a matrix column's value (dict or Row); None for null or empty ones, PageError where the bytes aren't as many as rows and columns."""
     if row is None or row["data"] is None:
         return None
     # beside a null matrix pandas holds numbers as floats
     rows, cols = (0 if n is None or n != n else int(n) for n in (row["rows"], row["cols"]))
     if not rows or not cols:
         return None
+    if rows < 0 or cols < 0 or len(row["data"]) != rows * cols:
+        raise PageError(f"{len(row['data'])} bytes are no {rows} x {cols} matrix")
     return np.frombuffer(row["data"], dtype=np.uint8).reshape(rows, cols)
 
 

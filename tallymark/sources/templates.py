@@ -52,10 +52,40 @@ def settings(template: str = "template", strict_wire: bool = False) -> Column:
     return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
 
 
+def _or_zero(c: Column, kind: T.DataType) -> Column:
+    return F.coalesce(c, F.lit(0).cast(kind))
+
+
+def whole_question(q: Column) -> Column:
+    """A question as on the wire: what is left out is 0, an empty text, or no options."""
+    option = lambda o: F.struct(F.coalesce(o["label"], F.lit("")).alias("label"), *[_or_zero(o[c], T.IntegerType()).alias(c) for c in ("x", "y")], _or_zero(o["baselineBias"], T.DoubleType()).alias("baselineBias"))
+    options = F.transform(F.filter(F.coalesce(q["options"], F.array().cast(T.ArrayType(schemas.OPTION))), lambda o: o.isNotNull()), option)
+    return F.struct(F.coalesce(q["id"], F.lit("")).alias("id"), *[_or_zero(q[c], T.IntegerType()).alias(c) for c in ("bubbleWidth", "bubbleHeight")], F.coalesce(q["type"], F.lit("")).alias("type"), options.alias("options"))
+
+
+def preprocessing_page(t: Column, page_index: Column) -> Column:
+    """One page of a preprocessing template as (width, height, config, anchors), what is left out as 0; null without such a page."""
+    point = lambda p: F.struct(*[_or_zero(p[c], T.IntegerType()).alias(c) for c in ("x", "y")])
+    anchor = lambda a: F.struct(point(a["center"]).alias("center"), F.struct(point(a["roi"]["min"]).alias("min"), point(a["roi"]["max"]).alias("max")).alias("roi"))
+    config = F.struct(*[_or_zero(t["config"][f.name], f.dataType).alias(f.name) for f in schemas.PREPROCESSING_CONFIG.fields])
+    page = F.get(t["pages"], page_index)
+    anchors = F.transform(F.coalesce(page["anchors"], F.array().cast(T.ArrayType(schemas.ANCHOR))), anchor)
+    whole = F.struct(*[_or_zero(t[c], T.IntegerType()).alias(c) for c in ("width", "height")], config.alias("config"), anchors.alias("anchors"))
+    return F.when(t.isNotNull() & page.isNotNull(), whole)
+
+
+def preprocessing_pages(templates: DataFrame) -> DataFrame:
+    """(template_id, template_page, n_places, page_of_template, patterns): a row per page of templates (template_id, template, grid) as the store's grids come."""
+    n = F.size("template.pages")
+    each = templates.where(n > 0).select("template_id", "template", "grid", n.alias("n_places"), F.explode(F.sequence(F.lit(0), n - 1)).alias("template_page"))
+    return each.select("template_id", "template_page", "n_places", preprocessing_page(F.col("template"), F.col("template_page")).alias("page_of_template"), F.get("grid", F.col("template_page")).alias("patterns"))
+
+
 def questions(templates: DataFrame, id_col: str = "id", template: str = "template", strict_wire: bool = False) -> DataFrame:
-    """(template_id, page_index, ordinal, question, settings): a row per question."""
+    """(template_id, page_index, ordinal, question, settings): a row per question, its missing numbers as 0."""
     pages = templates.select(F.col(id_col).alias("template_id"), settings(template, strict_wire).alias("settings"), F.posexplode(normal_pages(template)).alias("page_index", "page"))
-    return pages.select("template_id", "settings", "page_index", F.posexplode("page.questions").alias("ordinal", "question"))
+    rows = pages.select("template_id", "settings", "page_index", F.posexplode("page.questions").alias("ordinal", "q")).where(F.col("q").isNotNull())
+    return rows.select("template_id", "settings", "page_index", "ordinal", whole_question(F.col("q")).alias("question"))
 
 
 def options(templates: DataFrame, id_col: str = "id", template: str = "template") -> DataFrame:

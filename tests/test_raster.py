@@ -1,6 +1,7 @@
 """Pixels: masks, thresholds, anchors, warps, and sheets from end to end."""
 
 import numpy as np
+import pixel_arrays
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,11 +93,11 @@ def test_a_null_page_beside_a_good_one(spark):
 
 
 def test_alignment_without_a_valid_offset():
-    shapes = raster.masks(30, 30, 0.75, 0.4)
+    shapes = pixel_arrays.masks(30, 30, 0.75, 0.4)
     blank, full = np.zeros((400, 400), dtype=np.uint8), np.full((400, 400), 255, dtype=np.uint8)
-    assert raster.align(blank, [A, B, C], shapes, 0.0, 4) == (0, 0) == raster.align(blank, [A, B, C], shapes, 0.25, 4)
+    assert pixel_arrays.align(blank, [A, B, C], shapes, 0.0, 4) == (0, 0) == pixel_arrays.align(blank, [A, B, C], shapes, 0.25, 4)
     full[:119, :] = 0  # ink only below: the guards would move down
-    assert raster.align(full, [(65, 100), (115, 100)], shapes, 0.0, 1) == (0, 0)
+    assert pixel_arrays.align(full, [(65, 100), (115, 100)], shapes, 0.0, 1) == (0, 0)
 
 
 def test_surface_by_brute_force():
@@ -104,8 +105,8 @@ def test_surface_by_brute_force():
     p = (rng.random((60, 70)) < 0.4).astype(np.uint8) * 255
     for cx, cy, r in ((30, 30, 5), (8, 50, 9), (69, 1, 3)):
         mask = raster.disk(15, 13, 6)
-        want = [[raster.fill_ratio(p, cx + dx, cy + dy, mask) for dx in range(-r, r + 1)] for dy in range(-r, r + 1)]
-        assert (raster._surface(p, cx, cy, mask, r) == np.array(want)).all()
+        want = [[pixel_arrays.fill_ratio(p, cx + dx, cy + dy, mask) for dx in range(-r, r + 1)] for dy in range(-r, r + 1)]
+        assert (pixel_arrays._surface(p, cx, cy, mask, r) == np.array(want)).all()
 
 
 def test_disks():
@@ -156,12 +157,10 @@ def test_anchor():
         raster.find_anchor(field, pattern, (0, 0, 300, 300), 2.0)
 
 
-def test_affine_and_warp():
-    m = raster.affine([(0, 0), (10, 0), (0, 10)], [(5, 5), (15, 5), (5, 15)])
-    out = raster.warp(page(A, size=200), m, 200, 200)
+def test_warp_and_lines():
+    out = raster.warp(page(A, size=200), np.array([[1.0, 0, 5], [0, 1, 5]]), 200, 200)
     assert out[120, 70] == 255 and out[0, 0] == 0
-    with pytest.raises(raster.PageError):
-        raster.affine([(0, 0), (1, 1), (2, 2)], [(0, 0), (1, 1), (2, 2)])
+    assert raster.in_a_line([(0, 0), (1, 1), (2, 2)]) and not raster.in_a_line([(0, 0), (1, 1), (2, 3)])
 
 
 def test_resize():
