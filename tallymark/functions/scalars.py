@@ -114,3 +114,9 @@ def positive_query(text, name: str, default: int | None = None) -> Column:
     value = query_value(text, "uint", default)
     error = F.when(value.isNull(), f"{name} is not a whole number").when(value == 0, f"{name} must be positive")
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+
+
+def readable(matrix: Column) -> Column:
+    """Whether a matrix has as many pixels as its rows and columns say, and any."""
+    size = F.length(matrix["data"])
+    return F.coalesce((matrix["rows"] > 0) & (matrix["cols"] > 0) & (size == matrix["rows"].cast("long") * matrix["cols"]), F.lit(False))

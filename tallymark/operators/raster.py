@@ -371,11 +371,12 @@ def crop(rows: DataFrame, page: str = "picture", bounds: str = "bounds") -> Data
         pixels = from_row(row)
         if pixels is None or b is None or b["width"] <= 0 or b["height"] <= 0:
             return None
-        out = np.zeros((b["height"], b["width"]), dtype=np.uint8)
-        x0, y0 = max(0, b["x"]), max(0, b["y"])
-        x1, y1 = min(pixels.shape[1], b["x"] + b["width"]), min(pixels.shape[0], b["y"] + b["height"])
+        # beside a null pandas holds numbers as floats
+        x, y, width, height = (int(b[c]) for c in ("x", "y", "width", "height"))
+        out = np.zeros((height, width), dtype=np.uint8)
+        x0, y0, x1, y1 = max(0, x), max(0, y), min(pixels.shape[1], x + width), min(pixels.shape[0], y + height)
         if x1 > x0 and y1 > y0:
-            out[y0 - b["y"] : y1 - b["y"], x0 - b["x"] : x1 - b["x"]] = pixels[y0:y1, x0:x1]
+            out[y0 - y : y1 - y, x0 - x : x1 - x] = pixels[y0:y1, x0:x1]
         return to_row(out)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ combine where the page was read, so pixels are never shuffled.
 Where a template searches, a mask is met at each dy, and the overlap at each dx is worked out on the spot; the
 candidates' fills go to `alignment.best_offsets`, the one rule for where a row sits.
 
-Defined results: null options and questions are none; a field that leaves the page has fill 0, and so has one without area; a page that is
+Defined results: null options and questions are none; a field that leaves the page has fill 0, and so has one without area, or of a size below 0; a page that is
 null, empty, or has not as many bytes as rows and columns is an error row; so is one without questions.
 """
 
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import readable
 from ..sources.cuts import cut, join_small
 from . import alignment, intervals
 from .raster import EMPTY_PAGE, GUARD_INSET, NO_QUESTIONS, half_widths
@@ -29,12 +30,6 @@ BIN = 64
 KEYS = ["scan_id", "template_id", "page_index"]
 
 
-def readable(matrix: Column) -> Column:
-    """Whether a matrix has as many pixels as its rows and columns say, and any."""
-    size = F.length(matrix["data"])
-    return F.coalesce((size == matrix["rows"].cast("long") * matrix["cols"]) & (size > 0), F.lit(False))
-
-
 def ink_runs(pages: DataFrame, keys: list[str], matrix: str = "binary") -> DataFrame:
     """(keys, y, x0, x1): maximal runs of pixels that aren't 0, x1 after the last; readable pages only."""
     m = F.col(matrix)
@@ -106,10 +101,18 @@ def mask_areas(masks: DataFrame) -> DataFrame:
     return sums.select(*_OPTION, "score", (F.col("score") - F.col("hole")).alias("ring"), "guard")
 
 
-def surfaces(pages: DataFrame, fields: DataFrame) -> DataFrame:
-    """(KEYS, ordinal, option, radius, score, ring, guard): each option's fills at all offsets of its radius, dy by dy and dx by dx.
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """(KEYS, rows, cols, error) of pages (KEYS, binary), as a cut table: pixels are read for it once."""
+    m = F.col("binary")
+    size = F.coalesce(F.length(m["data"]), F.lit(0))
+    error = F.when(~readable(m), F.when(size == 0, EMPTY_PAGE).otherwise(F.format_string("%d bytes are no %s x %s matrix", size, m["rows"].cast("string"), m["cols"].cast("string"))))
+    return cut(pages.select(*KEYS, m["rows"].alias("rows"), m["cols"].alias("cols"), error.alias("error")), "page-sizes")
+
+
+def surfaces(pages: DataFrame, sizes: DataFrame, fields: DataFrame) -> DataFrame:
+    """(KEYS, ordinal, option, grp, radius, score, ring, guard): each option's fills at all offsets of its radius, dy by dy and dx by dx.
 
-    pages: (KEYS, binary). An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place.
+    pages: (KEYS, binary); sizes: as page_sizes gives them. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place.
     """
     fields = cut(fields, "fields")
     masks = cut(mask_runs(fields), "masks")
@@ -125,8 +128,7 @@ def surfaces(pages: DataFrame, fields: DataFrame) -> DataFrame:
     sums = at.withColumns({"ink": ink, "place": place}).where("ink > 0").groupBy(*KEYS, "ordinal", "option", "place").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("ink"))), F.lit(0)).alias(k) for k in ("score", "hole", "guard")])
     inked = sums.groupBy(*KEYS, "ordinal", "option").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("score", (F.col("score") - F.col("hole")).alias("ring"), "guard").alias("n")))).alias("ink"))
     # every option of every page, inked or not
-    size = pages.where(readable(F.col("binary"))).select(*KEYS, F.col("binary.rows").alias("rows"), F.col("binary.cols").alias("cols"))
-    every = join_small(size, cut(fields.join(areas, _OPTION, "left").select(*_OPTION, "grp", "radius", "cx", "cy", "w", "h", *[F.coalesce(c, F.lit(0)).alias(f"area_{c}") for c in ("score", "ring", "guard")]), "options"), ["template_id", "page_index"], "inner")
+    every = join_small(sizes.where(F.col("error").isNull()).select(*KEYS, "rows", "cols"), cut(fields.join(areas, _OPTION, "left").select(*_OPTION, "grp", "radius", "cx", "cy", "w", "h", *[F.coalesce(c, F.lit(0)).alias(f"area_{c}") for c in ("score", "ring", "guard")]), "options"), ["template_id", "page_index"], "inner")
     known = every.join(inked, [*KEYS, "ordinal", "option"], "left")
     side = 2 * F.col("radius") + 1
     places = F.sequence(F.lit(0), side * side - 1)
@@ -142,10 +144,15 @@ def surfaces(pages: DataFrame, fields: DataFrame) -> DataFrame:
     return known.select(*KEYS, "ordinal", "option", "grp", "radius", *[fill(k).alias(k) for k in ("score", "ring", "guard")])
 
 
-def option_fills(pages: DataFrame, questions: DataFrame) -> DataFrame:
+def option_fills(pages: DataFrame, sizes: DataFrame, questions: DataFrame) -> DataFrame:
     """(KEYS, ordinal, fills, dxs, dys): each question's fills at its groups' offsets, options in order."""
-    fields = option_fields(questions)
-    found = cut(surfaces(pages, fields), "surfaces")
+    # a field larger than every page has no mask, and an offset beyond them all no ink
+    top = sizes.where(F.col("error").isNull()).agg(F.max("cols").alias("w"), F.max("rows").alias("h")).first()
+    most = max(top.w or 0, top.h or 0)
+    fields = option_fields(questions).withColumn("radius", F.least(F.col("radius"), F.lit(most)))
+    for r in ("r_score", "r_hole", "r_guard"):
+        fields = fields.withColumn(r, F.when((F.col("w") <= (top.w or 0)) & (F.col("h") <= (top.h or 0)), F.col(r)).otherwise(F.lit(-1)))
+    found = cut(surfaces(pages, sizes, fields), "surfaces")
     group = [*KEYS, "ordinal", "grp"]
     side = 2 * F.col("radius") + 1
     searched = found.where("radius > 0").withColumn("place", F.explode(F.sequence(F.lit(0), side * side - 1)))
@@ -166,11 +173,14 @@ def measured(pages: DataFrame, questions: DataFrame) -> DataFrame:
     pages: (KEYS, binary); questions: as templates.questions gives them, few beside the pages.
     """
     questions = cut(questions.select("template_id", "page_index", "ordinal", "question", "settings"), "questions")
-    fills = option_fills(pages, questions)
-    good = join_small(pages.where(readable(F.col("binary"))).select(*KEYS), questions, ["template_id", "page_index"])
-    none = F.array().cast("array<double>"), F.array().cast("array<int>")
-    rows = good.join(fills, [*KEYS, "ordinal"], "left")
-    answered = rows.select(*KEYS, "ordinal", "question", "settings", *[F.when(F.col("ordinal").isNotNull(), F.coalesce(c, none[c != "fills"])).alias(c) for c in ("fills", "dxs", "dys")], F.when(F.col("ordinal").isNull(), NO_QUESTIONS).alias("error"))
+    sizes = page_sizes(pages)
+    fills = option_fills(pages, sizes, questions)
+    rows = join_small(sizes, questions, ["template_id", "page_index"]).join(fills, [*KEYS, "ordinal"], "left")
+    good = F.col("error").isNull() & F.col("ordinal").isNotNull()
+    error = F.coalesce("error", F.when(F.col("ordinal").isNull(), NO_QUESTIONS)).alias("error")
+    some = {"ordinal": F.col("ordinal"), "question": F.col("question"), "settings": F.col("settings"), "fills": F.coalesce("fills", F.array().cast("array<double>")), "dxs": F.coalesce("dxs", F.array().cast("array<int>")), "dys": F.coalesce("dys", F.array().cast("array<int>"))}
+    answered = rows.where(good).select(*KEYS, *[c.alias(name) for name, c in some.items()], error)
     kinds = {f.name: f.dataType for f in answered.schema.fields}
-    bad = pages.where(~readable(F.col("binary")))
-    return answered.unionByName(bad.select(*KEYS, *[F.lit(None).cast(kinds[c]).alias(c) for c in ("ordinal", "question", "settings", "fills", "dxs", "dys")], F.lit(EMPTY_PAGE).alias("error")))
+    # a page's error is one row, however many questions it should have had
+    bad = rows.where(~good).select(*KEYS, error).distinct()
+    return answered.unionByName(bad.select(*KEYS, *[F.lit(None).cast(kinds[name]).alias(name) for name in some], "error"))

@@ -327,6 +327,11 @@ def page_assignment(spark, sf_dir):
     return pages.assign_pages(scores.select("exam", "page", F.col("j").cast("long").alias("template_page"), F.lit(4).cast("long").alias("n_pages"), (F.abs("x") > F.lit(0.1)).alias("ok")))
 
 
+def tasks(spark) -> int:
+    """Parts that a few keys are dealt to before pages are drawn from them."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 # --- pixels: a drawn sheet for each part, one bubble of four filled, or none, or no page at all
 
 
@@ -344,7 +349,7 @@ def drawn_pages(spark, sf_dir) -> DataFrame:
                 pages.append(None if key % 10 == 0 else matrices.to_row(page))
             yield pd.DataFrame({"scan_id": batch["scan_id"], "page_index": 0, "binary": pages})
 
-    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("scan_id"), "p_size")
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("scan_id"), "p_size").repartition(tasks(spark), "scan_id")
     return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
 
 
@@ -384,7 +389,7 @@ def drawn_exams(spark, sf_dir) -> DataFrame:
             rows = [(key, "exam", i, None if g is None else matrices.to_row(g)) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)])]
             yield pd.DataFrame(rows, columns=["doc", "template_id", "page", "gray"])
 
-    keys = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"))
+    keys = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc")).repartition(tasks(spark), "doc")
     return keys.mapInPandas(work, f"doc long, template_id string, page int, gray {schemas.MATRIX.simpleString()}")
 
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import readable
 from ..operators.raster import anchor_patterns
 from ..schemas import PREPROCESSING_TEMPLATE, TABLES
 from .templates import parse
@@ -51,12 +52,6 @@ def grids(rows: DataFrame, key: str, page: str, order: str, item: str) -> DataFr
     return got.select(key, F.transform("_pages", lambda p: F.transform(p["items"], lambda x: x["item"])).alias("grid"))
 
 
-def readable(matrix) -> Column:
-    """Whether a matrix has as many pixels as its rows and columns say, and any."""
-    size = F.length(matrix["data"])
-    return F.coalesce((size == matrix["rows"] * matrix["cols"]) & (size > 0), F.lit(False))
-
-
 def counts(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
     (name, rows), *rest = tables.items()

@@ -56,11 +56,19 @@ def _or_zero(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c, F.lit(0).cast(kind))
 
 
+#: Places and sizes of bubbles are held to this many pixels, so that sums of them are whole numbers of 32 bits.
+MOST_PIXELS = 1 << 24
+
+
+def _pixels(c: Column) -> Column:
+    return F.greatest(F.lit(-MOST_PIXELS), F.least(F.lit(MOST_PIXELS), _or_zero(c, T.IntegerType())))
+
+
 def whole_question(q: Column) -> Column:
     """A question as on the wire: what is left out is 0, an empty text, or no options."""
-    option = lambda o: F.struct(F.coalesce(o["label"], F.lit("")).alias("label"), *[_or_zero(o[c], T.IntegerType()).alias(c) for c in ("x", "y")], _or_zero(o["baselineBias"], T.DoubleType()).alias("baselineBias"))
+    option = lambda o: F.struct(F.coalesce(o["label"], F.lit("")).alias("label"), *[_pixels(o[c]).alias(c) for c in ("x", "y")], _or_zero(o["baselineBias"], T.DoubleType()).alias("baselineBias"))
     options = F.transform(F.filter(F.coalesce(q["options"], F.array().cast(T.ArrayType(schemas.OPTION))), lambda o: o.isNotNull()), option)
-    return F.struct(F.coalesce(q["id"], F.lit("")).alias("id"), *[_or_zero(q[c], T.IntegerType()).alias(c) for c in ("bubbleWidth", "bubbleHeight")], F.coalesce(q["type"], F.lit("")).alias("type"), options.alias("options"))
+    return F.struct(F.coalesce(q["id"], F.lit("")).alias("id"), *[_pixels(q[c]).alias(c) for c in ("bubbleWidth", "bubbleHeight")], F.coalesce(q["type"], F.lit("")).alias("type"), options.alias("options"))
 
 
 def preprocessing_page(t: Column, page_index: Column) -> Column:
