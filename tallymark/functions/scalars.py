@@ -69,11 +69,11 @@ def progress(done, total) -> Column:
 
 
 def format_bytes(n, decimals: int = 1, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
-    """Bytes below 1024 as they are, above in the largest unit that leaves at least 1."""
+    """Bytes below 1024 as they are, above in the largest unit that leaves at least 1; ties go to the even digit."""
     n = col(n)
     out = F.format_string("%d B", n.cast("long"))
     for power, unit in enumerate(units, 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.{decimals}f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.{decimals}f {unit}", F.bround(n / float(1024**power), decimals))).otherwise(out)
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col
+from . import intervals
 
 
 def page_blocks(docs: DataFrame, n_pages: str, block_size, subsets) -> DataFrame:
@@ -33,6 +34,21 @@ def span_error(start, stop, n_pages) -> Column:
     return F.when(a > b, "the span ends before it starts").when((a < 1) | (b > n), "the span is out of bounds")
 
 
+def span_pages(spans: DataFrame, pages: DataFrame, counts: DataFrame, width: int = 32) -> DataFrame:
+    """(doc, span, from, thru, page, error): a row for each page of each span, or one with what is wrong with the span.
+
+    spans: (doc, span, from, thru), from 1 and inclusive; pages: (doc, page); counts: (doc, n_pages). Spans may overlap, and a page
+    is there once for each that holds it. They meet by bins of `width` pages, not by comparing each page with each span;
+    a good span without stored pages has no rows.
+    """
+    known = spans.join(counts.select("doc", F.col("n_pages").cast("long").alias("_n")), "doc", "left")
+    checked = known.withColumn("error", span_error("from", "thru", F.coalesce("_n", F.lit(0)))).drop("_n")
+    good = checked.where(F.col("error").isNull()).withColumn("_after", F.col("thru") + 1)
+    met = intervals.points_in_spans(pages.select("doc", "page"), good, ["doc"], "page", "from", "_after", width)
+    bad = checked.where(F.col("error").isNotNull())
+    return met.select("doc", "span", "from", "thru", "page", "error").unionByName(bad.select("doc", "span", "from", "thru", F.lit(None).cast(pages.schema["page"].dataType).alias("page"), "error"))
+
+
 def exam_of(page, pages_per_exam) -> Column:
     return F.floor(col(page) / col(pages_per_exam)).cast("long")
 

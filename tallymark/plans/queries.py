@@ -232,6 +232,20 @@ def span_errors(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("turn", "conv_id", pages.span_error("turn", F.col("conv_id") % 5, F.lit(3)).alias("error"))
 
 
+@query("""
+WITH p AS (SELECT l_suppkey AS doc, 1 + l_orderkey % 400 AS page FROM lineitem),
+s AS (SELECT p_partkey % 100 AS doc, p_partkey AS span, p_size * 9 - 20 AS a, p_size * 9 - 20 + p_partkey % 60 - 5 AS b FROM part),
+e AS (SELECT s.*, CASE WHEN a > b THEN 'the span ends before it starts' WHEN a < 1 OR b > coalesce(n_pages, 0) THEN 'the span is out of bounds' END AS error FROM s LEFT JOIN (SELECT doc, max(page) AS n_pages FROM p GROUP BY doc) USING (doc))
+SELECT doc, span, a AS first_page, b AS last_page, NULL::VARCHAR AS error, count(*) AS n, CAST(sum(page) AS BIGINT) AS pages FROM e JOIN p USING (doc) WHERE error IS NULL AND page BETWEEN a AND b GROUP BY doc, span, a, b
+UNION ALL SELECT doc, span, a, b, error, 1, NULL FROM e WHERE error IS NOT NULL""")
+def span_pages(spark, sf_dir):
+    held = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), (1 + F.col("l_orderkey") % 400).alias("page"))
+    start = F.col("p_size").cast("long") * 9 - 20
+    spans = t(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("doc"), F.col("p_partkey").alias("span"), start.alias("from"), (start + F.col("p_partkey") % 60 - 5).alias("thru"))
+    met = pages.span_pages(spans, held, held.groupBy("doc").agg(F.max("page").alias("n_pages")))
+    return met.groupBy("doc", "span", F.col("from").alias("first_page"), F.col("thru").alias("last_page"), "error").agg(F.count("*").alias("n"), F.sum("page").alias("pages"))
+
+
 @query("SELECT conv_id AS template_id, list(role ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
 def anchors_ordered(spark, sf_dir):
     got = store.lists_in_order(t(spark, sf_dir, "conversations"), "conv_id", ("turn", "role"), "role")
@@ -286,6 +300,18 @@ def store_bytes(spark, sf_dir):
     return store.usage_of(t(spark, sf_dir, "documents"), F.col("source"), F.octet_length("text"))
 
 
+@query("""
+WITH f AS (SELECT lang AS part, source AS kind, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+g AS (SELECT part, kind, grouping(part, kind) AS g, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes FROM f GROUP BY GROUPING SETS ((part, kind), (part), ())),
+e AS (SELECT max(value) AS peak, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS BIGINT) AS uptime FROM events)
+SELECT CASE g WHEN 0 THEN 'kind' WHEN 1 THEN 'part' ELSE 'total' END AS level, part, kind, files, bytes,
+CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN printf('%.1f MB', bytes / 1048576.0::DOUBLE) ELSE printf('%.1f GB', bytes / 1073741824.0::DOUBLE) END AS size,
+CASE WHEN g = 3 THEN peak END AS peak, CASE WHEN g = 3 THEN uptime END AS uptime FROM g, e""")
+def utilization(spark, sf_dir):
+    files = t(spark, sf_dir, "documents").select(F.col("lang").alias("part"), F.col("source").alias("kind"), F.octet_length("text").cast("long").alias("bytes"))
+    return store.utilization(files, t(spark, sf_dir, "events").select("ts", "value"))
+
+
 BATCH_SQL = """
 WITH r AS (SELECT o_custkey AS job, o_orderkey AS scan_id FROM orders),
 p AS (SELECT l_orderkey AS scan_id, count(*) AS n_pages FROM lineitem GROUP BY l_orderkey),

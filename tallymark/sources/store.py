@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import readable
+from ..functions.scalars import format_bytes, readable
 from ..operators.raster import anchor_patterns
 from ..schemas import PREPROCESSING_TEMPLATE, TABLES
 from .templates import parse
@@ -64,6 +65,20 @@ def usage_of(rows: DataFrame, part, size) -> DataFrame:
     return sized.groupBy("part").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
 
 
+def utilization(files: DataFrame, samples: DataFrame, n: int = 1) -> DataFrame:
+    """(level, part, kind, files, bytes, size, peak, uptime): parts and kinds, each part, and everything, of one pass by grouping sets.
+
+    files: (part, kind, bytes), those without bytes left out; samples: (ts, value). The total has the samples' highest value and the
+    whole seconds that they span beside it; it is there without any file too.
+    """
+    sums = files.where(F.col("bytes").isNotNull()).groupingSets([["part", "kind"], ["part"], []], "part", "kind").agg(F.grouping_id("part", "kind").alias("_g"), F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+    level = F.when(F.col("_g") == 0, "kind").when(F.col("_g") == 1, "part").otherwise("total")
+    span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    seen = samples.agg(F.max("value").alias("peak"), F.floor(span / 1_000_000).cast("long").alias("uptime")).withColumn("level", F.lit("total"))
+    rows = sums.select(level.alias("level"), "part", "kind", "files", "bytes", format_bytes("bytes").alias("size"))
+    return rows.join(seen, "level", "left")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -167,7 +182,8 @@ class Store:
         return lookup(self.read("scan_pages"), scan_id, "scan_id").orderBy("page_index", "id")
 
     def one_page(self, scan_id: str, page_index: int) -> DataFrame:
-        return lookup(lookup(self.read("scan_pages"), scan_id, "scan_id"), page_index, "page_index").orderBy("id").limit(1)
+        found = lookup(lookup(self.read("scan_pages"), scan_id, "scan_id"), page_index, "page_index")
+        return first_rows(found, "scan_id", ("id", *[c for c in found.columns if c not in ("id", "scan_id")])).select(*found.columns)
 
     def template_anchors(self, template_id: str) -> DataFrame:
         return lookup(self.read("anchors"), template_id, "template_id").orderBy("page_index", "anchor_index")
@@ -202,6 +218,13 @@ class Store:
             return self.scan_pages(scan_id)
         return pages
 
+    def utilization(self, samples: DataFrame) -> DataFrame:
+        """What each part of the store takes, and all of it, beside the samples' peak."""
+        pages = self.read("scan_pages")
+        rows = [("matrices", "pages", pages, "binary.data"), ("matrices", "anchors", self.read("anchors"), "matrix.data"), ("pictures", "pages", pages, "picture.data"), ("database", "marking_templates", self.read("marking_templates"), "json"), ("database", "preprocessing_templates", self.read("preprocessing_templates"), "json")]
+        files = [df.select(F.lit(part).alias("part"), F.lit(kind).alias("kind"), F.octet_length(size).cast("long").alias("bytes")) for part, kind, df, size in rows]
+        return utilization(reduce(DataFrame.unionAll, files), samples)
+
     def usage(self) -> DataFrame:
         """(part, files, bytes) of matrices and pictures."""
         pages = self.read("scan_pages")
