@@ -114,9 +114,18 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     return mixed.withColumn(copies, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), F.col(copies))))).select(*docs.columns)
 
 
+def plan(docs: DataFrame, weights: tuple = WEIGHTS, limit: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, size, source_size, target, copies) of each document, as `mix` has them; texts are read once, for their sizes."""
+    slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), draw(F.col(id_col), seed).alias("u")), "sizes")
+    rates = source_rates(slim.select("source", "size", "u"), weights, limit).withColumnRenamed("source", "of")
+    met = slim.join(rates, F.col("source").eqNullSafe(F.col("of")), "left")
+    again = step(F.col("u")) < F.when(digits(F.col("size")) <= F.col("small"), F.col("low_step")).otherwise(F.col("high_step"))
+    return met.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") + again.cast("long")).cast("int").alias("copies"))
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    planned = plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 #: Mixing of a CTE named `docs`, for whole statements and for the pipeline's.
