@@ -24,8 +24,8 @@ from .common import lean, table, width
 
 #: Vectors in a block; a tile's scores are 32 MB.
 BLOCK = 2048
-#: Queries in a group, about; with 64 components 16 MB.
-GROUP = 16 * BLOCK
+#: Queries in a group, at most about; with 64 components 256 MB.
+GROUP = 256 * BLOCK
 #: Candidates in a shard, at most about; there are as many shards as tasks, if that is more.
 SHARD = 1 << 20
 #: Lists merged at once.
@@ -140,6 +140,18 @@ def merged(lists: DataFrame, shards: int, k: int) -> DataFrame:
             return lists.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def grid(n: int, n_asked: int, tasks: int, group: int, shard: int) -> tuple[int, int]:
+    """(groups, shards) for so many candidates and queries.
+
+    Each query goes to all shards and each candidate to all groups. With as few cells as the bounds and the tasks allow, the
+    two shares of the shuffle are alike where groups and shards are in proportion to queries and candidates.
+    """
+    low, least = max(1, -(-n_asked // group)), max(1, -(-n // shard))
+    cells = max(tasks, low * least)
+    groups = max(low, round((cells * n_asked / max(1, n)) ** 0.5))
+    return groups, max(least, -(-cells // groups))
+
+
 def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: int = 256, group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where `is_query` holds.
 
@@ -150,8 +162,8 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     rows = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = usable.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     n, n_asked = usable.agg(F.count("*"), F.count_if(is_query)).first()
-    n_groups, tasks = max(1, -(-n_asked // group)), width(vectors.sparkSession)
-    n_shards = max(-(-n // shard), -(-tasks // n_groups))
+    tasks = width(vectors.sparkSession)
+    n_groups, n_shards = grid(n, n_asked, tasks, group, shard)
     # queries by a hash of their ids, so that a block's rows are whole in one task; candidates block by block, in turn
     blocks = packed(asked.repartition(n_groups, F.xxhash64("id")), scale).select(F.pmod(F.spark_partition_id(), F.lit(n_groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(0).alias("side"), "d", "ids", "data")
     tiles = packed(rows, scale).select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), F.pmod(F.xxhash64("ids"), F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("side"), "d", "ids", "data")
