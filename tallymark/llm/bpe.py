@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import fresh, lean, table
 from .words import SPACE, pieces
 
 #: Pieces whose encodings a Python worker remembers.
@@ -270,7 +270,8 @@ def _decoding(ranks_path: str, at: int, bytes_col: str):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids") -> DataFrame:
-    """The columns `keep` and the texts' token ids (array<int>)."""
+    """The columns `keep` and the texts' token ids (array<int>), which take another name where that clashes."""
+    ids_col = fresh(docs.select(*keep), ids_col)
     schema = docs.select(*keep, F.array(F.lit(0)).alias(ids_col)).schema
     return docs.select(*keep, text_col).mapInArrow(lean(_encoding(ranks_path, pattern, len(keep), ids_col)), schema)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 # HTML's element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,16 +370,18 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_col: str = "text") -> DataFrame:
-    """The columns `keep` and each page's main text."""
+    """The columns `keep` and each page's main text, which takes another name where that clashes."""
+    kept = pages.select(*keep)
+    raw, text = fresh(kept, "_html"), fresh(kept, text_col)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch.drop(columns="_html")
-            out[text_col] = [main_text(h) if h else "" for h in batch["_html"]]
+            out = batch.drop(columns=raw)
+            out[text] = [main_text(h) if h else "" for h in batch[raw]]
             yield out
 
-    rows = pages.select(*keep, F.col(html_col).alias("_html"))
-    return rows.mapInPandas(work, pages.select(*keep, F.lit("").alias(text_col)).schema)
+    rows = pages.select(*keep, F.col(html_col).alias(raw))
+    return rows.mapInPandas(work, kept.withColumn(text, F.lit("")).schema)
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 MAX_ORDER = 3
 #: Training documents for each language, about.
@@ -164,13 +164,15 @@ def train(labelled: DataFrame, max_order: int = MAX_ORDER, max_docs: int = MAX_D
 
 
 def predict(docs: DataFrame, trees: ContextTrees | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred and score, the winner's share of probability under even priors."""
+    """The columns `keep` with lang_pred and score, the winner's share of probability under even priors; these take other names where they clash."""
+    kept = docs.select(*keep)
+    raw, lang_pred, likely = (fresh(kept, c) for c in ("_text", "lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
-            texts = [prepared(t) if model and t and _LETTER.search(t) else b"" for t in batch["_text"]]
+            texts = [prepared(t) if model and t and _LETTER.search(t) else b"" for t in batch[raw]]
             pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             rows = [i for i, t in enumerate(texts) if t]
             if rows:
@@ -179,12 +181,12 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: tuple[str, ...] =
                 more = bits - bits[np.arange(len(rows)), best][:, None]
                 pred[rows] = np.array(model.langs, dtype=object)[best]
                 score[rows] = 1 / np.exp2(-np.minimum(more, 1000)).sum(axis=1)
-            out = batch.drop(columns="_text")
-            out["lang_pred"], out["score"] = pred, score
+            out = batch.drop(columns=raw)
+            out[lang_pred], out[likely] = pred, score
             yield out
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = docs.select(*keep, F.col(text_col).alias(raw))
+    schema = kept.withColumn(lang_pred, F.lit("")).withColumn(likely, F.lit(0.0)).schema
     return rows.mapInPandas(work, schema)
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 LENGTH = 400
 ANCHOR = 128
@@ -223,30 +223,34 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` with n_bytes, the removed spans (start, end), and the remaining bytes."""
-    ranges = cut(repeated_windows(docs, length, anchor, group, id_col, text_col).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_ranges")), "ranges")
-    rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.col(text_col)).alias("_doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_data"))
-    joined = rows.join(ranges, F.col("_doc") == F.col("doc"), "left").drop("doc", "_doc")
+    """The columns `keep` with n_bytes, the removed spans (start, end), and the remaining bytes as `kept`; these take other names where they clash."""
+    own = docs.select(*keep)
+    doc, data, ranges, n_bytes, spans, kept = (fresh(own, c) for c in ("_doc", "_data", "_ranges", "n_bytes", "spans", "kept"))
+    found = repeated_windows(docs, length, anchor, group, id_col, text_col).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(ranges))
+    found = cut(found.withColumnRenamed("doc", doc), "ranges")
+    rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.col(text_col)).alias(doc), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(data))
+    joined = rows.join(found, doc, "left").select(*own.columns, data, ranges)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans, kept = [], []
-            for raw, found in zip(batch["_data"], batch["_ranges"], strict=True):
-                data = np.frombuffer(raw, dtype=np.uint8)
-                depth = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(depth, [r["first"] for r in found], 1)
-                np.add.at(depth, [r["last"] + length for r in found], -1)
+            cuts, left = [], []
+            for raw, some in zip(batch[data], batch[ranges], strict=True):
+                text = np.frombuffer(raw, dtype=np.uint8)
+                depth = np.zeros(len(text) + 1, dtype=np.int32)
+                np.add.at(depth, [r["first"] for r in some], 1)
+                np.add.at(depth, [r["last"] + length for r in some], -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 edge = np.nonzero(np.diff(np.concatenate([[False], gone, [False]])))[0]
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                kept.append(data[~gone].tobytes())
-            out = batch.drop(columns=["_data", "_ranges"])
-            out["n_bytes"], out["spans"], out["kept"] = batch["_data"].map(len), spans, kept
+                cuts.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                left.append(text[~gone].tobytes())
+            out = batch.drop(columns=[data, ranges])
+            out[n_bytes], out[spans], out[kept] = batch[data].map(len), cuts, left
             yield out
 
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(b"").alias("kept")).schema
-    whole = joined.where(F.col("_ranges").isNull()).select(*keep, F.length("_data").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.col("_data").alias("kept"))
-    return whole.unionAll(joined.where(F.col("_ranges").isNotNull()).mapInPandas(work, schema))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    schema = own.withColumns({n_bytes: F.lit(0).cast("long"), spans: none, kept: F.lit(b"")}).schema
+    whole = joined.where(F.col(ranges).isNull()).select(*own.columns, F.length(data).cast("long").alias(n_bytes), none.alias(spans), F.col(data).alias(kept))
+    return whole.unionAll(joined.where(F.col(ranges).isNotNull()).mapInPandas(work, schema))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -525,6 +525,7 @@ def test_html_paths_choose_the_text(monkeypatch):
         nodes = [n for n in html.Page().read(page).nodes if n.size]
         assert html.path_scores(nodes).tolist() == pytest.approx(by_hand(nodes))
         assert html.main_text(page) == want
+    # no node has a penalty here, so these are constant ratios
     monkeypatch.setattr(html, "path_scores", lambda nodes: np.ones(len(nodes)))
     assert all(html.main_text(page) != want for page, want in pages)
 
@@ -545,10 +546,17 @@ def test_html_of_the_tables(monkeypatch):
     found = [html.main_text(p) for p in pages]
     same = lambda a, b: a.replace(" ", "") == b.replace(" ", "")
     assert all(same(a, inner(p)) for a, p in zip(found, pages, strict=True))
-    # neither the article's tag nor constant scores give this
+    # the article's tag isn't needed for this
     assert [html.main_text(re.sub(r"(</?)article", r"\1div", p)) for p in pages] == found
-    monkeypatch.setattr(html, "path_scores", lambda nodes: np.ones(len(nodes)))
-    assert not any(same(html.main_text(p), inner(p)) for p in pages)
+
+    def penalties(nodes):
+        """Scores of the names alone: each path's mean penalty, its ratios all alike."""
+        _, at = np.unique([n.path for n in nodes], return_inverse=True)
+        return (np.bincount(at, [n.penalty for n in nodes]) / np.bincount(at))[at]
+
+    # on these pages names and tags decide: with constant ratios and the penalties kept, none changes
+    monkeypatch.setattr(html, "path_scores", penalties)
+    assert [html.main_text(p) for p in pages] == found
 
 
 @pytest.mark.parametrize(
@@ -579,3 +587,37 @@ def test_join_and_repeats_take_odd_rows(spark):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 7]
     assert suffix_dedup.dedup(odd(spark)).count() == len(ODD)
     assert ngram_join.one_of_each(odd(spark, empty=True)).count() == 0 and suffix_dedup.dedup(odd(spark, empty=True)).count() == 0
+
+
+def test_kept_columns_may_have_names_of_the_operators(spark):
+    own = ("doc_id", "_doc", "_data", "_ranges", "n_bytes", "spans", "kept", "text", "_html", "lang_pred", "score", "_text", "token_ids")
+    df = odd(spark).select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(own) if c not in ("doc_id", "text")])
+    values = {c: k for k, c in enumerate(own)}
+
+    def holds(got, *new):
+        assert got.columns == [*own, *new] and got.count() == len(ODD)
+        assert all(r[c] == values[c] for r in got.collect() for c in own if c not in ("doc_id", "text"))
+
+    holds(suffix_dedup.dedup(df, keep=own), "_n_bytes", "_spans", "_kept")
+    got = html.extract(df.withColumn("html", F.col("text")), keep=own)
+    assert len(set(got.columns)) == len(own) + 1 and got.count() == len(ODD)
+    got = language.predict(df, None, keep=own)
+    assert len(set(got.columns)) == len(own) + 2 and got.count() == len(ODD)
+    tokenizers = pytest.importorskip("public_tokenizers")
+    got = bpe.encode(df, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep=own)
+    assert got.columns == [*own, "_token_ids"] and got.count() == len(ODD)
+
+
+def test_grid_of_queries_and_candidates():
+    for n, asked, tasks in ((0, 0, 8), (500, 10, 8), (10**6, 10**6, 8), (10**9, 2 * 10**7, 1000), (5, 10**7, 3)):
+        groups, shards = topk.grid(n, asked, tasks, topk.GROUP, topk.SHARD)
+        assert groups * topk.GROUP >= asked and shards * topk.SHARD >= n and groups * shards >= tasks
+    groups, shards = topk.grid(10**9, 2 * 10**7, 1000, topk.GROUP, topk.SHARD)
+    assert groups <= 40 and shards <= 1000
+
+
+def test_mix_without_texts_is_the_same(spark):
+    df = odd(spark)
+    got = sorted(((r.doc_id, r["size"], r.copies) for r in mixing.plan(df).collect()), key=str)
+    whole = mixing.mix(df)
+    assert got == sorted(((r.doc_id, r[whole.columns[-4]], r[whole.columns[-1]]) for r in whole.collect()), key=str)
