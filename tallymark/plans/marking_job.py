@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry, marking, results, runs
 from ..sources import templates as T
+from ..sources.cuts import cut, join_small
 
 
 def mark_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
@@ -35,8 +36,9 @@ def run_job(requests: DataFrame, scans: DataFrame, scan_pages: DataFrame, templa
     sizes = templates.select(F.col("id").alias("template_id"), F.size(T.normal_pages()).alias("n_pages"))
     outcomes = results.requested_scans(requests, scans.select(F.col("id").alias("scan_id")), scan_pages.select("scan_id", "page_index"), sizes)
     outcomes = outcomes.join(requests.select("job", "position", "template_id"), ["job", "position"])
-    wanted = outcomes.where(F.col("error").isNull()).select("scan_id", "template_id").distinct()
-    pages = wanted.join(scan_pages, "scan_id").select("scan_id", "template_id", "page_index", "binary")
+    # the scans asked for are ids alone: pixels meet them where they are read while those are few
+    wanted = cut(outcomes.where(F.col("error").isNull()).select("scan_id", "template_id").distinct(), "wanted")
+    pages = join_small(scan_pages.select("scan_id", "page_index", "binary"), wanted, ["scan_id"], "inner").select("scan_id", "template_id", "page_index", "binary")
     answers = mark_pages(pages, T.questions(templates))
     mark = F.struct(F.col("question_id").alias("questionId"), F.col("flag").alias("flagged"), F.when(F.size("selected") > 0, F.col("selected")).alias("selected"), "confidence")
     bad = F.col("error").isNotNull()

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import format_bytes, readable
 from ..operators.raster import anchor_patterns
-from ..schemas import PREPROCESSING_TEMPLATE, TABLES
-from .templates import parse
+from ..operators.validation import first_violations, marking_violations, preprocessing_violations
+from ..schemas import MARKING_TEMPLATE, PREPROCESSING_TEMPLATE, TABLES
+from .cuts import cut, drop
+from .templates import parse, whole_marking, whole_preprocessing
+
+MALFORMED = "the document is malformed"
 
 
 # --- what the store does with rows, for any frames
@@ -140,27 +144,36 @@ class Store:
         self.append("anchors", anchors.withColumn("id", F.expr("uuid()")))
         self.append("preprocessing_templates", templates.withColumn("json", F.regexp_replace("json", r'"image"\s*:\s*"[^"]*"', '"image":""')))
 
+    def save_marking_documents(self, documents: DataFrame) -> DataFrame:
+        """Check whole template documents (id, json) and store the good ones under their ids; gives (id, error) of each, the first violation in document order."""
+        read = parse(documents.select("id", "json"), MARKING_TEMPLATE).withColumn("template", whole_marking(F.col("template")))
+        broken = first_violations(marking_violations(read.where(~F.col("malformed")).select("id", "template")))
+        message = F.when(F.col("malformed"), MALFORMED).otherwise(F.col("message"))
+        verdicts = cut(read.join(broken, "id", "left").select("id", "json", message.alias("error")), "verdicts")
+        self.append("marking_templates", verdicts.where(F.col("error").isNull()).select("id", "json"))
+        return verdicts.select("id", "error")
+
     def save_preprocessing_documents(self, documents: DataFrame) -> DataFrame:
-        """Store whole template documents (id, json): anchor images are decoded and binarized once, and leave the text.
+        """Check and store whole template documents (id, json): anchor images are decoded and binarized once, and leave the text.
 
-        Gives (id, error) of each. A document that is malformed, or has an image that can't be read, is not stored; the
-        others are. Pixels are worked out once, into a part that is read for both the anchors and the verdicts, and removed; the verdicts stay beside it.
+        Gives (id, error) of each. A document that is malformed, breaks a rule, or has an image that can't be read is not
+        stored; the others are. A rule's error is the first in document order, and comes before those of images. Images
+        of documents that break a rule aren't decoded. Pixels and verdicts are cut tables, which hold for this call.
         """
-        read = parse(documents.select("id", "json"), PREPROCESSING_TEMPLATE)
-        pages = read.where(~F.col("malformed")).select("id", F.col("template.config").alias("config"), F.posexplode("template.pages").alias("page_index", "page"))
+        read = parse(documents.select("id", "json"), PREPROCESSING_TEMPLATE).withColumn("template", whole_preprocessing(F.col("template")))
+        broken = first_violations(preprocessing_violations(read.where(~F.col("malformed")).select("id", "template")))
+        checked = read.join(broken, "id", "left")
+        sound = checked.where(~F.col("malformed") & F.col("message").isNull())
+        pages = sound.select("id", F.col("template.config").alias("config"), F.posexplode("template.pages").alias("page_index", "page"))
         anchors = pages.select(F.col("id").alias("template_id"), "config", "page_index", F.posexplode("page.anchors").alias("anchor_index", "anchor"))
-        path = f"{self.root}/decoded-{uuid.uuid4().hex}"
-        anchor_patterns(anchors.select("template_id", "page_index", "anchor_index", "config", F.col("anchor.image").alias("image"))).write.parquet(path)
-        decoded = self.spark.read.parquet(path)
+        decoded = cut(anchor_patterns(anchors.select("template_id", "page_index", "anchor_index", "config", F.col("anchor.image").alias("image"))), "decoded")
         bad = decoded.where(F.col("error").isNotNull()).groupBy("template_id").agg(F.min(F.struct("page_index", "anchor_index", "error")).alias("first"))
-        message = F.when(F.col("malformed"), "the document is malformed").when(F.col("first").isNotNull(), F.format_string("page %d, anchor %d: %s", "first.page_index", "first.anchor_index", "first.error"))
-        verdicts = read.join(bad, F.col("id") == F.col("template_id"), "left").select("id", "json", message.alias("error"))
-        verdicts.select("id", "error").write.parquet(f"{path}-verdicts")
+        message = F.when(F.col("malformed"), MALFORMED).otherwise(F.coalesce("message", F.when(F.col("first").isNotNull(), F.format_string("page %d, anchor %d: %s", "first.page_index", "first.anchor_index", "first.error"))))
+        verdicts = cut(checked.join(bad, F.col("id") == F.col("template_id"), "left").select("id", "json", message.alias("error")), "verdicts")
         good = verdicts.where(F.col("error").isNull())
         self.save_preprocessing_templates(good.select("id", "json"), decoded.join(good.select(F.col("id").alias("template_id")), "template_id", "left_semi").select("template_id", "page_index", "anchor_index", "matrix"))
-        fs, folder = self._file(path)
-        fs.delete(folder, True)
-        return self.spark.read.schema("id string, error string").parquet(f"{path}-verdicts")
+        drop(decoded)
+        return verdicts.select("id", "error")
 
     def save_scans(self, scans: DataFrame, pages: DataFrame) -> None:
         """Store pages first, so that a scan is never there without them."""

@@ -71,15 +71,24 @@ def whole_question(q: Column) -> Column:
     return F.struct(F.coalesce(q["id"], F.lit("")).alias("id"), *[_pixels(q[c]).alias(c) for c in ("bubbleWidth", "bubbleHeight")], F.coalesce(q["type"], F.lit("")).alias("type"), options.alias("options"))
 
 
-def preprocessing_page(t: Column, page_index: Column) -> Column:
-    """One page of a preprocessing template as (width, height, config, anchors), what is left out as 0; null without such a page."""
+def whole_preprocessing(t: Column) -> Column:
+    """A preprocessing template as on the wire: what is left out is 0, an empty text, or none."""
     point = lambda p: F.struct(*[_or_zero(p[c], T.IntegerType()).alias(c) for c in ("x", "y")])
-    anchor = lambda a: F.struct(point(a["center"]).alias("center"), F.struct(point(a["roi"]["min"]).alias("min"), point(a["roi"]["max"]).alias("max")).alias("roi"))
+    roi = lambda r: F.struct(point(r["min"]).alias("min"), point(r["max"]).alias("max"))
+    anchor = lambda a: F.struct(F.coalesce(a["image"], F.lit("")).alias("image"), point(a["center"]).alias("center"), roi(a["roi"]).alias("roi"))
     config = F.struct(*[_or_zero(t["config"][f.name], f.dataType).alias(f.name) for f in schemas.PREPROCESSING_CONFIG.fields])
-    page = F.get(t["pages"], page_index)
-    anchors = F.transform(F.coalesce(page["anchors"], F.array().cast(T.ArrayType(schemas.ANCHOR))), anchor)
-    whole = F.struct(*[_or_zero(t[c], T.IntegerType()).alias(c) for c in ("width", "height")], config.alias("config"), anchors.alias("anchors"))
-    return F.when(t.isNotNull() & page.isNotNull(), whole)
+    pages = F.coalesce(t["pages"], F.array().cast(schemas.PREPROCESSING_TEMPLATE["pages"].dataType))
+    page = lambda p: F.struct(F.transform(F.coalesce(p["anchors"], F.array().cast(T.ArrayType(schemas.ANCHOR))), anchor).alias("anchors"))
+    whole = F.struct(*[_or_zero(t[c], T.IntegerType()).alias(c) for c in ("width", "height")], config.alias("config"), F.transform(pages, page).alias("pages"))
+    return F.when(t.isNotNull(), whole)
+
+
+def preprocessing_page(t: Column, page_index: Column) -> Column:
+    """One page of a preprocessing template as (width, height, config, anchors), what is left out as 0; null without such a page."""
+    whole = whole_preprocessing(t)
+    page = F.get(whole["pages"], page_index)
+    anchors = F.transform(page["anchors"], lambda a: F.struct(a["center"].alias("center"), a["roi"].alias("roi")))
+    return F.when(page.isNotNull(), F.struct(whole["width"].alias("width"), whole["height"].alias("height"), whole["config"].alias("config"), anchors.alias("anchors")))
 
 
 def preprocessing_pages(templates: DataFrame) -> DataFrame:
@@ -89,6 +98,14 @@ def preprocessing_pages(templates: DataFrame) -> DataFrame:
     return each.select("template_id", "template_page", "n_places", preprocessing_page(F.col("template"), F.col("template_page")).alias("page_of_template"), F.get("grid", F.col("template_page")).alias("patterns"))
 
 
+def whole_marking(t: Column) -> Column:
+    """A marking template as on the wire, pages in the newer form: what is left out is 0, an empty text, or none, but for the selection threshold."""
+    config = F.struct(*[(t["config"][f.name] if f.name in ("selectionThreshold", "labelInset") else _or_zero(t["config"][f.name], f.dataType)).alias(f.name) for f in schemas.MARKING_CONFIG.fields])
+    pages = F.coalesce(t["pages"], F.array().cast(T.ArrayType(schemas.MARKING_PAGE)))
+    page = lambda p: F.struct(F.transform(F.coalesce(p["questions"], F.array().cast(T.ArrayType(schemas.QUESTION))), whole_question).alias("questions"))
+    return F.when(t.isNotNull(), F.struct(config.alias("config"), F.transform(pages, page).alias("pages")))
+
+
 def questions(templates: DataFrame, id_col: str = "id", template: str = "template", strict_wire: bool = False) -> DataFrame:
     """(template_id, page_index, ordinal, question, settings): a row per question, its missing numbers as 0."""
     pages = templates.select(F.col(id_col).alias("template_id"), settings(template, strict_wire).alias("settings"), F.posexplode(normal_pages(template)).alias("page_index", "page"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cuts import cut
+
 
 def job_states(events: DataFrame, job: str = "job", ts: str = "ts", kind: str = "kind", value: str = "value", tie: str | None = None) -> DataFrame:
     """(job, started, finished, success, progress, n_events): each job's state; success is the finish's value above 0."""
@@ -40,9 +42,24 @@ def in_order(jobs: DataFrame, started: str = "started", tie: str = "job") -> Dat
     return jobs.orderBy(started, tie)
 
 
+def _stretches(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows dealt by ranges of (key, order), with `_stretch`, the number of their range: a key's rows lie in stretches that follow each other.
+
+    Written, so that the ranges stand: what is worked out for each stretch, and then from stretch to stretch, holds
+    however many rows a key has, and none has to lie in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut(rows.repartitionByRange(parts, key, *order).withColumn("_stretch", F.spark_partition_id()), "stretches")
+
+
 def ranked(jobs: DataFrame, kind: str, started: str = "started", tie: str = "job") -> DataFrame:
-    """Each job with its place among those of its kind, from oldest to newest."""
-    return jobs.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(started, tie)).cast("long"))
+    """Each job with its place among those of its kind, from oldest to newest: its place in a stretch behind all of the stretches before."""
+    dealt = _stretches(jobs, kind, [started, tie])
+    sizes = dealt.groupBy(F.col(kind).alias("_kind"), "_stretch").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_kind").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(kind, "_stretch").orderBy(started, tie))
+    met = dealt.withColumn("_own", own).join(before.withColumnRenamed("_stretch", "_at"), F.col(kind).eqNullSafe(F.col("_kind")) & (F.col("_stretch") == F.col("_at")))
+    return met.select(*jobs.columns, (F.col("_before") + F.col("_own")).cast("long").alias("rank"))
 
 
 def last_items(rows: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
@@ -57,8 +74,13 @@ def last_items_per(rows: DataFrame, n: int, key: str, ts: str, tie: str) -> Data
 
 
 def running_peak(samples: DataFrame, key: str, ts: str, tie: str, value: str) -> DataFrame:
-    """Each sample with the highest value so far."""
-    return samples.withColumn("peak", F.max(value).over(Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    """Each sample with the highest value so far: in its stretch up to it, and in all of the stretches before."""
+    dealt = _stretches(samples, key, [ts, tie])
+    tops = dealt.groupBy(F.col(key).alias("_key"), "_stretch").agg(F.max(value).alias("_top"))
+    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.max(value).over(Window.partitionBy(key, "_stretch").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
+    met = dealt.withColumn("_own", own).join(before.select("_key", F.col("_stretch").alias("_at"), "_before"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")))
+    return met.select(*samples.columns, F.greatest("_own", "_before").alias("peak"))
 
 
 def peaks_by_window(samples: DataFrame, ts: str, value: str, width: str, key: str | None = None) -> DataFrame:

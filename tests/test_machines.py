@@ -59,6 +59,22 @@ def test_last_of_a_ring(spark):
         assert [r.x for r in df.select(machines.last_of("items", n).alias("x")).collect()] == [want, []]
 
 
+def test_ranks_and_peaks_of_a_hot_key_go_by_stretches(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot"] * 9 + ["a", None]), rng.randrange(40), rng.choice([None, *range(50)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, kind string, started int, value int")
+    order, seen, tops, want = sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])), {}, {}, {}
+    for i, kind, _, value in order:
+        seen[kind] = seen.get(kind, 0) + 1
+        tops[kind] = max((v for v in (tops.get(kind), value) if v is not None), default=None)
+        want[i] = (seen[kind], tops[kind])
+    got = {r.id: r["rank"] for r in jobs.ranked(df, "kind", "started", "id").collect()}
+    peaks = {r.id: r.peak for r in jobs.running_peak(df, "kind", "started", "id", "value").collect()}
+    assert {i: (got[i], peaks[i]) for i in got} == want and len(got) == len(peaks) == 400
+    dealt = jobs._stretches(df, "kind", ["started", "id"]).groupBy("_stretch").count().collect()
+    assert max(r["count"] for r in dealt) < 200  # the hot key's 330 rows and more are dealt to several tasks
+
+
 JOB = "job string, ts timestamp, seq long, kind string, value double, note string"
 
 

@@ -155,3 +155,28 @@ def test_positive_values(spark):
     got = [tuple(r.q) for r in df.select(S.positive_query("v", "dpi", 300).alias("q")).collect()]
     assert got == [(5, None), (None, "dpi must be positive"), (None, "dpi is not a whole number"), (300, None), (300, None)]
     assert df.select(S.positive_query("v", "limit").alias("q")).collect()[3].q.error
+
+
+def test_documents_are_checked_before_they_are_stored(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    changes = [(("width",), 0), (("height",), ...), (("config", "blurSize"), 4), (("config", "blurSize"), ...), (("config", "minAnchorConfidence"), ...), (("config", "adaptiveBlockSize"), ...), (("pages",), []), (("pages",), ...), (("pages", 0, "anchors"), []), (("pages", 1, "anchors", 2, "image"), ...), (("pages", 0, "anchors", 0, "center", "x"), SIDE + 1)]
+    docs = [("good", document())]
+    for i, (path, value) in enumerate(changes):
+        at = doc = json.loads(document())
+        for step in path[:-1]:
+            at = at[step]
+        at.pop(path[-1]) if value is ... else at.__setitem__(path[-1], value)
+        docs.append((f"d{i:02}", json.dumps(doc)))
+    got = {r.id: r.error for r in store.save_preprocessing_documents(spark.createDataFrame(docs, "id string, json string")).collect()}
+    # The texts of messages are those that clients of the original read
+    want = ["width must be positive", "height must be positive", "blurSize must be odd", "blurSize must be positive", "minAnchorConfidence must be in (0, 1)", "adaptiveBlockSize is required", "at least one page must be included", "at least one page must be included", "each page must have at least 3 anchors", "images must be set for each anchor", "center is out of bounds"]
+    assert got.pop("good") is None and [got[f"d{i:02}"] for i in range(len(changes))] == want
+    assert [r.id for r in store.read("preprocessing_templates").collect()] == ["good"] and store.read("anchors").count() == 6
+
+    question = {"id": "Q1", "bubbleWidth": 9, "bubbleHeight": 9, "options": [{"label": "A", "x": 1, "y": 1}]}
+    marking = [("m", {"pages": [{"questions": [question]}]}), ("width", {"pages": [{"questions": [{k: v for k, v in question.items() if k != "bubbleWidth"}]}]}), ("twice", {"pages": [{"questions": [question, question]}]}), ("none", {"pages": []})]
+    rows = [(k, json.dumps(d)) for k, d in marking] + [("junk", "{")]
+    got = {r.id: r.error for r in store.save_marking_documents(spark.createDataFrame(rows, "id string, json string")).collect()}
+    assert got["m"] is None and got["junk"] == "the document is malformed" and got["width"] == "pages[0]: questions[0]: bubbleWidth must be positive"
+    assert got["twice"] == 'pages[0]: duplicate question id "Q1"' and got["none"]
+    assert [r.id for r in store.read("marking_templates").collect()] == ["m"]
