@@ -114,9 +114,8 @@ def surfaces(pages: DataFrame, sizes: DataFrame, fields: DataFrame) -> DataFrame
 
     pages: (KEYS, binary); sizes: as page_sizes gives them. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place.
     """
-    fields = cut(fields, "fields")
     masks = cut(mask_runs(fields), "masks")
-    areas = cut(mask_areas(masks), "areas")
+    areas = mask_areas(masks)
     runs = intervals.pieces(ink_runs(pages, KEYS), "x0", "x1", BIN)
     shifted = masks.withColumn("dy", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn("y", F.col("y") + F.col("dy"))
     dealt = intervals.touched(shifted, F.col("m0") - F.col("radius"), F.col("m1") + F.col("radius"), BIN)

@@ -67,6 +67,15 @@ def straighten(pages: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
+def order_errors(straight: DataFrame) -> DataFrame:
+    """(doc, exam, place, template_page, turned, error): pages that fit another template page than their own, with an error of class `order`.
+
+    The search has held each page against all template pages, both ways up, its own first.
+    """
+    found = straight.where(F.col("template_page") != F.col("place"))
+    return found.select("doc", "exam", "place", "template_page", "turned", F.format_string("page %d belongs in place %d", "place", "template_page").alias("error"))
+
+
 def drift_metric(straight: DataFrame, name: str = "drift") -> tuple[DataFrame, Observation]:
     """The pages, and what an action on them finds on its way: pages, drifted (far from the template's resolution), and the least and largest scale."""
     seen = Observation(name)

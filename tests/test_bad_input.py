@@ -117,6 +117,8 @@ def test_pages_with_different_numbers_of_anchors(spark, tmp_path):
     got = {(r.doc, r.page): r for r in straight.collect()}
     assert [got["right", i].template_page for i in (0, 1)] == [0, 1] and [got["swapped", i].template_page for i in (0, 1)] == [1, 0]
     assert got["swapped", 1].turned and not got["swapped", 0].turned
+    order = {(r.doc, r.place): (r.template_page, r.turned, r.error) for r in scanning.order_errors(straight).collect()}
+    assert order == {("swapped", 0): (1, False, "page 0 belongs in place 1"), ("swapped", 1): (0, True, "page 1 belongs in place 0"), ("three", 1): (0, False, "page 1 belongs in place 0")}
     assert got["three", 0].template_page is None and got["three", 0].error_class == "quality" and got["three", 1].template_page == 0
     for key, page in ((("right", 1), back), (("swapped", 0), back)):
         assert (matrices.from_row(got[key].binary) != raster.binarize(page, 3, 3, 91, 5.0)).mean() < 0.02

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.streaming import jobs, machines
+from tallymark.streaming import jobs, machines, samples
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -142,3 +142,19 @@ def test_progress_of_exams_that_end_again(rocks, tmp_path):
     last = {r["job"]: (r["done"], r["total"], r["progress"]) for r in got}
     whole = machines.progress_by_replay(rocks.createDataFrame(rows, schema), totals)
     assert last == {r.job: (r.done, r.total, r.progress) for r in whole.collect()} and last["nobody"] == (1, None, 0.0)
+
+
+def test_samples_of_this_machine(spark, tmp_path):
+    one = samples.sample(0.05)
+    assert 0 <= one["cpu_percent"] <= 100 and one["threads"] and all(0 <= t <= 100 for t in one["threads"])
+    assert one["in_use"] > 0 and one["free"] > 0 and 0 < one["own"] < one["in_use"] + one["free"] and one["disk_used"] > 0
+    query = samples.stream_samples(spark, 2).writeStream.format("memory").queryName("samples").outputMode("append").option("checkpointLocation", str(tmp_path)).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if query.exception() or spark.table("samples").count() >= 4:
+            break
+        query.awaitTermination(1)
+    query.stop()
+    rows = spark.table("samples")
+    assert rows.select("tick").distinct().count() == rows.count() >= 4 and rows.where("cpu_percent between 0 and 100 and in_use > 0 and host is not null").count() == rows.count()
+    peak = jobs.peaks_by_window(rows, "ts", "own", "1 hour").agg(F.max("peak")).first()[0]
+    assert peak == rows.agg(F.max("own")).first()[0]
