@@ -61,11 +61,21 @@ def assign_pages(scores: DataFrame, exam: str = "exam", page: str = "page", temp
     turn = F.pmod(F.col(template_page) - F.col(page), F.col(n_pages))
     first = scores.groupBy(exam, page).agg(F.min(F.when(F.col(ok), F.struct(turn.alias("turn"), F.col(template_page).alias("t")))).alias("hit"))
     taken = first.select(exam, page, F.col("hit.t").alias(template_page))
-    per_place = taken.withColumn("n", F.when(F.col(template_page).isNotNull(), F.count("*").over(Window.partitionBy(exam, template_page))).otherwise(0))
-    lost = F.min(F.when(F.col(template_page).isNull(), F.col(page))).over(Window.partitionBy(exam))
-    twice = F.max("n").over(Window.partitionBy(exam)) > 1
-    error = F.when(lost.isNotNull(), F.concat(F.lit("unrecognizable page "), lost.cast("string"))).when(twice, F.lit("duplicate pages in an exam"))
-    return per_place.withColumn("error", error).select(exam, page, template_page, "error")
+    return exam_errors(taken, [exam], page, template_page).select(exam, page, template_page, "error")
+
+
+# The errors of exams, as clients of the original read them
+UNRECOGNIZABLE, DUPLICATE = "unrecognizable page ", "duplicate pages in an exam"
+
+
+def exam_errors(placed: DataFrame, exam: list[str], page: str, template_page: str) -> DataFrame:
+    """Adds `error` of its exam to each placed page: the first page that fits nowhere, else pages in the same place. An exam's pages are few."""
+    together = Window.partitionBy(*exam)
+    shared = F.when(F.col(template_page).isNotNull(), F.count("*").over(Window.partitionBy(*exam, template_page))).otherwise(0)
+    counted = placed.withColumn("_n", shared)
+    lost = F.min(F.when(F.col(template_page).isNull(), F.col(page))).over(together)
+    error = F.when(lost.isNotNull(), F.concat(F.lit(UNRECOGNIZABLE), lost.cast("string"))).when(F.max("_n").over(together) > 1, F.lit(DUPLICATE))
+    return counted.withColumn("error", error).drop("_n")
 
 
 def misplaced(scores: DataFrame, exam: str = "exam", page: str = "page", template_page: str = "template_page", score: str = "score", least: float = 0.5) -> DataFrame:

@@ -217,7 +217,7 @@ def find_anchor(binary: np.ndarray, pattern: np.ndarray, roi: tuple[int, int, in
                 break
         middle, breadth = turn, breadth / SHRINK
     if best < least:
-        raise PageError(f"confidence {best:.2f} below threshold {least:.2f}")
+        raise PageError(f"an anchor matches by {best:.2f}, where {least:.2f} is needed")
     return x0 + place[0] + pattern.shape[1] // 2, y0 + place[1] + pattern.shape[0] // 2
 
 

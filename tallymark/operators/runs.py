@@ -30,10 +30,15 @@ BIN = 64
 KEYS = ["scan_id", "template_id", "page_index"]
 
 
-def ink_runs(pages: DataFrame, keys: list[str], matrix: str = "binary") -> DataFrame:
-    """(keys, y, x0, x1): maximal runs of pixels that aren't 0, x1 after the last; readable pages only."""
+def ink_runs(pages: DataFrame, keys: list[str], matrix: str = "binary", lines: DataFrame | None = None) -> DataFrame:
+    """(keys, y, x0, x1): maximal runs of pixels that aren't 0, x1 after the last; readable pages only.
+
+    lines: a cut table of the rows of pixels that are wanted, as `y` and some of the keys; the others aren't looked at.
+    """
     m = F.col(matrix)
     some = pages.where(readable(m)).select(*keys, m["cols"].alias("cols"), m["data"].alias("data"), F.explode(F.sequence(F.lit(0), m["rows"] - 1)).alias("y"))
+    if lines is not None:
+        some = join_small(some, lines, list(lines.columns), "left_semi")
     line = F.decode(F.substring("data", F.col("y") * F.col("cols") + 1, F.col("cols")), "ISO-8859-1")
     rows = some.select(*keys, "y", line.alias("line"))
     # of k runs: k lengths of ink, and k + 1 of blank, the first and last of which may be 0
@@ -82,8 +87,8 @@ def mask_runs(fields: DataFrame) -> DataFrame:
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"r_{k}").alias("disk")) for k in ("score", "hole", "guard")]))
     wanted = fields.select("*", kinds.alias("k")).select(*fields.columns, F.col("k.kind").alias("kind"), F.col("k.disk").alias("disk"))
-    # a hole of radius 0 is none; it takes no more than the score disk has
-    wanted = wanted.where((F.col("kind") != "hole") | (F.col("disk") > 0)).withColumn("disk", F.when(F.col("kind") == "hole", F.least("disk", "r_score")).otherwise(F.col("disk")))
+    # only a search asks for rings and guards; a hole of radius 0 is none, and takes no more than the score disk has
+    wanted = wanted.where((F.col("kind") == "score") | (F.col("radius") > 0)).where((F.col("kind") != "hole") | (F.col("disk") > 0)).withColumn("disk", F.when(F.col("kind") == "hole", F.least("disk", "r_score")).otherwise(F.col("disk")))
     rows = wanted.join(disk_rows(wanted.select(F.col("disk").alias("radius"))).withColumnRenamed("radius", "disk"), "disk").where(F.col("reach") >= 0)
     left, top = F.col("cx") - F.floor(F.col("w") / 2), F.col("cy") - F.floor(F.col("h") / 2)
     m0, m1 = F.greatest(left, F.col("cx") - F.col("reach")), F.least(left + F.col("w"), F.col("cx") + F.col("reach") + 1)
@@ -112,14 +117,16 @@ def page_sizes(pages: DataFrame) -> DataFrame:
 def surfaces(pages: DataFrame, sizes: DataFrame, fields: DataFrame) -> DataFrame:
     """(KEYS, ordinal, option, grp, radius, score, ring, guard): each option's fills at all offsets of its radius, dy by dy and dx by dx.
 
-    pages: (KEYS, binary); sizes: as page_sizes gives them. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place.
+    pages: (KEYS, binary); sizes: as page_sizes gives them. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place. Without a radius, ring and guard
+    are not asked for, and 0.
     """
     masks = cut(mask_runs(fields), "masks")
     areas = mask_areas(masks)
-    runs = intervals.pieces(ink_runs(pages, KEYS), "x0", "x1", BIN)
     shifted = masks.withColumn("dy", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn("y", F.col("y") + F.col("dy"))
     dealt = intervals.touched(shifted, F.col("m0") - F.col("radius"), F.col("m1") + F.col("radius"), BIN)
     dealt = cut(dealt.select("template_id", "page_index", "y", "bin", "ordinal", "option", "radius", "kind", "dy", "m0", "m1"), "dealt")
+    lines = cut(dealt.select("template_id", "page_index", "y").distinct(), "lines")
+    runs = intervals.pieces(ink_runs(pages, KEYS, lines=lines), "x0", "x1", BIN)
     met = join_small(runs, dealt, ["template_id", "page_index", "y", "bin"], "inner")
     at = met.withColumn("dx", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
     ink = intervals.overlap(F.col("x0"), F.col("x1"), F.col("m0") + F.col("dx"), F.col("m1") + F.col("dx"))

@@ -479,6 +479,59 @@ def template_violations(spark, sf_dir):
     return counts.select("id", "f.message", "violations")
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_partkey AS k, p_size AS s FROM part),
+c AS (SELECT id, (s - 3) / 40.0::DOUBLE AS fill, CASE WHEN k % 3 <> 0 THEN (s - 10) / 30.0::DOUBLE END AS chosen, (k % 13 - 1) / 10.0::DOUBLE AS inset, (k % 17 - 2) / 12.0::DOUBLE AS flag, s % 5 - 1 AS r, k % 7 - 2 AS g, k % 11 - 3 AS gr FROM p)
+SELECT id, 0 AS place, 'config: fillThreshold must be between 0 and 1' AS message FROM c WHERE fill < 0 OR fill > 1
+UNION ALL SELECT id, 1, 'config: selectionThreshold must be between 0 and 1' FROM c WHERE chosen < 0 OR chosen > 1
+UNION ALL SELECT id, 2, 'config: bubbleInset must be between 0 and 1' FROM c WHERE inset < 0 OR inset > 1
+UNION ALL SELECT id, 3, 'config: flagThreshold must be between 0 and 1' FROM c WHERE flag < 0 OR flag > 1
+UNION ALL SELECT id, 4, 'config: searchRadius must be nonnegative' FROM c WHERE r < 0
+UNION ALL SELECT id, 5, 'config: searchGroupSize must be nonnegative' FROM c WHERE g < 0
+UNION ALL SELECT id, 6, 'config: groupSearchRadius must be nonnegative' FROM c WHERE gr < 0""")
+def config_violations(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    config = F.struct(((s - 3) / F.lit(40.0)).alias("fillThreshold"), F.when(k % 3 != 0, (s - 10) / F.lit(30.0)).alias("selectionThreshold"), ((k % 13 - 1) / F.lit(10.0)).alias("bubbleInset"), ((k % 17 - 2) / F.lit(12.0)).alias("flagThreshold"),
+        (s % 5 - 1).alias("searchRadius"), (k % 7 - 2).cast("int").alias("searchGroupSize"), (k % 11 - 3).cast("int").alias("groupSearchRadius"))
+    option = F.struct(F.lit("A").alias("label"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(0.0).alias("baselineBias"))
+    one = F.struct(F.lit("Q1").alias("id"), F.lit(9).alias("bubbleWidth"), F.lit(9).alias("bubbleHeight"), F.lit("").alias("type"), F.array(option).alias("options"))
+    docs = t(spark, sf_dir, "part").select(k.alias("id"), F.struct(config.alias("config"), F.array(F.struct(F.array(one).alias("questions"))).alias("pages")).alias("template"))
+    return validation.marking_violations(docs).select("id", F.get("position", F.lit(1)).alias("place"), "message")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_partkey AS k, p_size AS s, p_size - 2 AS w, p_size % 4 * 9 AS h FROM part),
+a AS (SELECT *, 0 AS page, unnest(range(0, 3)) AS j FROM p UNION ALL SELECT *, 1, unnest(range(0, CAST(k % 5 AS BIGINT))) FROM p),
+v AS (
+  SELECT id, 0 AS place, 'width must be positive' AS message FROM p WHERE w <= 0
+  UNION ALL SELECT id, 1, 'height must be positive' FROM p WHERE h <= 0
+  UNION ALL SELECT id, 2, 'blurSize must be positive' FROM p WHERE k % 6 <= 0
+  UNION ALL SELECT id, 3, 'blurSize must be odd' FROM p WHERE k % 6 % 2 = 0
+  UNION ALL SELECT id, 4, 'morphCloseSize must be nonnegative' FROM p WHERE k % 5 - 1 < 0
+  UNION ALL SELECT id, 5, 'minAnchorConfidence must be in (0, 1)' FROM p WHERE k % 11 IN (0, 10)
+  UNION ALL SELECT id, 7, 'adaptiveBlockSize is required' FROM p WHERE k % 7 = 0
+  UNION ALL SELECT id, 8, 'adaptiveBlockSize must be odd' FROM p WHERE k % 7 * 3 % 2 = 0
+  UNION ALL SELECT id, 9, 'adaptiveBlockSize must be positive' FROM p WHERE k % 7 = 0
+  UNION ALL SELECT id, 149, 'each page must have at least 3 anchors' FROM p WHERE k % 5 < 3
+  UNION ALL SELECT id, 100 + page * 50 + j * 10, 'images must be set for each anchor' FROM a WHERE (k + j) % 9 = 0
+  UNION ALL SELECT id, 101 + page * 50 + j * 10, 'center is out of bounds' FROM a WHERE NOT (s % 30 BETWEEN 0 AND w AND k % 25 BETWEEN 0 AND h)
+  UNION ALL SELECT id, 102 + page * 50 + j * 10, 'roi.min is out of bounds' FROM a WHERE NOT (0 BETWEEN 0 AND w AND s % 7 - 1 BETWEEN 0 AND h)
+  UNION ALL SELECT id, 103 + page * 50 + j * 10, 'roi.max is out of bounds' FROM a WHERE NOT (s - 4 BETWEEN 0 AND w AND 6 BETWEEN 0 AND h)
+)
+SELECT id, arg_min(message, place) AS message, count(*) AS violations FROM v GROUP BY id""")
+def scan_template_violations(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    point = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    anchor = lambda j: F.struct(F.when((k + j) % 9 == 0, "").otherwise("x").alias("image"), point(s % 30 + j, k % 25).alias("center"), F.struct(point(j, s % 7 - 1).alias("min"), point(s + j - 4, F.lit(6)).alias("max")).alias("roi"))
+    some = lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < n), anchor)
+    config = F.struct((k % 6).cast("int").alias("blurSize"), (k % 5 - 1).cast("int").alias("morphCloseSize"), (k % 11 / F.lit(10.0)).alias("minAnchorConfidence"), (k % 7 * 3).cast("int").alias("adaptiveBlockSize"))
+    template = F.struct((s - 2).alias("width"), (s % 4 * 9).alias("height"), config.alias("config"), F.array(F.struct(some(F.lit(3)).alias("anchors")), F.struct(some(k % 5).alias("anchors"))).alias("pages"))
+    docs = t(spark, sf_dir, "part").select(k.alias("id"), template.alias("template"))
+    found = validation.preprocessing_violations(docs)
+    first = validation.first_violations(found)
+    return found.groupBy("id").agg(F.count("*").alias("violations")).join(first, "id").select("id", "message", "violations")
+
+
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.K') AS BIGINT), 7) AS limited FROM events")
 def json_config(spark, sf_dir):
     kind = schemas._s(("k", schemas.LONG))

@@ -94,13 +94,9 @@ def exam_outcomes(straight: DataFrame) -> DataFrame:
     docs = slim.groupBy("doc").agg(F.count("*").alias("n"), F.first("n_places").alias("m"))
     parts = F.when(F.coalesce("m", F.lit(0)) < 1, "template not found").when(F.col("n") % F.nullif(F.col("m"), F.lit(0)) != 0, F.format_string("%d pages don't divide into exams of %d", "n", "m"))
     rows = slim.join(docs.select("doc", parts.alias("count_error")), "doc")
-    exam = Window.partitionBy("doc", "exam")
-    taken = F.count("template_page").over(Window.partitionBy("doc", "exam", "template_page"))
-    rows = rows.withColumn("taken", F.when(F.col("template_page").isNotNull(), taken).otherwise(0))
-    lost, twice, why = F.min(F.when(F.col("template_page").isNull(), F.col("place"))).over(exam), F.max("taken").over(exam) > 1, F.collect_set("why").over(exam)
-    error = F.when(lost.isNotNull(), F.concat(F.lit("unrecognizable page "), lost.cast("string"))).when(twice, F.lit("duplicate pages in an exam"))
+    why = F.collect_set("why").over(Window.partitionBy("doc", "exam"))
     gravest = F.coalesce(*[F.when(F.array_contains(why, kind), kind) for kind in _GRAVE], F.get(why, F.lit(0)))
-    rows = rows.withColumns({"error": error, "gravest": gravest})
+    rows = P.exam_errors(rows, ["doc", "exam"], "place", "template_page").withColumn("gravest", gravest)
     kind = F.when(F.col("count_error").isNotNull(), "count").when(F.col("error").isNull(), F.lit(None).cast("string")).when(F.col("gravest").isNotNull(), F.col("gravest")).otherwise("order")
     return rows.select("doc", "exam", "place", "template_page", F.coalesce("count_error", "error").alias("error"), kind.alias("error_class"))
 
