@@ -33,3 +33,21 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted((r.doc_id, r.text) for r in last) == sorted((r.doc_id, r.text) for r in docs.collect())
     assert all(len(r.token_ids) == r.n_tokens for r in last)
+
+
+def test_pipeline_takes_odd_rows(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from test_llm_text import ODD, odd
+
+    for empty in (False, True):
+        docs = odd(spark, empty).select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), "size", "spans", "n_words", F.lit(1).alias("kept"), F.lit(2).alias("copies"))
+        counts = []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = stage(spark, docs, SF).cache()
+            assert docs.dtypes == before.dtypes, name
+            counts.append(docs.count())
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.columns == ["doc_id", "n_tokens", "token_ids", "text"] and last.count() == counts[-1]
+        assert counts[0] < len(ODD) and counts == sorted(counts[:2], reverse=True) + counts[2:]
