@@ -2,13 +2,17 @@
 
 A page is read as text nodes in order, each with its root-to-leaf tag path. Text length and punctuation are summed for
 each path and divided by its number of nodes; both ratios are smoothed over the nodes in page order, fused into one
-score, and averaged over each path's nodes. Tags, classes, ids and roles that name something beside the article lower
-the scores of the paths in them by PENALTY, unless they hold the article, as page-wide forms and wrappers do.
+score, averaged over each path's nodes, and lowered for paths that hold little text in all. Tags, classes, ids and roles
+that name something beside the article only lower a path's score further (NAMED), unless they hold the article, as
+page-wide forms and wrappers do: a named path is still content where it holds as much text, as dense, as the rest of the
+page. Names alone decide (PENALTY) on comments, which are prose as the article is, and where no path holds ENOUGH text
+for its ratios to say something.
 
 Paths of at least HIGH of the reference score (the mean by length of text, up to LONG a node) are content; the lowest element around
 their nodes (or <article>, or <main> where that holds most of them) is the root. In it nodes of lesser paths stay where they are
 supported: by a score of LOW, or by an article or a container whose text is mostly content, as headings, short items and
-cells are. Headings right before the root are taken too. Nodes whose score was lowered only count if they pass HIGH.
+cells are. Headings right before the root are taken too, with what stands between them and it. Nodes whose score was
+lowered only count if they pass HIGH, and never where names alone decide.
 
 Elements are numbered as they open, so what they hold is summed in one pass from last to first, and a page costs
 time in proportion to its length however deep its elements are.
@@ -50,6 +54,8 @@ FIRM_NAMES = re.compile(
     r"(?:[-_](?:list|area|section|box|notice|banner|bar|thread|slot|unit|items?|posts?|articles?))*(?:$|\s)",
     re.IGNORECASE,
 )
+#: Classes and ids of what readers write.
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|comment\w*|reader-comments|replies|reply|respond|disqus)(?:$|[-_\s])", re.IGNORECASE)
 FIRM_TAGS = frozenset("nav footer aside header".split())
 FIRM_ROLES = frozenset("navigation contentinfo complementary".split())
 HEADER_NAMES = re.compile(r"(?:^|[-_\s])(?:header|site-header|page-header|head)(?:$|[-_\s])", re.IGNORECASE)
@@ -67,8 +73,10 @@ REACH = 2
 LONG, MARKED = 200, 5
 #: Shares of the reference score from which a path is content, and from which it may be part of it.
 HIGH, LOW = 0.3, 0.1
-#: What is left of the score of a path beside the article.
-PENALTY = 0.03
+#: What is left of the score of a path beside the article by its names, and of one that names alone decide on.
+NAMED, PENALTY = 0.35, 0.03
+#: Text of one path from which its ratios say something.
+ENOUGH = 400
 #: Share of all score from which a flagged element inside an article is the article's own wrapper.
 WHOLE = 0.9
 #: Share of all text, links too, below which it doesn't: a search box on a page of links.
@@ -98,6 +106,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tags, self.path, self.flags, self.hidden, self.linked, self.in_article = [-1], ["#page"], [0], [NO], [False], [False], [False]
+        self.comments = [False]
         self.nodes: list[Node] = []
         self.block = 0
         self._open = [0]  # elements
@@ -144,6 +153,7 @@ class Page(HTMLParser):
         self.tags.append(tag)
         self.path.append(self._paths.setdefault((self.path[up], step), len(self._paths) + 1))
         self.flags.append(self._flag(tag, given, self.in_article[up]))
+        self.comments.append(COMMENT_NAMES.search(f"{given.get('class', '')} {given.get('id', '')}") is not None)
         self.hidden.append(self.hidden[up] or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None)
         self.linked.append(self.linked[up] or tag == "a")
         self.in_article.append(self.in_article[up] or tag in ("article", "main"))
@@ -233,8 +243,9 @@ class Page(HTMLParser):
         return out
 
 
-def path_scores(nodes: list[Node]) -> np.ndarray:
-    """For each node the score of its path: its fused, smoothed ratios, lowered where it lies beside the article."""
+def path_ratios(nodes: list[Node]) -> np.ndarray:
+    """For each node the ratio of its path: length and punctuation a node, smoothed, fused and averaged, times the path's text
+    over itself and LONG more, and, where names put the path beside the article, over all text that they don't."""
     _, at = np.unique([n.path for n in nodes], return_inverse=True)
     count = np.bincount(at)
     length = np.array([0.0 if n.linked else n.size for n in nodes])
@@ -243,8 +254,18 @@ def path_scores(nodes: list[Node]) -> np.ndarray:
     smooth = lambda x: np.convolve(x, weight)[REACH : REACH + len(nodes)]
     full = smooth(np.ones(len(nodes)))
     ratios = [smooth(np.minimum(np.bincount(at, x) / count, most)[at]) / full for x, most in ((length, LONG), (marks, MARKED))]
-    fused = np.sqrt(ratios[0] * (1 + ratios[1])) * [n.penalty for n in nodes]
-    return (np.bincount(at, fused) / count)[at]
+    fused = np.sqrt(ratios[0] * (1 + ratios[1]))
+    held = np.bincount(at, length)[at]
+    named = np.array([n.penalty < 1 for n in nodes])
+    rest = max(length[~named].sum(), 1.0)
+    held = held / (held + LONG) * np.where(named, np.minimum(held / rest, 1), 1)
+    return (np.bincount(at, fused * held) / count)[at]
+
+
+def path_scores(nodes: list[Node]) -> np.ndarray:
+    """For each node the score of its path: its ratio, lowered where names say that it lies beside the article."""
+    _, at = np.unique([n.path for n in nodes], return_inverse=True)
+    return path_ratios(nodes) * (np.bincount(at, [n.penalty for n in nodes]) / np.bincount(at))[at]
 
 
 def content(nodes: list[Node], share: float) -> np.ndarray:
@@ -263,9 +284,9 @@ def weights(nodes: list[Node]) -> np.ndarray:
     return own if own.any() else length
 
 
-def beside(page: Page, solid: list[Node]) -> list[bool] | None:
-    """Which elements lie beside the article. None that holds <main> does, nor one of a soft flag that holds, with its
-    likes of the same path, most of the score. None if all text lies beside it."""
+def beside(page: Page, solid: list[Node]) -> set[int] | None:
+    """The elements that names and tags put beside the article. None that holds <main> is, nor one of a soft flag that
+    holds, with its likes of the same path, most of the score. None if all text lies in such."""
     tags, flags = page.tags, page.flags
     size = np.array([float(n.size) for n in solid])
     full = page.sums(solid, size)
@@ -292,10 +313,21 @@ def beside(page: Page, solid: list[Node]) -> list[bool] | None:
             out |= {e for e in flagged if e not in around_main and (joint[page.path[e]] < (need(e), SOME)).any()}
         inside = page.within(out)
         if not all(inside[n.element] for n in solid):
-            return inside
+            return out
     return None
 
 
+def named(page: Page, solid: list[Node], out: set[int]) -> list[float]:
+    """What is left of the scores in each element: of those beside the article NAMED, where their ratios can say otherwise."""
+    aside, comments = page.within(out), page.within({e for e in out if page.comments[e]})
+    held: dict[int, int] = {}
+    for n in solid:
+        if not (aside[n.element] or n.linked):
+            held[n.path] = held.get(n.path, 0) + n.size
+    soft = NAMED if max(held.values(), default=0) >= ENOUGH else PENALTY
+    return [PENALTY if c else soft if a else 1.0 for a, c in zip(aside, comments, strict=True)]
+
+
 def root_of(page: Page, chosen: list[Node]) -> tuple[int, bool]:
     """The lowest element around all chosen nodes that holds several blocks, or the article around it, and whether it is that."""
     held = page.sums(chosen, np.ones(len(chosen)))
@@ -310,12 +342,14 @@ def main_nodes(page: Page) -> list[Node]:
     """The nodes of the main text, in page order."""
     tags = page.tags
     solid = [n for n in page.nodes if n.size]
-    aside = beside(page, solid) if solid else None
-    if aside is None:
+    out = beside(page, solid) if solid else None
+    if out is None:
         return []
-    nodes = [n._replace(penalty=PENALTY) if aside[n.element] else n for n in page.nodes]
+    left = named(page, solid, out)
+    nodes = [n._replace(penalty=left[n.element]) if left[n.element] < 1 else n for n in page.nodes]
     solid = [n for n in nodes if n.size]
-    strong = content(solid, HIGH) & [not n.linked for n in solid]
+    # names alone decide on what has no more than PENALTY left
+    strong = content(solid, HIGH) & [not n.linked and n.penalty > PENALTY for n in solid]
     free = np.array([n.penalty == 1 for n in solid])
     if not (strong & free).any():
         strong = free
@@ -341,10 +375,16 @@ def main_nodes(page: Page) -> list[Node]:
     first = next(k for k, n in enumerate(nodes) if id(n) in picked)
     heads = page.within({e for e in range(len(tags)) if tags[e] in HEADINGS})
     if not any(ok and heads[n.element] for n, ok in zip(nodes, stays, strict=True)):
-        before = next((k for k in range(first - 1, -1, -1) if nodes[k].size and not in_root[nodes[k].element] and nodes[k].penalty == 1), -1)
-        while before >= 0 and (not nodes[before].size or heads[nodes[before].element]):
-            stays[before] = nodes[before].penalty == 1
-            before -= 1
+        # the last heading before the root, others right before it, and what stands beside the root after them
+        near = page.within({page.parent[root]}) if root else in_root
+        before = next((k for k in range(first - 1, -1, -1) if nodes[k].size and heads[nodes[k].element] and nodes[k].penalty == 1), -1)
+        between = [k for k in range(before + 1, first) if nodes[k].size and not in_root[nodes[k].element] and nodes[k].penalty == 1 and not nodes[k].linked]
+        if before >= 0 and (near[nodes[before].element] or not between):
+            for k in between:
+                stays[k] = near[nodes[k].element]
+            while before >= 0 and (not nodes[before].size or heads[nodes[before].element]):
+                stays[before] = nodes[before].penalty == 1
+                before -= 1
     if not whole:
         # lists of links around the article
         kept = [n for n, ok in zip(nodes, stays, strict=True) if ok]

@@ -506,7 +506,10 @@ def by_hand(nodes):
         near = [(math.exp(-0.5 * (i - j) ** 2), ratio[nodes[j].path]) for j in range(max(0, i - 2), min(len(nodes), i + 3))]
         length, marks = (sum(w * r[k] for w, r in near) / sum(w for w, _ in near) for k in (0, 1))
         fused.append(math.sqrt(length * (1 + marks)) * n.penalty)
-    return [sum(f for f, m in zip(fused, nodes, strict=True) if m.path == n.path) / sum(m.path == n.path for m in nodes) for n in nodes]
+    held = {p: sum(len(n.text.strip()) for n in nodes if n.path == p and not n.linked) for p in ratio}
+    rest = sum(len(n.text.strip()) for n in nodes if n.penalty == 1 and not n.linked)
+    share = lambda n: held[n.path] / (held[n.path] + html.LONG) * (min(1, held[n.path] / rest) if n.penalty < 1 else 1)
+    return [share(n) * sum(f for f, m in zip(fused, nodes, strict=True) if m.path == n.path) / sum(m.path == n.path for m in nodes) for n in nodes]
 
 
 def plain_page(rng):
@@ -524,6 +527,9 @@ def test_html_paths_choose_the_text(monkeypatch):
     for page, want in pages:
         nodes = [n for n in html.Page().read(page).nodes if n.size]
         assert html.path_scores(nodes).tolist() == pytest.approx(by_hand(nodes))
+        lowered = {n.path for n in nodes[:5]}
+        nodes = [n._replace(penalty=0.35) if n.path in lowered else n for n in nodes]
+        assert html.path_scores(nodes).tolist() == pytest.approx(by_hand(nodes))
         assert html.main_text(page) == want
     # no node has a penalty here, so these are constant ratios
     monkeypatch.setattr(html, "path_scores", lambda nodes: np.ones(len(nodes)))
@@ -549,14 +555,31 @@ def test_html_of_the_tables(monkeypatch):
     # the article's tag isn't needed for this
     assert [html.main_text(re.sub(r"(</?)article", r"\1div", p)) for p in pages] == found
 
-    def penalties(nodes):
-        """Scores of the names alone: each path's mean penalty, its ratios all alike."""
-        _, at = np.unique([n.path for n in nodes], return_inverse=True)
-        return (np.bincount(at, [n.penalty for n in nodes]) / np.bincount(at))[at]
+    # nor are names: without them one page in eight at most is another
+    bare = [re.sub(r' (class|id|role)="[^"]*"', "", p) for p in pages]
+    assert sum(html.main_text(p) != f for p, f in zip(bare, found, strict=True)) <= len(pages) / 8
 
-    # on these pages names and tags decide: with constant ratios and the penalties kept, none changes
-    monkeypatch.setattr(html, "path_scores", penalties)
-    assert [html.main_text(p) for p in pages] == found
+    # tags and names kept, most pages are others with ratios that say nothing
+    rng = np.random.default_rng(10)
+
+    def drawn(nodes):
+        _, at = np.unique([n.path for n in nodes], return_inverse=True)
+        return rng.uniform(0.2, 1.2, at.max() + 1)[at]
+
+    for ratios in (lambda nodes: np.ones(len(nodes)), drawn):
+        monkeypatch.setattr(html, "path_ratios", ratios)
+        assert sum(html.main_text(p) != f for p, f in zip(pages, found, strict=True)) > len(pages) / 2
+
+
+def test_html_names_only_lower_scores():
+    # a named element is content where it holds as much as the rest, not where it holds less
+    text = "<p>One two three, four five six. Seven eight, nine ten eleven twelve.</p>"
+    body = f"<div>{text * 12}</div><div class=promo>%s</div>"
+    read = lambda part: " ".join(re.sub("<[^>]*>", " ", part).split())
+    assert html.main_text(PAGE % (body % (text * 3))) == read(text * 12)
+    assert html.main_text(PAGE % (body % (text * 11).replace("One", "Uno"))).startswith(read(text * 12) + " Uno")
+    # comments are prose too, so there names decide
+    assert html.main_text(PAGE % (f"<div>{text * 12}</div><div class=comments>{text * 20}</div>")) == read(text * 12)
 
 
 @pytest.mark.parametrize(
