@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import alignment, geometry, marking, pages, raster, results, validation
 from ..sources import matrices, store, templates
 from ..streaming import jobs
-from . import marking_job, scanning
+from . import marking_job, scanning, snippets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -451,6 +451,36 @@ def mark_drawn_sheets(spark, sf_dir):
     return good.unionByName(bad)
 
 
+# --- snippets
+
+
+@query(f"""WITH {BUBBLES_SQL},
+q AS (
+  SELECT p_partkey // 40 AS template_id, 'Q' || p_partkey % 25 AS question_id, p_size % 3 AS page_index, p_partkey,
+         min(x) - w // 2 - 10 AS x, min(y) - h // 2 - 10 AS y, greatest(0, max(x) + w // 2) + 10 AS x1, greatest(0, max(y) + h // 2) + 10 AS y1
+  FROM b JOIN part USING (p_partkey) GROUP BY p_partkey, p_size, w, h
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY template_id, question_id ORDER BY page_index DESC, p_partkey) AS k FROM q),
+p AS (SELECT DISTINCT o_orderkey AS scan_id, unnest(range(0, o_orderkey % 4)) AS page_index FROM orders),
+r AS (SELECT l_linenumber AS request, l_orderkey AS scan_id, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_partkey // 40 END AS template_id, 'Q' || l_suppkey % 30 AS question_id FROM lineitem)
+SELECT r.request, r.scan_id, r.template_id, r.question_id, CAST(o.page_index AS INT) AS page_index, p.scan_id * 10 + p.page_index AS page_id,
+CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(x1 - x AS INT) AS width, CAST(y1 - y AS INT) AS height,
+CASE WHEN r.template_id NOT IN (SELECT template_id FROM q) THEN 'template not found' WHEN o.k IS NULL THEN 'question not found' WHEN p.scan_id IS NULL THEN 'page not found' END AS error
+FROM r LEFT JOIN o ON o.k = 1 AND o.template_id = r.template_id AND o.question_id = r.question_id LEFT JOIN p ON p.scan_id = r.scan_id AND p.page_index = o.page_index""")
+def requested_snippets(spark, sf_dir):
+    """Templates of 40 parts each, a part's bubbles a question on one of three pages; line items ask for them of orders' scans."""
+    options = F.transform("options", lambda o: F.struct(o["label"].alias("label"), o["x"].alias("x"), o["y"].alias("y"), F.lit(0.0).alias("baselineBias")))
+    question = F.struct(F.concat(F.lit("Q"), F.col("p_partkey") % 25).alias("id"), F.col("w").alias("bubbleWidth"), F.col("h").alias("bubbleHeight"), F.lit("").alias("type"), options.alias("options"))
+    rows = bubbles(spark, sf_dir).join(t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    held = rows.groupBy(F.floor(F.col("p_partkey") / 40).alias("id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", (F.col("p_size") % 3).alias("page"), question.alias("question")))).alias("qs"))
+    on_page = lambda p: F.transform(F.filter("qs", lambda q: q["page"] == p), lambda q: q["question"])
+    template = F.struct(F.lit(None).cast(schemas.MARKING_CONFIG).alias("config"), F.array(*[F.struct(on_page(p).alias("questions")) for p in range(3)]).alias("pages"), F.lit(None).cast(schemas.MARKING_TEMPLATE["questions"].dataType).alias("questions"))
+    stored = t(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("scan_id"), F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 4 - 1).cast("int"))).alias("page_index"))
+    stored = stored.withColumn("id", F.col("scan_id") * 10 + F.col("page_index"))
+    asked = t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("request"), F.col("l_orderkey").alias("scan_id"), F.when(F.col("l_linenumber") == 7, F.lit(-1)).otherwise(F.floor(F.col("l_partkey") / 40)).alias("template_id"), F.concat(F.lit("Q"), F.col("l_suppkey") % 30).alias("question_id"))
+    return snippets.requested_snippets(asked, stored, held.select("id", template.alias("template")))
+
+
 # --- templates
 
 
