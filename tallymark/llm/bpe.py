@@ -26,7 +26,7 @@ from .common import fresh, lean, table
 from .words import SPACE, pieces
 
 #: Pieces whose encodings a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Characters encoded at once.
 BATCH_CHARS = 1_500_000
 #: Tokens decoded at once.
