@@ -144,9 +144,11 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
     found, name = scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
     spans = F.col(name)
     count = lambda test: F.coalesce(F.size(F.filter(spans, test)), F.lit(0)).cast("long")
+    # a test takes one argument: Spark hands the index to a second, whatever its default
+    of_kind = lambda k: lambda s: s["kind"] == k
     return found.select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(listed(spans, True).cast("binary"), 256).alias("base_sha256"),
         listed(spans, False).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),

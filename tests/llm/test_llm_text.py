@@ -323,6 +323,14 @@ def test_secrets_by_brute_force(spark):
     assert secrets.redact(odd(spark, empty=True)).count() == 0
 
 
+def test_secret_counts_follow_the_kinds(spark, tmp_path):
+    access, hexes, assign = "AKIA" + "Q" * 14, "deadbeef" * 2, "token=ABCDEFGHIJKL"
+    texts = {1: (f"{hexes} x {hexes} x {hexes}", 0, 0, 3), 2: (f"{access} {access} {assign}", 1, 2, 0), 3: (f"{assign} {access} {hexes}", 1, 1, 1), 4: (None, 0, 0, 0), 5: ("token=short", 0, 0, 0)}
+    spark.createDataFrame([(i, t[0], "s") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in secrets.op7_secrets(spark, str(tmp_path)).collect()}
+    assert got == {i: t[1:] for i, t in texts.items()}
+
+
 def test_secrets_in_long_texts_and_beside_candidates():
     rng = random.Random(8)
     letters = "ABCxyz0189+/_=- ."
