@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_blank
+from .affine import let
 
 
 def _rule(stage: Column, bad: Column, message: Column | str) -> Column:
@@ -68,25 +69,31 @@ def _page_rules(p: Column, page: Column) -> Column:
     return F.concat(empty, _each(p["questions"], lambda q, k: _question_rules(q, k, page, at)))
 
 
-def marking_violations(templates: DataFrame, id_col: str = "id", template: str = "template") -> DataFrame:
-    """(id, position, message) of marking templates; a row for each broken rule.
+def _repeated_ids(pages: Column) -> Column:
+    """Questions whose id an earlier one of the document has, on any of its pages: each is beside it once they are sorted."""
+    questions = lambda p, page: F.transform(F.coalesce(p["questions"], F.array()), lambda q, k: F.struct(F.coalesce(q["id"], F.lit("")).alias("qid"), page.alias("page"), k.alias("question")))
+    message = lambda x: F.concat(F.lit("pages["), x["page"].cast("string"), F.lit(']: duplicate question id "'), x["qid"], F.lit('"'))
+    twice = lambda some: _each(some, lambda x, k: _broken(_rule(_place(2, x["page"], x["question"], 0), (k > 0) & (F.get(some, k - 1)["qid"] == x["qid"]), message(x))))
+    return let(F.array_sort(F.flatten(F.transform(F.coalesce(pages, F.array()), questions))), twice)
 
-    A document's own rules are one projection; only question ids that repeat, on any of its pages, are found by grouping.
-    """
-    t = F.col(template)
+
+def marking_rules(t: Column) -> Column:
+    """The broken rules of a marking template, as an array of (position, message)."""
     config = t["config"]
     checks = [(name, _outside(config[name]), "must be between 0 and 1") for name in ("fillThreshold", "selectionThreshold", "bubbleInset", "flagThreshold")]
     checks += [(name, config[name] < 0, "must be nonnegative") for name in ("searchRadius", "searchGroupSize", "groupSearchRadius")]
     rules = [_rule(_place(0, k), bad, f"config: {name} {text}") for k, (name, bad, text) in enumerate(checks)]
     rules.append(_rule(_place(1), F.coalesce(F.size(t["pages"]), F.lit(0)) < 1, "pages must contain at least one page"))
-    inside = templates.select(id_col, F.explode(F.concat(_broken(*rules), _each(t["pages"], _page_rules))).alias("r"))
+    return F.concat(_broken(*rules), _each(t["pages"], _page_rules), _repeated_ids(t["pages"]))
+
+
+def _listed(templates: DataFrame, rules: Column, id_col: str) -> DataFrame:
+    return templates.select(id_col, F.explode(rules).alias("r")).select(id_col, "r.position", "r.message")
 
-    questions = templates.select(id_col, F.posexplode(F.transform(t["pages"], lambda p: F.transform(p["questions"], lambda q: F.coalesce(q["id"], F.lit(""))))).alias("page", "ids")).select(id_col, "page", F.posexplode("ids").alias("question", "qid"))
-    places = questions.groupBy(id_col, "qid").agg(F.sort_array(F.collect_list(F.struct("page", "question"))).alias("places")).where(F.size("places") > 1)
-    twice = places.select(id_col, "qid", F.explode(F.slice("places", 2, F.size("places") - 1)).alias("x"))
-    message = F.concat(F.lit("pages["), F.col("x.page").cast("string"), F.lit(']: duplicate question id "'), F.col("qid"), F.lit('"'))
-    duplicates = twice.select(id_col, F.struct(_place(2, F.col("x.page"), F.col("x.question"), 0).alias("position"), message.alias("message")).alias("r"))
-    return inside.unionAll(duplicates).select(id_col, "r.position", "r.message")
+
+def marking_violations(templates: DataFrame, id_col: str = "id", template: str = "template") -> DataFrame:
+    """(id, position, message) of marking templates; a row for each broken rule. All of a document's rules are one projection."""
+    return _listed(templates, marking_rules(F.col(template)), id_col)
 
 
 def out_of_bounds(point: Column, width: Column, height: Column) -> Column:
@@ -94,12 +101,11 @@ def out_of_bounds(point: Column, width: Column, height: Column) -> Column:
     return ~(point["x"].between(0, width) & point["y"].between(0, height))
 
 
-def preprocessing_violations(templates: DataFrame, id_col: str = "id", template: str = "template", all_anchors: bool = False) -> DataFrame:
-    """(id, position, message) of preprocessing templates.
+def preprocessing_rules(t: Column, all_anchors: bool = False) -> Column:
+    """The broken rules of a preprocessing template, as an array of (position, message).
 
     Only each page's first anchor is held against the page's bounds, unless `all_anchors` is set.
     """
-    t = F.col(template)
     c = t["config"]
     block = F.coalesce(c["adaptiveBlockSize"], F.lit(0))
     checks = [
@@ -114,17 +120,38 @@ def preprocessing_violations(templates: DataFrame, id_col: str = "id", template:
         (block % 2 == 0, "adaptiveBlockSize must be odd"),
         (block <= 0, "adaptiveBlockSize must be positive"),
     ]
-    whole = templates.select(id_col, F.explode(F.filter(F.array(*[_rule(_place(0, k), bad, text) for k, (bad, text) in enumerate(checks)]), lambda r: r.isNotNull())).alias("r"))
-    pages = templates.select(id_col, t["width"].alias("w"), t["height"].alias("h"), F.posexplode(t["pages"]).alias("page", "p"))
-    few = pages.select(id_col, _rule(_place(1, F.col("page"), -1), F.coalesce(F.size("p.anchors"), F.lit(0)) < 3, "each page must have at least 3 anchors").alias("r")).where(F.col("r").isNotNull())
-    anchors = pages.select(id_col, "page", "w", "h", F.col("p.anchors").alias("all"), F.posexplode("p.anchors").alias("anchor", "a"))
-    held = F.col("a") if all_anchors else F.get(F.col("all"), F.lit(0))
-    rules = F.array(
-        _rule(_place(1, F.col("page"), F.col("anchor"), 0), F.coalesce(F.col("a.image"), F.lit("")) == "", "images must be set for each anchor"),
-        *[_rule(_place(1, F.col("page"), F.col("anchor"), k), out_of_bounds(p, F.col("w"), F.col("h")), f"{name} is out of bounds") for k, (name, p) in enumerate((("center", held["center"]), ("roi.min", held["roi"]["min"]), ("roi.max", held["roi"]["max"])), 1)],
-    )
-    per_anchor = anchors.select(id_col, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-    return whole.unionAll(few).unionAll(per_anchor).select(id_col, "r.position", "r.message")
+    whole = _broken(*[_rule(_place(0, k), bad, text) for k, (bad, text) in enumerate(checks)])
+
+    def of_page(p: Column, page: Column) -> Column:
+        few = _broken(_rule(_place(1, page, -1), F.coalesce(F.size(p["anchors"]), F.lit(0)) < 3, "each page must have at least 3 anchors"))
+
+        def of_anchor(a: Column, anchor: Column) -> Column:
+            held = a if all_anchors else F.get(p["anchors"], F.lit(0))
+            return _broken(
+                _rule(_place(1, page, anchor, 0), F.coalesce(a["image"], F.lit("")) == "", "images must be set for each anchor"),
+                *[_rule(_place(1, page, anchor, k), out_of_bounds(x, t["width"], t["height"]), f"{name} is out of bounds") for k, (name, x) in enumerate((("center", held["center"]), ("roi.min", held["roi"]["min"]), ("roi.max", held["roi"]["max"])), 1)],
+            )
+
+        return F.concat(few, _each(p["anchors"], of_anchor))
+
+    return F.concat(whole, _each(t["pages"], of_page))
+
+
+def preprocessing_violations(templates: DataFrame, id_col: str = "id", template: str = "template", all_anchors: bool = False) -> DataFrame:
+    """(id, position, message) of preprocessing templates; a row for each broken rule."""
+    return _listed(templates, preprocessing_rules(F.col(template), all_anchors), id_col)
+
+
+def first_and_count(templates: DataFrame, rules: Column, id_col: str = "id") -> DataFrame:
+    """(id, message, violations) of the documents that break one of `rules`: the first in document order, and how many there are.
+
+    Both are worked out in a document's own row, so that one slim row of it is shuffled. Rows are dealt by id before they
+    are grouped: texts are grouped by sorting, and the rows of a whole file would be sorted where it is read.
+    """
+    found = let(rules, lambda r: F.struct(F.array_min(r).alias("first"), F.size(r).cast("long").alias("n")))
+    rows = templates.select(id_col, found.alias("found")).repartition(id_col)
+    counted = rows.groupBy(id_col).agg(F.min("found.first").alias("first"), F.sum("found.n").alias("violations"))
+    return counted.where("violations > 0").select(id_col, "first.message", "violations")
 
 
 def first_violations(violations: DataFrame, id_col: str = "id") -> DataFrame:

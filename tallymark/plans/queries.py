@@ -358,6 +358,11 @@ def tasks(spark) -> int:
     return 4 * spark.sparkContext.defaultParallelism
 
 
+def part_keys(spark, sf_dir) -> DataFrame:
+    """(p_partkey, p_size), dealt to all cores: a file of parts is small, and what is made of each is not."""
+    return t(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(tasks(spark), "p_partkey")
+
+
 # --- pixels: a drawn sheet for each part, one bubble of four filled, or none, or no page at all
 
 
@@ -375,7 +380,7 @@ def drawn_pages(spark, sf_dir) -> DataFrame:
                 pages.append(None if key % 10 == 0 else matrices.to_row(page))
             yield pd.DataFrame({"scan_id": batch["scan_id"], "page_index": 0, "binary": pages})
 
-    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("scan_id"), "p_size").repartition(tasks(spark), "scan_id")
+    parts = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("scan_id"), "p_size")
     return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
 
 
@@ -503,10 +508,8 @@ def template_violations(spark, sf_dir):
     first = question(F.lit("Q1"), s % 6 - 1, F.when(s % 3 == 0, "many").otherwise("multi"), F.array(opt(F.lit("A"), s - 7), opt(F.when(s % 4 == 0, "A").otherwise("B"), F.lit(3))))
     second = question(F.when(s % 7 == 0, "Q1").otherwise("Q2"), F.lit(8), F.lit(""), F.array(opt(F.lit("A"), F.lit(0))))
     config = F.struct((s / 40.0).alias("fillThreshold"), F.lit(0.1).alias("selectionThreshold"), F.lit(0.7).alias("bubbleInset"), F.lit(0.5).alias("flagThreshold"), (s % 5 - 1).alias("searchRadius"), F.lit(0).alias("searchGroupSize"), F.lit(0).alias("groupSearchRadius"))
-    docs = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.struct(config.alias("config"), F.array(F.struct(F.array(first, second).alias("questions"))).alias("pages")).alias("template"))
-    found = validation.marking_violations(docs)
-    counts = found.groupBy("id").agg(F.min(F.struct("position", "message")).alias("f"), F.count("*").alias("violations"))
-    return counts.select("id", "f.message", "violations")
+    docs = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.struct(config.alias("config"), F.array(F.struct(F.array(first, second).alias("questions"))).alias("pages")).alias("template"))
+    return validation.first_and_count(docs, validation.marking_rules(F.col("template")))
 
 
 @query("""
@@ -525,7 +528,7 @@ def config_violations(spark, sf_dir):
         (s % 5 - 1).alias("searchRadius"), (k % 7 - 2).cast("int").alias("searchGroupSize"), (k % 11 - 3).cast("int").alias("groupSearchRadius"))
     option = F.struct(F.lit("A").alias("label"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(0.0).alias("baselineBias"))
     one = F.struct(F.lit("Q1").alias("id"), F.lit(9).alias("bubbleWidth"), F.lit(9).alias("bubbleHeight"), F.lit("").alias("type"), F.array(option).alias("options"))
-    docs = t(spark, sf_dir, "part").select(k.alias("id"), F.struct(config.alias("config"), F.array(F.struct(F.array(one).alias("questions"))).alias("pages")).alias("template"))
+    docs = part_keys(spark, sf_dir).select(k.alias("id"), F.struct(config.alias("config"), F.array(F.struct(F.array(one).alias("questions"))).alias("pages")).alias("template"))
     return validation.marking_violations(docs).select("id", F.get("position", F.lit(1)).alias("place"), "message")
 
 
@@ -556,10 +559,8 @@ def scan_template_violations(spark, sf_dir):
     some = lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < n), anchor)
     config = F.struct((k % 6).cast("int").alias("blurSize"), (k % 5 - 1).cast("int").alias("morphCloseSize"), (k % 11 / F.lit(10.0)).alias("minAnchorConfidence"), (k % 7 * 3).cast("int").alias("adaptiveBlockSize"))
     template = F.struct((s - 2).alias("width"), (s % 4 * 9).alias("height"), config.alias("config"), F.array(F.struct(some(F.lit(3)).alias("anchors")), F.struct(some(k % 5).alias("anchors"))).alias("pages"))
-    docs = t(spark, sf_dir, "part").select(k.alias("id"), template.alias("template"))
-    found = validation.preprocessing_violations(docs)
-    first = validation.first_violations(found)
-    return found.groupBy("id").agg(F.count("*").alias("violations")).join(first, "id").select("id", "message", "violations")
+    docs = part_keys(spark, sf_dir).select(k.alias("id"), template.alias("template"))
+    return validation.first_and_count(docs, validation.preprocessing_rules(F.col("template")))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.K') AS BIGINT), 7) AS limited FROM events")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import format_bytes, readable
 from ..operators.raster import anchor_patterns
-from ..operators.validation import first_violations, marking_violations, preprocessing_violations
+from ..operators.validation import first_and_count, marking_rules, preprocessing_rules
 from ..schemas import MARKING_TEMPLATE, PREPROCESSING_TEMPLATE, TABLES
 from .cuts import cut, drop
 from .templates import parse, whole_marking, whole_preprocessing
@@ -147,7 +147,7 @@ class Store:
     def save_marking_documents(self, documents: DataFrame) -> DataFrame:
         """Check whole template documents (id, json) and store the good ones under their ids; gives (id, error) of each, the first violation in document order."""
         read = parse(documents.select("id", "json"), MARKING_TEMPLATE).withColumn("template", whole_marking(F.col("template")))
-        broken = first_violations(marking_violations(read.where(~F.col("malformed")).select("id", "template")))
+        broken = first_and_count(read.where(~F.col("malformed")).select("id", "template"), marking_rules(F.col("template"))).drop("violations")
         message = F.when(F.col("malformed"), MALFORMED).otherwise(F.col("message"))
         verdicts = cut(read.join(broken, "id", "left").select("id", "json", message.alias("error")), "verdicts")
         self.append("marking_templates", verdicts.where(F.col("error").isNull()).select("id", "json"))
@@ -161,7 +161,7 @@ class Store:
         of documents that break a rule aren't decoded. Pixels and verdicts are cut tables, which hold for this call.
         """
         read = parse(documents.select("id", "json"), PREPROCESSING_TEMPLATE).withColumn("template", whole_preprocessing(F.col("template")))
-        broken = first_violations(preprocessing_violations(read.where(~F.col("malformed")).select("id", "template")))
+        broken = first_and_count(read.where(~F.col("malformed")).select("id", "template"), preprocessing_rules(F.col("template"))).drop("violations")
         checked = read.join(broken, "id", "left")
         sound = checked.where(~F.col("malformed") & F.col("message").isNull())
         pages = sound.select("id", F.col("template.config").alias("config"), F.posexplode("template.pages").alias("page_index", "page"))

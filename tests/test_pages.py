@@ -82,6 +82,36 @@ def test_preprocessing_rules(spark):
     assert "4" in strict
 
 
+def test_first_and_count_by_row(spark):
+    anchor = '{"image":"x","center":{"x":%d,"y":1},"roi":{"min":{"x":0,"y":0},"max":{"x":5,"y":5}}}'
+    doc = '{"width":10,"height":10,"config":{"blurSize":3,"morphCloseSize":%d,"minAnchorConfidence":0.5,"adaptiveBlockSize":91},"pages":[null,{"anchors":[%s]},{}]}'
+    texts = [("a", doc % (3, ",".join([anchor % 10] * 3))), ("b", doc % (-1, ",".join([anchor % 11, anchor % 1]))), ("b", doc % (-1, "")), ("c", None)]
+    df = templates.parse(spark.createDataFrame(texts, "id string, json string"), schemas.PREPROCESSING_TEMPLATE).repartition(2)
+    found = validation.preprocessing_violations(df)
+    want = {r.id: (r.message, r.n) for r in validation.first_violations(found).join(found.groupBy("id").agg(F.count("*").alias("n")), "id").collect()}
+    few = "each page must have at least 3 anchors"
+    assert want == {"a": (few, 2), "b": ("morphCloseSize must be nonnegative", 2 + 3 + 2 + 3), "c": ("at least one page must be included", 4)}
+    assert {r.id: (r.message, r.violations) for r in validation.first_and_count(df, validation.preprocessing_rules(F.col("template"))).collect()} == want
+
+
+def test_ids_that_repeat_on_any_page(spark):
+    question = '{"id":"%s","bubbleWidth":1,"bubbleHeight":1,"options":[{"label":"A","x":1,"y":1}]}'
+    page = lambda *ids: '{"questions":[%s]}' % ",".join(question % i for i in ids)
+    (one,) = templates.parse(spark.createDataFrame([("1", '{"pages":[%s,{},null,%s]}' % (page("x", "y", "x"), page("z", "x", "y")))], "id string, json string"), schemas.MARKING_TEMPLATE).select("id", "template").collect()
+    found = validation.marking_violations(spark.createDataFrame([one, one], "id string, template " + schemas.MARKING_TEMPLATE.simpleString()))
+    got = sorted((list(r.position), r.message) for r in found.where("message like '%duplicate%'").collect())
+    assert got == [x for x in [([2, 0, 2, 0], 'pages[0]: duplicate question id "x"'), ([2, 3, 1, 0], 'pages[3]: duplicate question id "x"'), ([2, 3, 2, 0], 'pages[3]: duplicate question id "y"')] for _ in range(2)]
+
+
+@pytest.mark.parametrize("name", ["scan_template_violations", "template_violations"])
+def test_violations_are_grouped_where_their_ids_meet(spark, name):
+    from tallymark.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # from the root down: what sorts and groups texts comes before the exchange of slim rows; nothing is exploded below it
+    assert plan.rindex("Sort") < plan.index("Exchange") and "Generate" not in plan
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     assert store.read("scans").count() == 0
