@@ -1,5 +1,8 @@
 """Pixels: masks, thresholds, anchors, warps, and sheets from end to end."""
 
+import itertools
+import math
+
 import numpy as np
 import pixel_arrays
 import pytest
@@ -157,6 +160,42 @@ def test_anchor():
         raster.find_anchor(field, pattern, (0, 0, 300, 300), 2.0)
 
 
+def test_anchor_turns_share_the_fields_transform(monkeypatch):
+    rng = np.random.default_rng(4)
+    page = np.where(raster.blur(rng.integers(0, 256, (97, 89)).astype(np.uint8), 9) > 128, 255, 0).astype(np.uint8)
+    pattern = page[31:54, 40:57].copy()
+    calls = []
+    rfft2 = np.fft.rfft2
+    monkeypatch.setattr(np.fft, "rfft2", lambda *args: calls.append(1) or rfft2(*args))
+    want = raster.find_anchor(page, pattern, (10, 5, 83, 88), 0.3)
+    first, calls = len(calls), calls.clear() or calls
+    # a second page with the same pattern: one transform, of its region; there were two for each turn
+    assert raster.find_anchor(page, pattern, (10, 5, 83, 88), 0.3) == want == (40 + 8, 31 + 11) and len(calls) == 1 < first
+    # the score at each place is the correlation coefficient, by brute force, also where all is blank
+    page[5:40, 10:40] = 0
+    spectrum, power, shape = raster._field_parts(page[5:88, 10:83], *pattern.shape)
+    own, strength = raster._pattern_parts(pattern.tobytes(), pattern.shape, 1.5, shape)
+    cross = np.fft.irfft2(spectrum * own, shape)[22 : 22 + power.shape[0], 16 : 16 + power.shape[1]]
+    turned = raster.rotate(pattern, 1.5).astype(float).ravel()
+    for y, x in ((0, 0), (3, 2), (26, 30), (40, 41), (60, 56)):
+        part = page[5 + y : 28 + y, 10 + x : 27 + x].astype(float).ravel()
+        product = ((part - part.mean()) * (turned - turned.mean())).sum()
+        assert abs(cross[y, x] - product) < 1e-3 and abs(power[y, x] * strength - ((part - part.mean()) ** 2).sum() * ((turned - turned.mean()) ** 2).sum()) < 1e-3 * max(1, power[y, x] * strength)
+
+
+def test_pages_warped_together():
+    rng = np.random.default_rng(5)
+    pages = [rng.integers(0, 256, (20, 31)).astype(np.uint8) for _ in range(2)]
+    forward = np.array([[1.1, 0.2, -3.5], [-0.1, 0.9, 2.25]])
+    back = np.linalg.inv(np.vstack([forward, [0, 0, 1]]))
+    for page, got in zip(pages, raster.warp_all(pages, forward, 40, 25), strict=True):
+        for v, u in itertools.product(range(25), range(40)):
+            x, y = back[0, 0] * u + back[0, 1] * v + back[0, 2], back[1, 0] * u + back[1, 1] * v + back[1, 2]
+            x0, y0 = math.floor(x), math.floor(y)
+            level = sum(float(page[j, i]) * abs(1 - abs(x - i)) * abs(1 - abs(y - j)) for i in (x0, x0 + 1) for j in (y0, y0 + 1) if 0 <= i < 31 and 0 <= j < 20)
+            assert abs(got[v, u] - level) <= 0.5 + 1e-6
+
+
 def test_warp_and_lines():
     out = raster.warp(page(A, size=200), np.array([[1.0, 0, 5], [0, 1, 5]]), 200, 200)
     assert out[120, 70] == 255 and out[0, 0] == 0
