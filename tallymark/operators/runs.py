@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import readable
 from ..sources.cuts import cut, join_small
 from . import alignment, intervals
+from .affine import let
 from .raster import EMPTY_PAGE, GUARD_INSET, NO_QUESTIONS, half_widths
 
 #: Pixels of a bin.
@@ -40,16 +41,29 @@ def ink_runs(pages: DataFrame, keys: list[str], matrix: str = "binary", lines: D
     if lines is not None:
         some = join_small(some, lines, list(lines.columns), "left_semi")
     line = F.decode(F.substring("data", F.col("y") * F.col("cols") + 1, F.col("cols")), "ISO-8859-1")
-    rows = some.select(*keys, "y", line.alias("line"))
-    # of k runs: k lengths of ink, and k + 1 of blank, the first and last of which may be 0
-    ink = F.filter(F.transform(F.split("line", "\x00+"), F.length), lambda n: n > 0)
-    blank = F.transform(F.split("line", "[^\x00]+"), F.length)
-    rows = rows.select(*keys, "y", ink.alias("ink"), blank.alias("blank")).where(F.size("ink") > 0)
-    step = lambda a, n, k: F.struct((a["at"] + F.get("blank", k) + n).alias("at"), F.concat(a["runs"], F.array(F.struct((a["at"] + F.get("blank", k)).alias("x0"), (a["at"] + F.get("blank", k) + n).alias("x1")))).alias("runs"))
+    rows = some.select(*keys, "y", line.alias("line")).select(*keys, "y", "line", F.ltrim("line", F.lit(_BLANK)).alias("rest")).where("rest <> ''")
+    x0, core = F.length("line") - F.length("rest"), F.rtrim("rest", F.lit(_BLANK))
+    # most lines have one run, which what is blank on both sides tells without a pattern
+    one = F.array(F.struct(x0.alias("x0"), (x0 + F.length(core)).alias("x1")))
+    return rows.select(*keys, "y", F.inline(F.when(F.instr(core, _BLANK) == 0, one).otherwise(_several(F.col("line")))))
+
+
+#: A pixel without ink.
+_BLANK = "\x00"
+
+
+def _several(line: Column) -> Column:
+    """All runs of a line: of k there are k lengths of ink, and k + 1 of blank, the first and last of which may be 0."""
+    ink = F.filter(F.transform(F.split(line, "\x00+"), F.length), lambda n: n > 0)
+    blank = F.transform(F.split(line, "[^\x00]+"), F.length)
+    numbered = F.transform(ink, lambda n, k: F.struct(n.alias("n"), k.alias("k")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<x0:int,x1:int>>").alias("runs"))
-    numbered = F.transform("ink", lambda n, k: F.struct(n.alias("n"), k.alias("k")))
-    runs = F.aggregate(numbered, start, lambda a, x: step(a, x["n"], x["k"]), lambda a: a["runs"])
-    return rows.select(*keys, "y", F.inline(runs))
+
+    def step(a: Column, x: Column, blank: Column) -> Column:
+        first = a["at"] + F.get(blank, x["k"])
+        return F.struct((first + x["n"]).alias("at"), F.concat(a["runs"], F.array(F.struct(first.alias("x0"), (first + x["n"]).alias("x1")))).alias("runs"))
+
+    return let(blank, lambda b: F.aggregate(numbered, start, lambda a, x: step(a, x, b), lambda a: a["runs"]))
 
 
 def disk_rows(radii: DataFrame) -> DataFrame:

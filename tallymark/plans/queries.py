@@ -13,6 +13,7 @@ from .. import schemas
 from ..functions import scalars as S
 from ..operators import alignment, geometry, marking, pages, raster, results, validation
 from ..sources import matrices, store, templates
+from ..sources.cuts import cut
 from ..streaming import jobs
 from . import marking_job, scanning, snippets
 
@@ -445,7 +446,8 @@ SELECT p_partkey AS scan_id, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 7 <>
 CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 7 = 0 END AS flagged, CASE WHEN p_partkey % 10 <> 0 THEN 1.0::DOUBLE END AS confidence,
 CASE WHEN p_partkey % 10 = 0 THEN 'page 0: cannot evaluate an empty image' END AS error FROM part""")
 def mark_drawn_sheets(spark, sf_dir):
-    pages_ = drawn_pages(spark, sf_dir)
+    # stored pages: the job reads them three times, and what asks for ids alone reads no pixels
+    pages_ = cut(drawn_pages(spark, sf_dir), "drawn-pages")
     scans = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     requests = scans.select(F.floor(F.col("id") / 40).alias("job"), F.col("id").alias("position"), F.col("id").alias("scan_id"), F.lit("sheet").alias("template_id"))
     _, result = marking_job.run_job(requests, scans, pages_, sheet_template(spark))

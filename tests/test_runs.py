@@ -87,3 +87,17 @@ def test_a_side_too_large_to_send_is_salted(spark):
     salted = cuts.join_small(large, small, ["k", "i"], limit=0)
     assert sorted(salted.collect(), key=str) == want and len(want) == 200 and sum(r.v is None for r in want) == 33
     cuts.drop(small)
+
+
+def test_lines_of_one_run_and_of_several(spark):
+    lines = [b"\x00\x00\x00\x00", b"\xff\xff\xff\xff", b"\x00\x01\xff\x00", b"\xff\x00\x00\xff", b"\x00\x00\x00\x80", b"\x20\x00\x20\x00"]
+    page = [("p", {"rows": len(lines), "cols": 4, "data": b"".join(lines)})]
+    got = sorted((r.y, r.x0, r.x1) for r in runs.ink_runs(spark.createDataFrame(page, f"k string, binary {M}"), ["k"]).collect())
+    assert got == [(1, 0, 4), (2, 1, 3), (3, 0, 1), (3, 3, 4), (4, 3, 4), (5, 0, 1), (5, 2, 3)]
+
+
+def test_drawn_sheets_are_stored_before_they_are_marked(spark):
+    from tallymark.plans import queries
+
+    # what asks for scans and their pages by id reads stored columns; it drew all pages again
+    assert "MapInPandas" not in queries.mark_drawn_sheets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
