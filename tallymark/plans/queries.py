@@ -370,16 +370,17 @@ def part_keys(spark, sf_dir) -> DataFrame:
 def drawn_pages(spark, sf_dir) -> DataFrame:
     """(scan_id, page_index, binary): parts' sheets; of every seven one is blank, of every ten one is missing its pixels."""
 
+    def drawn(key, size):
+        page = np.zeros((40, 160), dtype=np.uint8)
+        if key % 7:
+            x = 20 + 40 * (size % 4)
+            page[5:35, x - 15 : x + 15][raster.disk(30, 30, 11)] = 255
+        return key, 0, None if key % 10 == 0 else matrices.to_row(page)
+
     def work(batches):
         for batch in batches:
-            pages = []
-            for key, size in zip(batch["scan_id"], batch["p_size"], strict=True):
-                page = np.zeros((40, 160), dtype=np.uint8)
-                if key % 7:
-                    x = 20 + 40 * (size % 4)
-                    page[5:35, x - 15 : x + 15][raster.disk(30, 30, 11)] = 255
-                pages.append(None if key % 10 == 0 else matrices.to_row(page))
-            yield pd.DataFrame({"scan_id": batch["scan_id"], "page_index": 0, "binary": pages})
+            for rows in matrices.portions(map(drawn, batch["scan_id"], batch["p_size"])):
+                yield pd.DataFrame(rows, columns=["scan_id", "page_index", "binary"])
 
     parts = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("scan_id"), "p_size")
     return parts.mapInPandas(work, f"scan_id long, page_index int, binary {schemas.MATRIX.simpleString()}")
@@ -418,8 +419,9 @@ def drawn_exams(spark, sf_dir) -> DataFrame:
         sheets = [exam_page(0), exam_page(1)]
         ways = [sheets, sheets[::-1], [sheets[0][::-1, ::-1], sheets[1]], [sheets[0]] * 2, [sheets[0], np.full_like(sheets[0], 200)], [None, sheets[1]], [*sheets, sheets[0]]]
         for batch in batches:
-            rows = [(key, "exam", i, None if g is None else matrices.to_row(g)) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)])]
-            yield pd.DataFrame(rows, columns=["doc", "template_id", "page", "gray"])
+            rows = ((key, "exam", i, None if g is None else matrices.to_row(g)) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)]))
+            for some in matrices.portions(rows):
+                yield pd.DataFrame(some, columns=["doc", "template_id", "page", "gray"])
 
     keys = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc")).repartition(tasks(spark), "doc")
     return keys.mapInPandas(work, f"doc long, template_id string, page int, gray {schemas.MATRIX.simpleString()}")

@@ -1,16 +1,18 @@
 """Pixels: masks, thresholds, anchors, warps, and sheets from end to end."""
 
 import itertools
+import json
 import math
 
 import numpy as np
+import pandas as pd
 import pixel_arrays
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.operators import raster
-from tallymark.plans import marking_job
+from tallymark.plans import marking_job, queries
 from tallymark.sources import matrices, templates
 
 
@@ -246,3 +248,42 @@ def test_images_to_gray(spark):
     df = spark.createDataFrame([(("a", 120, 130, 3, 16, bytearray(rgb.tobytes())),), (("b", 50, 130, 1, 0, bytearray(50 * 130)),)], f"image {kind}")
     red, small = matrices.gray_of_images(df).select(F.col("matrix")).collect()
     assert matrices.from_row(red.matrix)[0, 0] == 76 and small.matrix is None
+
+
+def test_pixels_leave_a_worker_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, work, schema: work)
+
+    def parts(work, batch, column):
+        """The frames that a worker gives, none of which holds much more than a portion; it gave a whole batch as one."""
+        frames = list(work(iter([batch])))
+        pixels = [[0 if m is None else len(m["data"]) for m in f[column]] for f in frames]
+        assert len(frames) > 1 and all(sum(some[:-1]) < matrices.PORTION_BYTES for some in pixels)
+        return pd.concat(frames)
+
+    docs = parts(queries.drawn_exams(spark, "/root/testdata/sf0.001"), pd.DataFrame({"doc": range(140)}), "gray")
+    assert list(zip(docs["doc"], docs["page"], strict=True)) == [(k, i) for k in range(140) for i in range(3 if k % 7 == 6 else 2)]
+    sheets = parts(queries.drawn_pages(spark, "/root/testdata/sf0.001"), pd.DataFrame({"scan_id": range(1000), "p_size": 1}), "binary")
+    assert list(sheets["scan_id"]) == list(range(1000)) and [m is None for m in sheets["binary"]] == [k % 10 == 0 for k in range(1000)]
+
+    kind, template = schemas.MATRIX.simpleString(), queries.exam_template(spark).first()
+    known = json.dumps({"width": 160, "height": 160, "config": template.template.config.asDict(), "anchors": [a.asDict(True) for a in template.template.pages[0].anchors]})
+    n = 180
+    gray = [matrices.to_row(queries.exam_page(0)) if k % 50 else None for k in range(n)]
+    batch = pd.DataFrame({"doc": range(n), "gray": gray, "text": known, "patterns": [template.grid[0]] * n})
+    found = parts(raster.locate_anchors(spark.createDataFrame([], f"doc long, gray {kind}, text string, patterns array<{kind}>"), template_page="text"), batch, "binary")
+    assert list(found["doc"]) == list(range(n)) and list(found["error"].isna()) == [bool(k % 50) for k in range(n)]
+    found["map"], found["size"] = [{"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 1.0, "f": 0.0}] * n, [{"width": 200, "height": 200}] * n
+    straight = parts(raster.warp_pages(spark.createDataFrame([], f"gray {kind}, points array<double>, map map<string,double>, size map<string,int>, binary {kind}, turned boolean, error string, error_class string")), found, "picture")
+    assert list(straight["doc"]) == list(range(n)) and [m is None for m in straight["binary"]] == [k % 50 == 0 for k in range(n)]
+    cut = parts(raster.crop(spark.createDataFrame([], f"doc long, picture {kind}, bounds map<string,int>")), straight[["doc", "picture"]].assign(bounds=[{"x": 0, "y": 0, "width": 300, "height": 100}] * n), "snippet")
+    assert list(cut["doc"]) == list(range(n)) and [m is None for m in cut["snippet"]] == [k % 50 == 0 for k in range(n)]
+
+
+def test_regions_without_contrast_match_nothing():
+    pattern = np.zeros((9, 9), dtype=np.uint8)
+    pattern[2:7, 3:5] = 255
+    for level in (0, 255):
+        field = np.full((40, 40), level, dtype=np.uint8)
+        with pytest.raises(raster.PageError, match="0.00"):
+            raster.find_anchor(field, pattern, (5, 5, 35, 35), 0.8)
+        assert raster.find_anchor(field, pattern, (5, 5, 35, 35), 0.0) == (9, 9)
