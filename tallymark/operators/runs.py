@@ -40,16 +40,17 @@ def ink_runs(pages: DataFrame, keys: list[str], matrix: str = "binary", lines: D
     some = pages.where(readable(m)).select(*keys, m["cols"].alias("cols"), m["data"].alias("data"), F.explode(F.sequence(F.lit(0), m["rows"] - 1)).alias("y"))
     if lines is not None:
         some = join_small(some, lines, list(lines.columns), "left_semi")
+    # projections after one another, and no filter on what they work out: each text is made once
     line = F.decode(F.substring("data", F.col("y") * F.col("cols") + 1, F.col("cols")), "ISO-8859-1")
-    rows = some.select(*keys, "y", line.alias("line")).select(*keys, "y", "line", F.ltrim("line", F.lit(_BLANK)).alias("rest")).where("rest <> ''")
-    x0, core = F.length("line") - F.length("rest"), F.rtrim("rest", F.lit(_BLANK))
-    # most lines have one run, which what is blank on both sides tells without a pattern
-    one = F.array(F.struct(x0.alias("x0"), (x0 + F.length(core)).alias("x1")))
-    return rows.select(*keys, "y", F.inline(F.when(F.instr(core, _BLANK) == 0, one).otherwise(_several(F.col("line")))))
-
-
-#: A pixel without ink.
-_BLANK = "\x00"
+    split = some.select(*keys, "y", line.alias("line")).select(*keys, "y", "line", F.split("line", "\x00+").alias("inks"))
+    first, last = F.get("inks", F.lit(0)), F.get("inks", F.size("inks") - 1)
+    n = F.size("inks") - (first == "").cast("int") - (last == "").cast("int")
+    found = split.select(*keys, "y", "line", n.alias("n"), F.when(first != "", first).otherwise(F.get("inks", F.lit(1))).alias("ink"))
+    # most lines have one run, which is where its ink is first found
+    x0 = F.instr("line", F.col("ink")) - 1
+    placed = found.select(*keys, "y", x0.alias("x0"), F.length("ink").alias("width"), F.when(F.col("n") > 1, _several(F.col("line"))).alias("several"))
+    each = placed.select(*keys, "y", "x0", "width", F.explode_outer("several").alias("run"))
+    return each.select(*keys, "y", F.coalesce("run.x0", "x0").alias("x0"), F.coalesce("run.x1", F.col("x0") + F.col("width")).alias("x1")).where("x0 < x1")
 
 
 def _several(line: Column) -> Column:
@@ -120,18 +121,18 @@ def mask_areas(masks: DataFrame) -> DataFrame:
     return sums.select(*_OPTION, "score", (F.col("score") - F.col("hole")).alias("ring"), "guard")
 
 
-def page_sizes(pages: DataFrame) -> DataFrame:
-    """(KEYS, rows, cols, error) of pages (KEYS, binary), as a cut table: pixels are read for it once."""
+def page_sizes(pages: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, rows, cols, error) of pages (keys, binary), without their pixels."""
     m = F.col("binary")
     size = F.coalesce(F.length(m["data"]), F.lit(0))
     error = F.when(~readable(m), F.when(size == 0, EMPTY_PAGE).otherwise(F.format_string("%d bytes are no %s x %s matrix", size, m["rows"].cast("string"), m["cols"].cast("string"))))
-    return cut(pages.select(*KEYS, m["rows"].alias("rows"), m["cols"].alias("cols"), error.alias("error")), "page-sizes")
+    return pages.select(*keys, m["rows"].alias("rows"), m["cols"].alias("cols"), error.alias("error"))
 
 
 def surfaces(pages: DataFrame, sizes: DataFrame, fields: DataFrame) -> DataFrame:
     """(KEYS, ordinal, option, grp, radius, score, ring, guard): each option's fills at all offsets of its radius, dy by dy and dx by dx.
 
-    pages: (KEYS, binary); sizes: as page_sizes gives them. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place. Without a radius, ring and guard
+    pages: (KEYS, binary); sizes: as page_sizes gives them, cut. An array has (2 * radius + 1) ** 2 fills, and the middle one is the option's own place. Without a radius, ring and guard
     are not asked for, and 0.
     """
     masks = cut(mask_runs(fields), "masks")
@@ -161,7 +162,8 @@ def surfaces(pages: DataFrame, sizes: DataFrame, fields: DataFrame) -> DataFrame
 
         return F.transform(places, one)
 
-    return known.select(*KEYS, "ordinal", "option", "grp", "radius", *[fill(k).alias(k) for k in ("score", "ring", "guard")])
+    unasked = lambda kind: F.when(F.col("radius") > 0, fill(kind)).otherwise(F.array(F.lit(0.0))).alias(kind)
+    return known.select(*KEYS, "ordinal", "option", "grp", "radius", fill("score").alias("score"), unasked("ring"), unasked("guard"))
 
 
 def option_fills(pages: DataFrame, sizes: DataFrame, questions: DataFrame) -> DataFrame:
@@ -187,13 +189,14 @@ def option_fills(pages: DataFrame, sizes: DataFrame, questions: DataFrame) -> Da
     return per_question.select(*KEYS, "ordinal", F.col("o.fill").alias("fills"), F.col("o.dx").alias("dxs"), F.col("o.dy").alias("dys"))
 
 
-def measured(pages: DataFrame, questions: DataFrame) -> DataFrame:
+def measured(pages: DataFrame, questions: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(KEYS, ordinal, question, settings, fills, dxs, dys, error): a row per page and question; a page that can't be marked is one row with its error.
 
-    pages: (KEYS, binary); questions: as templates.questions gives them, few beside the pages.
+    pages: (KEYS, binary); questions: as templates.questions gives them, few beside the pages; sizes: page_sizes of the pages, where
+    they come cheaper than from these.
     """
     questions = cut(questions.select("template_id", "page_index", "ordinal", "question", "settings"), "questions")
-    sizes = page_sizes(pages)
+    sizes = cut(page_sizes(pages) if sizes is None else sizes, "page-sizes")
     fills = option_fills(pages, sizes, questions)
     rows = join_small(sizes, questions, ["template_id", "page_index"]).join(fills, [*KEYS, "ordinal"], "left")
     good = F.col("error").isNull() & F.col("ordinal").isNotNull()

@@ -10,13 +10,13 @@ from ..sources import templates as T
 from ..sources.cuts import cut, join_small
 
 
-def mark_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
+def mark_pages(pages: DataFrame, questions: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Answers of each (scan, question): pages (scan_id, template_id, page_index, binary), questions as templates.questions gives them.
 
     Fills come from the pages' run lengths, in DataFrame functions throughout. A page that can't be marked is one row with
-    its error and nulls.
+    its error and nulls. sizes: as runs.measured takes them.
     """
-    measured = runs.measured(pages, questions)
+    measured = runs.measured(pages, questions, sizes)
     flat = measured.select(
         "scan_id", "template_id", "page_index", "ordinal", "error", "settings", "dxs", "dys", "fills",
         F.col("question.id").alias("question_id"), F.coalesce("question.type", F.lit("")).alias("type"),
@@ -36,10 +36,13 @@ def run_job(requests: DataFrame, scans: DataFrame, scan_pages: DataFrame, templa
     sizes = templates.select(F.col("id").alias("template_id"), F.size(T.normal_pages()).alias("n_pages"))
     outcomes = results.requested_scans(requests, scans.select(F.col("id").alias("scan_id")), scan_pages.select("scan_id", "page_index"), sizes)
     outcomes = outcomes.join(requests.select("job", "position", "template_id"), ["job", "position"])
-    # the scans asked for are ids alone: pixels meet them where they are read while those are few
+    # the scans asked for are ids alone: pixels meet them where they are read while those are few, and by a shuffle, once, where they are many
     wanted = cut(outcomes.where(F.col("error").isNull()).select("scan_id", "template_id").distinct(), "wanted")
-    pages = join_small(scan_pages.select("scan_id", "page_index", "binary"), wanted, ["scan_id"], "inner").select("scan_id", "template_id", "page_index", "binary")
-    answers = mark_pages(pages, T.questions(templates))
+    asked = lambda rows: join_small(rows, wanted, ["scan_id"], "inner")
+    stored = scan_pages.select("scan_id", "page_index", "binary")
+    pages = asked(stored).select("scan_id", "template_id", "page_index", "binary")
+    sizes = asked(runs.page_sizes(stored, ["scan_id", "page_index"])).select("scan_id", "template_id", "page_index", "rows", "cols", "error")
+    answers = mark_pages(pages, T.questions(templates), sizes)
     mark = F.struct(F.col("question_id").alias("questionId"), F.col("flag").alias("flagged"), F.when(F.size("selected") > 0, F.col("selected")).alias("selected"), "confidence")
     bad = F.col("error").isNotNull()
     per_scan = answers.groupBy("scan_id", "template_id").agg(

@@ -370,14 +370,16 @@ def part_keys(spark, sf_dir) -> DataFrame:
 def drawn_pages(spark, sf_dir) -> DataFrame:
     """(scan_id, page_index, binary): parts' sheets; of every seven one is blank, of every ten one is missing its pixels."""
 
-    def drawn(key, size):
+    def sheet_with(mark: int | None) -> dict:
         page = np.zeros((40, 160), dtype=np.uint8)
-        if key % 7:
-            x = 20 + 40 * (size % 4)
+        if mark is not None:
+            x = 20 + 40 * mark
             page[5:35, x - 15 : x + 15][raster.disk(30, 30, 11)] = 255
-        return key, 0, None if key % 10 == 0 else matrices.to_row(page)
+        return matrices.to_row(page)
 
     def work(batches):
+        sheets = {mark: sheet_with(mark) for mark in (None, 0, 1, 2, 3)}
+        drawn = lambda key, size: (key, 0, None if key % 10 == 0 else sheets[size % 4 if key % 7 else None])
         for batch in batches:
             for rows in matrices.portions(map(drawn, batch["scan_id"], batch["p_size"])):
                 yield pd.DataFrame(rows, columns=["scan_id", "page_index", "binary"])
@@ -416,10 +418,11 @@ def drawn_exams(spark, sf_dir) -> DataFrame:
     """(doc, template_id, page, gray): suppliers' documents of two pages, some of them swapped, turned, twice the same, blank, without pixels, or three."""
 
     def work(batches):
-        sheets = [exam_page(0), exam_page(1)]
-        ways = [sheets, sheets[::-1], [sheets[0][::-1, ::-1], sheets[1]], [sheets[0]] * 2, [sheets[0], np.full_like(sheets[0], 200)], [None, sheets[1]], [*sheets, sheets[0]]]
+        front, back = exam_page(0), exam_page(1)
+        a, b, turned, blank = (matrices.to_row(g) for g in (front, back, front[::-1, ::-1], np.full_like(front, 200)))
+        ways = [[a, b], [b, a], [turned, b], [a, a], [a, blank], [None, b], [a, b, a]]
         for batch in batches:
-            rows = ((key, "exam", i, None if g is None else matrices.to_row(g)) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)]))
+            rows = ((key, "exam", i, g) for key in batch["doc"] for i, g in enumerate(ways[key % len(ways)]))
             for some in matrices.portions(rows):
                 yield pd.DataFrame(some, columns=["doc", "template_id", "page", "gray"])
 

@@ -101,3 +101,36 @@ def test_drawn_sheets_are_stored_before_they_are_marked(spark):
 
     # what asks for scans and their pages by id reads stored columns; it drew all pages again
     assert "MapInPandas" not in queries.mark_drawn_sheets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rows_of_small_files_are_not_sent_whole(spark):
+    # ids beside one text take little in files, and much in the driver's memory, which is what counts
+    many = cuts.cut(spark.range(cuts.MANY_ROWS + 1).select("id", F.lit("sheet").alias("t")), "many")
+    few = cuts.cut(spark.range(5000).select("id", F.lit("sheet" * 40).alias("t")), "few")
+    large = spark.range(0, 300_000, 3).withColumn("x", F.col("id") * 2)
+    for small, limit, found in ((many, 1 << 20, 33_334), (few, 1 << 18, 1_667)):
+        assert cuts.table_bytes(small) < limit < cuts.memory_of(small)[1]
+        met = cuts.join_small(large, small, ["id"], "inner", limit=limit)
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" not in plan and ("shuffle_hash" in plan) == (small is many)
+        assert met.where("t like 'sheet%' and x = 2 * id").count() == found
+    assert "broadcast" in cuts.join_small(large, few, ["id"], "inner")._jdf.queryExecution().optimizedPlan().toString()
+    for small in (many, few):
+        cuts.drop(small)
+
+
+def test_memory_of_nested_rows(spark):
+    rows = cuts.cut(spark.createDataFrame([(1, [["ab", None]], {"k": b"xyz"}), (2, None, None)], "a int, b array<array<string>>, c map<string,binary>"), "nested")
+    n, size = cuts.memory_of(rows)
+    assert n == 2 and 100 < size < 400
+    cuts.drop(rows)
+
+
+def test_pixels_asked_for_by_many_scans_are_shuffled_once(spark, monkeypatch):
+    from tallymark.plans import queries
+
+    want = sorted(queries.mark_drawn_sheets(spark, "/root/testdata/sf0.001").collect(), key=str)
+    monkeypatch.setattr(cuts, "MANY_ROWS", 50)
+    monkeypatch.setattr(cuts.join_small, "__defaults__", ("left", 16, 2000))
+    got = queries.mark_drawn_sheets(spark, "/root/testdata/sf0.001")
+    assert sorted(got.collect(), key=str) == want and len(want) == 200
