@@ -11,8 +11,10 @@ def requested_scans(requests: DataFrame, scans: DataFrame, pages: DataFrame, tem
 
     requests: (job, position, scan_id, template_id); scans: (scan_id); pages: (scan_id, page_index); template_pages: (template_id, n_pages).
     """
-    counted = pages.groupBy("scan_id").agg(F.count("*").alias("n_pages"))
-    found = requests.join(scans.select("scan_id", F.lit(True).alias("_stored")).distinct(), "scan_id", "left").join(counted, "scan_id", "left")
+    # as many as there are scans: Spark would take them for few by the size of packed files, and gather them in the driver
+    counted = pages.groupBy("scan_id").agg(F.count("*").alias("n_pages")).hint("shuffle_hash")
+    stored = scans.select("scan_id", F.lit(True).alias("_stored")).distinct().hint("shuffle_hash")
+    found = requests.join(stored, "scan_id", "left").join(counted, "scan_id", "left")
     found = found.join(template_pages.select("template_id", F.col("n_pages").alias("_wanted")), "template_id", "left")
     n = F.coalesce("n_pages", F.lit(0))
     error = (

@@ -35,7 +35,7 @@ def run_job(requests: DataFrame, scans: DataFrame, scan_pages: DataFrame, templa
     """
     sizes = templates.select(F.col("id").alias("template_id"), F.size(T.normal_pages()).alias("n_pages"))
     outcomes = results.requested_scans(requests, scans.select(F.col("id").alias("scan_id")), scan_pages.select("scan_id", "page_index"), sizes)
-    outcomes = outcomes.join(requests.select("job", "position", "template_id"), ["job", "position"])
+    outcomes = outcomes.join(requests.select("job", "position", "template_id").hint("shuffle_hash"), ["job", "position"])
     # the scans asked for are ids alone: pixels meet them where they are read while those are few, and by a shuffle, once, where they are many
     wanted = cut(outcomes.where(F.col("error").isNull()).select("scan_id", "template_id").distinct(), "wanted")
     asked = lambda rows: join_small(rows, wanted, ["scan_id"], "inner")

@@ -91,7 +91,7 @@ def exam_outcomes(straight: DataFrame) -> DataFrame:
     counted by a grouping; an exam's pages meet in windows over one slim frame.
     """
     slim = straight.select("doc", "n_places", "exam", "place", "template_page", F.col("error_class").alias("why"))
-    docs = slim.groupBy("doc").agg(F.count("*").alias("n"), F.first("n_places").alias("m"))
+    docs = slim.groupBy("doc").agg(F.count("*").alias("n"), F.first("n_places").alias("m")).hint("shuffle_hash")  # not few, however small their files
     parts = F.when(F.coalesce("m", F.lit(0)) < 1, "template not found").when(F.col("n") % F.nullif(F.col("m"), F.lit(0)) != 0, F.format_string("%d pages don't divide into exams of %d", "n", "m"))
     rows = slim.join(docs.select("doc", parts.alias("count_error")), "doc")
     why = F.collect_set("why").over(Window.partitionBy("doc", "exam"))

@@ -134,3 +134,20 @@ def test_pixels_asked_for_by_many_scans_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(cuts.join_small, "__defaults__", ("left", 16, 2000))
     got = queries.mark_drawn_sheets(spark, "/root/testdata/sf0.001")
     assert sorted(got.collect(), key=str) == want and len(want) == 200
+
+
+def test_ids_are_not_gathered_in_the_driver(spark):
+    from tallymark.operators import results
+    from tallymark.plans import scanning
+
+    ids = cuts.cut(spark.range(1000).select(F.col("id").alias("scan_id"), F.lit(0).alias("page_index")), "ids")
+    requests = ids.select(F.lit(1).alias("job"), F.col("scan_id").alias("position"), "scan_id", F.lit("t").alias("template_id"))
+    sizes = spark.createDataFrame([("t", 1)], "template_id string, n_pages int")
+    found = results.requested_scans(requests, ids.select("scan_id"), ids, sizes)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") == 2
+    assert found.where("error is null and n_pages = 1").count() == 1000
+    straight = ids.select(F.col("scan_id").alias("doc"), F.lit(1).alias("n_places"), F.lit(0).cast("long").alias("exam"), F.lit(0).alias("place"), F.lit(0).alias("template_page"), F.lit(None).cast("string").alias("error_class"))
+    outcomes = scanning.exam_outcomes(straight)
+    assert "BroadcastHashJoin" not in outcomes._jdf.queryExecution().executedPlan().toString()
+    assert outcomes.where("error is null").count() == 1000
+    cuts.drop(ids)
